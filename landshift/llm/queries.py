@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import bpe, licenses, quality_rules, token_files
-from landshift.llm.common import read, scratch
+from landshift.llm import bpe, licenses, quality_model, quality_rules, token_files, toxicity
+from landshift.llm.common import read, scratch, trained_on
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = quality_model.score(docs, quality_model.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~trained_on(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~trained_on(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).drop("blocks")
 
@@ -39,5 +51,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_bpe, op9_license_scans, op10_token_files)
+    f.__name__: f for f in (op1_quality_rules, op4_bpe, op6_quality_classifier, op7_toxicity, op9_license_scans, op10_token_files)
 }
