@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import bpe, licenses, quality_model, quality_rules, token_files, toxicity
+from landshift.llm import bpe, licenses, near_dedup, quality_model, quality_rules, token_files, toxicity
 from landshift.llm.common import read, scratch, trained_on
 
 
@@ -38,6 +38,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~trained_on(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).drop("blocks")
 
@@ -51,5 +55,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_bpe, op6_quality_classifier, op7_toxicity, op9_license_scans, op10_token_files)
+    f.__name__: f for f in (op1_quality_rules, op4_bpe, op6_quality_classifier, op7_toxicity, op8_near_dedup, op9_license_scans, op10_token_files)
 }
