@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import bpe, licenses, near_dedup, quality_model, quality_rules, token_files, toxicity
+from landshift.llm import bpe, licenses, near_dedup, quality_model, quality_rules, substring_dedup, token_files, toxicity
 from landshift.llm.common import read, scratch, trained_on
 
 
@@ -26,6 +26,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), size=13, keep_spaces=False)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = quality_model.score(docs, quality_model.train(docs, read(spark, sf_dir, "labels")))
@@ -55,5 +60,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_bpe, op6_quality_classifier, op7_toxicity, op8_near_dedup, op9_license_scans, op10_token_files)
+    f.__name__: f for f in (op1_quality_rules, op4_bpe, op5_substring_dedup, op6_quality_classifier, op7_toxicity, op8_near_dedup, op9_license_scans, op10_token_files)
 }
