@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import bpe, licenses, near_dedup, quality_model, quality_rules, substring_dedup, token_files, toxicity
+from landshift.llm import (
+    bpe,
+    decontamination,
+    licenses,
+    lm_scoring,
+    near_dedup,
+    quality_model,
+    quality_rules,
+    substring_dedup,
+    token_files,
+    toxicity,
+)
 from landshift.llm.common import read, scratch, trained_on
 
 
@@ -16,6 +27,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_failed", "lost_share")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is all documents labelled good, but for the held-out ones; the background is all documents."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    good = labels.where((F.col("quality") == 1) & trained_on(F.col("doc_id"))).select("doc_id").distinct()
+    target, background = lm_scoring.train(docs, docs.join(good, "doc_id", "left_semi"))
+    return lm_scoring.score(docs, target, background)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
     return both.select(
@@ -60,5 +83,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_bpe, op5_substring_dedup, op6_quality_classifier, op7_toxicity, op8_near_dedup, op9_license_scans, op10_token_files)
+    f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_lm_scoring, op4_bpe, op5_substring_dedup, op6_quality_classifier, op7_toxicity, op8_near_dedup, op9_license_scans, op10_token_files)
 }
