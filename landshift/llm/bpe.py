@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from landshift.llm.common import lists, map_texts, texts
 
-#: Words whose ids a worker keeps.
-CACHE = 400_000
+#: Words, and pieces of words, whose ids a worker keeps.
+CACHE = 300_000
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -57,35 +57,38 @@ class WordBpe:
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + end] for s in symbols]
-        #: (left id << 20 | right id): (rank, merged id)
-        self.merges = {vocab[a] << 20 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(map(tuple, spec["model"]["merges"]))}
+        #: (left id << 20 | right id): rank << 52 | merged id; with place << 20 that is an entry of the queue
+        self.merges = {vocab[a] << 20 | vocab[b]: rank << 52 | vocab[a + b] for rank, (a, b) in enumerate(map(tuple, spec["model"]["merges"]))}
         self.words: dict[bytes, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.names = np.array([self.strings.get(i, "") for i in range(max(self.strings) + 1)], object)
 
     def merge(self, ids: list[int]) -> list[int]:
         """The ids that are left when no adjacent pair has a rank."""
         n, merges = len(ids), self.merges
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(m[0], i, m[1]) for i in range(n - 1) if (m := merges.get(ids[i] << 20 | ids[i + 1]))]
+        queue = [m + (i << 20) for i in range(n - 1) if (m := merges.get(ids[i] << 20 | ids[i + 1]))]
         heapq.heapify(queue)
         while queue:
-            _, i, merged = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i, merged = entry >> 20 & 0xFFFFFFFF, entry & 0xFFFFF
             j = after[i]
-            if ids[i] < 0 or j < 0 or merges.get(ids[i] << 20 | ids[j], (0, -1))[1] != merged:
+            if ids[i] < 0 or j < 0 or merges.get(ids[i] << 20 | ids[j], -1) & 0xFFFFF != merged:
                 continue  # stale
             ids[i], ids[j] = merged, -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
                 if m := merges.get(merged << 20 | ids[k]):
-                    heapq.heappush(queue, (m[0], i, m[1]))
+                    heapq.heappush(queue, m + (i << 20))
             h = before[i]
             if h >= 0 and (m := merges.get(ids[h] << 20 | merged)):
-                heapq.heappush(queue, (m[0], h, m[1]))
+                heapq.heappush(queue, m + (h << 20))
         return [x for x in ids if x >= 0]
 
     def word(self, raw: bytes) -> tuple[int, ...]:
         """Ids of a stretch of text without ASCII white space."""
-        text, out = raw.decode("utf-8"), []
+        text, out, known = raw.decode("utf-8"), [], self.pieces
         for part in self.cut.split(text) if "<|" in text else (text,):
             if part in self.special:
                 out.append(self.special[part])
@@ -93,8 +96,11 @@ class WordBpe:
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # no final sigma: letters are lowered one by one
             for piece in PIECES.findall(part.lower()):
-                b = piece.encode("utf-8")
-                out += self.merge([*map(self.inner.__getitem__, b[:-1]), self.last[b[-1]]])
+                ids = known.get(piece)
+                if ids is None:
+                    b = piece.encode("utf-8")
+                    ids = known[piece] = tuple(self.merge([*map(self.inner.__getitem__, b[:-1]), self.last[b[-1]]]))
+                out += ids
         return tuple(out)
 
     def encode(self, text: bytes) -> np.ndarray:
@@ -102,12 +108,14 @@ class WordBpe:
         known = self.words
         if len(known) > CACHE:
             known.clear()
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
         for w in set(words).difference(known):
             known[w] = self.word(w)
         return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.strings.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> str:
+        return " ".join(self.names[ids].tolist())
 
 
 @lru_cache(2)
@@ -145,7 +153,9 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                text = [bpe.decode(x.as_py() or ()) for x in batch.column("ids")]
+                ids = batch.column("ids").fill_null([])
+                flat, cuts = ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy())
+                text = [bpe.decode(x) for x in np.split(flat, cuts[:-1])]
                 yield pa.RecordBatch.from_arrays([pa.array(text, to.field(n).type) if n == "decoded" else batch.column(n).cast(to.field(n).type) for n in to.names], schema=to)
 
     return encoded.drop("decoded").mapInArrow(run, schema)
