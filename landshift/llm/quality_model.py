@@ -20,6 +20,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,13 +114,14 @@ class RuleModel:
     intercept: float
     rules: tuple[tuple[tuple[Condition, ...], float], ...]
 
-    def column(self) -> Column:
-        """The score as a Spark expression over the statistics."""
+    def column(self, at: Column | None = None) -> Column:
+        """The score as a Spark expression over columns of STATISTICS, or over the fields of the struct ``at``."""
         margin = F.lit(self.intercept)
         for rule, weight in self.rules:
             met = F.lit(True)
             for f, low, v in rule:
-                met = met & ((F.col(STATISTICS[f]) <= v) if low else (F.col(STATISTICS[f]) > v))
+                value = F.col(STATISTICS[f]) if at is None else at[STATISTICS[f]]
+                met = met & ((value <= v) if low else (value > v))
             margin = margin + F.when(met, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
@@ -193,3 +195,14 @@ def map_labelled(sample: DataFrame) -> DataFrame:
 def score(docs: DataFrame, model: RuleModel) -> DataFrame:
     """doc_id, the statistics and ``score``."""
     return statistics(docs).withColumn("score", model.column())
+
+
+def keep(docs: DataFrame, model: RuleModel, least: float) -> DataFrame:
+    """The rows of docs, all their columns as they are, whose score is at least ``least``."""
+    kind = ", ".join(f"{s} double" for s in STATISTICS)
+
+    @F.pandas_udf(kind)
+    def measured(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure((x or "").encode()) for x in text], columns=list(STATISTICS))
+
+    return docs.where(model.column(measured(F.col("text").cast("string"))) >= least)

@@ -50,7 +50,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), size=13, keep_spaces=False)
+    found = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), size=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -292,31 +293,61 @@ def without(text: bytes, gone: np.ndarray) -> bytes:
     return (text[: spans[0][0]] if spans else b"") + b"".join(text[a:e] for (a, _), e, g in zip(spans, ends, gone, strict=True) if not g)
 
 
-def remove_repeats(docs: DataFrame, size: int = 13, keep_spaces: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed and ``kept``: the text less its removed words, or the kept words joined by one space."""
-    tagged = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    tag = F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).cast("int")
-    found = marks(texts(tagged, tag.alias("tag")), size)
-    found = found.groupBy("doc_id", "tag").agg(F.collect_list("starts").alias("starts"))  # of one document: at most its windows
-    both = texts(tagged, tag.alias("tag")).join(found, ["doc_id", "tag"], "left")
+def marked(docs: DataFrame, size: int) -> DataFrame:
+    """The documents with ``_starts``, the starts of their removed windows (null: none)."""
+    tag = F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    found = marks(texts(docs, tag.alias("tag")), size)
+    found = found.groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list("starts").alias("_starts"))  # of one document: at most its windows
+    return docs.join(found, (F.col("doc_id").cast("long") == F.col("_doc")) & (tag == F.col("_tag")), "left").drop("_doc", "_tag")
+
+
+def removed(n: int, starts: list[bytes], size: int) -> np.ndarray:
+    """Which of n words lie in the windows."""
+    depth = np.zeros(n + size + 1, np.int32)
+    at = np.frombuffer(b"".join(starts), "<u4").astype(np.int64)
+    np.add.at(depth, at, 1)
+    np.add.at(depth, at + size, -1)
+    return np.cumsum(depth)[:n] > 0
+
+
+def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
+    """doc_id, n_words, n_removed and ``kept``, the kept words joined by one space."""
 
     def make():
         def one(text: bytes, starts: list[bytes] | None) -> tuple:
             words = text.split()
             if not starts:
-                return len(words), 0, text.decode() if keep_spaces else b" ".join(words).decode()
-            depth = np.zeros(len(words) + size + 1, np.int32)
-            at = np.frombuffer(b"".join(starts), "<u4").astype(np.int64)
-            np.add.at(depth, at, 1)
-            np.add.at(depth, at + size, -1)
-            gone = np.cumsum(depth)[: len(words)] > 0
-            kept = without(text, gone) if keep_spaces else b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-            return len(words), int(gone.sum()), kept.decode()
+                return len(words), 0, b" ".join(words).decode()
+            gone = removed(len(words), starts, size)
+            return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode()
 
         def run(batch, values):
-            rows = [one(x or b"", s) for x, s in zip(values, batch.column("starts").to_pylist(), strict=True)]
+            rows = [one(x or b"", s) for x, s in zip(values, batch.column("_starts").to_pylist(), strict=True)]
             return dict(zip(("n_words", "n_removed", "kept"), zip(*rows, strict=True), strict=True)) | {"doc_id": batch.column("doc_id")}
 
         return run
 
-    return map_texts(both.select("doc_id", "text", "starts"), make, "doc_id long, n_words long, n_removed long, kept string")
+    return map_texts(texts(marked(docs, size), "_starts"), make, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def cut_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
+    """The documents, all their columns, with the removed words cut from ``text`` and ``n_chars`` (if there) made to follow.
+
+    The white space after a removed word goes with it; a text that loses nothing stays as it is.
+    """
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, starts: pd.Series) -> pd.Series:
+        def one(x, s):
+            if x is None or s is None or not len(s):
+                return x
+            raw = x.encode()
+            return without(raw, removed(len(raw.split()), list(s), size)).decode()
+
+        return pd.Series([one(x, s) for x, s in zip(text, starts, strict=True)])
+
+    both = marked(docs, size)
+    both = both.withColumn("text", F.when(F.col("_starts").isNull(), F.col("text").cast("string")).otherwise(cut(F.col("text").cast("string"), "_starts")))
+    if "n_chars" in docs.columns:
+        both = both.withColumn("n_chars", F.when(F.col("_starts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return both.select(*docs.columns)
