@@ -1,8 +1,67 @@
-"""The corpus pipeline: quality classifier, near-dedup, substring dedup, decontamination, BPE."""
+"""The corpus pipeline: quality classifier, near-dedup, substring dedup, decontamination, BPE.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from landshift.llm import bpe, decontamination, near_dedup, quality_model, substring_dedup
+from landshift.llm.common import read, stored
+
+#: The score below which a document is rejected.
+QUALITY = 0.3
+#: Words of a repeated passage.
+PASSAGE = 50
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble, fitted on the labels, does not reject."""
+    model = quality_model.train(docs, read(spark, sf_dir, "labels"))
+    return quality_model.keep(docs, model, QUALITY)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near copies."""
+    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of PASSAGE words that a document of a smaller doc_id has too; n_chars follows."""
+    return substring_dedup.cut_repeats(docs, PASSAGE)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    found = decontamination.search(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("found_id"), "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the ids of the text, their number, and the text decoded from them."""
+    return bpe.decode(bpe.encode(docs)).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_copies),
+    ("substring dedup", passages),
+    ("benchmark decontamination", benchmark),
+    ("BPE encoding and decoding", tokens),
+]
+
+#: The stages fit models and join approximate candidates; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs)
+    return docs
