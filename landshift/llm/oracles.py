@@ -1,3 +1,70 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from landshift.llm import licenses
+
+#: Words of a text: stretches without space, tab, line feed, vertical tab, form feed or return.
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Runs of digits, letters a to z and characters beyond ASCII, A-Z lower-cased.
+PLAIN = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, b in rows)
+
+
+OP2 = f"""
+WITH d AS (SELECT doc_id, {PLAIN} AS w FROM documents), i AS (SELECT item_id, {PLAIN} AS w FROM benchmark),
+ds AS (SELECT doc_id, k - 1 AS pos, array_to_string(w[k:k+4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)),
+sh AS (SELECT DISTINCT item_id, array_to_string(w[k:k+4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM i WHERE len(w) >= 5)),
+n AS (SELECT item_id, count(*) AS size FROM sh GROUP BY item_id)
+SELECT doc_id, item_id, count(DISTINCT s) / CAST(any_value(size) AS DOUBLE) AS containment, min(pos) AS first_word
+FROM ds JOIN sh USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(DISTINCT s) >= 0.8 * any_value(size) - 1e-9
+"""
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+win AS (SELECT doc_id, k, array_to_string(w[k:k+12], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS pos FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY s) AS first FROM win) WHERE first < doc_id),
+g AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_select(w, list_sort(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(gone, x)))) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+OP8 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+2], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(2, len(w) - 1))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+OP9 = f"""
+WITH d AS (SELECT doc_id, {PLAIN} AS w, coalesce(text, '') AS text FROM documents),
+p(phrase, label) AS (VALUES {values(list(licenses.PHRASES.items()))}),
+pw AS (SELECT phrase, label, string_split(phrase, ' ') AS q FROM p),
+hits AS (SELECT doc_id, k - 1 AS pos, label FROM (SELECT d.*, pw.*, unnest(range(1, len(w) - len(q) + 2)) AS k FROM d, pw WHERE len(w) >= len(q) AND list_contains(w, q[2])) WHERE w[k:k+len(q)-1] = q),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, list(DISTINCT label) AS bl FROM hits GROUP BY doc_id),
+t(label, template) AS (VALUES {values(licenses.TEMPLATES)}),
+ts AS (SELECT label, list_distinct(string_split(template, ' ')) AS tw FROM t),
+lines AS (SELECT doc_id, {PLAIN} AS bw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM d)),
+met AS (SELECT doc_id, label, len(list_intersect(tw, bw)) / CAST(len(tw) AS DOUBLE) AS c FROM lines, ts WHERE len(list_intersect(tw, bw)) >= ceil(0.8e0 * len(tw) - 1e-9)),
+m AS (SELECT doc_id, max(c) AS c, list(DISTINCT label) AS ml FROM met GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(bl, []), coalesce(ml, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1e0 ELSE coalesce(m.c, 0e0) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_decontamination": OP2,
+    "op5_substring_dedup": OP5,
+    "op8_near_dedup": OP8,
+    "op9_license_scans": OP9,
+}
