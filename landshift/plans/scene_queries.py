@@ -14,7 +14,7 @@ SC = """WITH sc AS (SELECT event_id, ts, 'S2A_' || CASE WHEN user_id % 13 = 0 TH
   round(value, 2) % 100 AS cloud, CASE WHEN CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-10' THEN 'before' WHEN CAST(ts AS DATE) BETWEEN DATE '2024-01-20' AND DATE '2024-01-30' THEN 'after' ELSE 'unknown' END AS period FROM events),
 st AS (SELECT *, CASE WHEN length(split_part(scene_id, '_', 2)) = 5 THEN split_part(scene_id, '_', 2) END AS tile FROM sc)
 """
-POLY = """WITH po AS (SELECT c_custkey AS id, (c_custkey * 37) % 340 - 170 + (c_custkey % 10) / 16.0e0 AS lon, (c_custkey * 53) % 150 - 75 + (c_custkey % 7) / 16.0e0 AS lat, 1 + c_custkey % 12 AS km FROM customer)
+POLY = """WITH po AS (SELECT c_custkey AS id, (c_custkey * 37) % 40 - 20 + (c_custkey % 10) / 16.0e0 AS lon, (c_custkey * 53) % 30 - 15 + (c_custkey % 7) / 16.0e0 AS lat, 1 + c_custkey % 12 AS km FROM customer)
 """
 
 
@@ -27,7 +27,7 @@ def catalog(spark, sf_dir) -> DataFrame:
 
 def polygons(spark, sf_dir) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("id"), (k * 37 % 340 - 170 + k % 10 / 16.0).alias("lon"), (k * 53 % 150 - 75 + k % 7 / 16.0).alias("lat"), (k % 12 + 1).alias("km"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), (k * 37 % 40 - 20 + k % 10 / 16.0).alias("lon"), (k * 53 % 30 - 15 + k % 7 / 16.0).alias("lat"), (k % 12 + 1).alias("km"))
 
 
 def boxes(spark, sf_dir) -> DataFrame:
@@ -122,13 +122,13 @@ def aoi_box(spark, sf_dir):
 
 @query(
     POLY
-    + """, b AS (SELECT id, round(lon * 1.05e0 - km / (cos(radians(lat)) * 111.0e0), 6) AS w, round(lon * 1.05e0 + km / (cos(radians(lat)) * 111.0e0), 6) AS e, round(lat * 1.2e0 - km / 111.0e0, 6) AS s, round(lat * 1.2e0 + km / 111.0e0, 6) AS n FROM po)
+    + """, b AS (SELECT id, round(lon * 9.4e0 - km / (cos(radians(lat)) * 111.0e0), 6) AS w, round(lon * 9.4e0 + km / (cos(radians(lat)) * 111.0e0), 6) AS e, round(lat * 6.2e0 - km / 111.0e0, 6) AS s, round(lat * 6.2e0 + km / 111.0e0, 6) AS n FROM po)
 SELECT id, w >= -180 AND e <= 180 AND s >= -90 AND n <= 90 AS valid FROM b"""
 )
 def validate_geometry(spark, sf_dir):
     po = polygons(spark, sf_dir)
     dx = F.col("km") / (F.cos(F.radians("lat")) * 111.0)
-    lon, lat, dy = F.col("lon") * 1.05, F.col("lat") * 1.2, F.col("km") / 111.0
+    lon, lat, dy = F.col("lon") * 9.4, F.col("lat") * 6.2, F.col("km") / 111.0
     w, e, s, n = (F.round(x, 6) for x in (lon - dx, lon + dx, lat - dy, lat + dy))
     ring = F.array(F.array(w, s), F.array(e, s), F.array(e, n), F.array(w, n), F.array(w, s))
     return po.select("id", geometry.coordinates_valid(ring).alias("valid"))
