@@ -147,6 +147,6 @@ def default_window(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.add_months(F.to_date("o_orderdate"), -1).alias("window_start"))
 
 
-@query("SELECT o_orderkey, greatest(1, CAST(trunc(round(o_totalprice / 1000, 2) / 0.01e0) AS INTEGER)) AS min_pixels FROM orders")
+@query("SELECT o_orderkey, greatest(1, CAST(trunc((o_orderkey % 500) / 100e0 / 0.01e0) AS INTEGER)) AS min_pixels FROM orders")
 def min_pixels(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", indices.min_pixels(F.round(F.col("o_totalprice") / 1000, 2)).alias("min_pixels"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", indices.min_pixels(F.col("o_orderkey") % 500 / 100.0).alias("min_pixels"))
