@@ -13,7 +13,7 @@ first; repeated rows are stored each.
 
 from __future__ import annotations
 
-import zlib
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -24,13 +24,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from landshift.llm.bpe import default_vocabulary
+from landshift.llm.bpe import PIECES, default_vocabulary
 from landshift.llm.common import arrow, slices, texts
 
 BLOCK = 65_536
 #: Ids at which a chunk is closed, after the document at hand.
 CHUNK = 4 * BLOCK
-#: Words whose ids a worker keeps.
+#: Words, and pieces of words, whose ids a worker keeps.
 CACHE = 400_000
 CHUNKS = "part int, chunk int, n_ids long, doc_ids array<long>, doc_sizes array<long>, block_sizes array<int>, plane_bytes array<int>, payload binary"
 
@@ -60,7 +60,11 @@ def unpack(sizes: list[int], lengths: list[int], payload: bytes) -> np.ndarray:
 
 
 class LibraryWords:
-    """The tokenizers library's ids, word by word: no pattern or merge of the file crosses white space."""
+    """The tokenizers library's ids, word by word: no pattern or merge of the file crosses white space.
+
+    New words are cut to pieces, and the pieces not met before go to the library in long
+    texts; there each piece ends with the one token that carries the end of a word.
+    """
 
     def __init__(self, path: str):
         import os
@@ -71,14 +75,36 @@ class LibraryWords:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > CACHE:
             self.known.clear()
-        new = list(words.difference(self.known))
-        for w, e in zip(new, self.library.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = tuple(e.ids)
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        cut = {}
+        for w in words.difference(self.known):
+            text = w.decode("utf-8")
+            if "<|" in text:  # special tokens stay whole
+                self.known[w] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                cut[w] = PIECES.findall(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        new = list({p for ps in cut.values() for p in ps}.difference(self.pieces))
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            raw, begin = ids.tobytes(), 0
+            for p, stop in zip(some, (4 * stops).tolist(), strict=True):
+                self.pieces[p] = raw[begin:stop]
+                begin = stop
+        get = self.pieces.__getitem__
+        for w, ps in cut.items():
+            self.known[w] = b"".join(map(get, ps))
 
 
 @lru_cache(2)
@@ -93,7 +119,7 @@ def write(docs: DataFrame, to: str, vocabulary: str | None = None, end_id: int =
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, words = TaskContext.get().partitionId(), loaded(path)
+        part, words, end = TaskContext.get().partitionId(), loaded(path), np.array([end_id], "<u4").tobytes()
         chunk, held, ids, names = 0, 0, [], []
 
         def close() -> pa.RecordBatch:
@@ -107,7 +133,7 @@ def write(docs: DataFrame, to: str, vocabulary: str | None = None, end_id: int =
                 words.learn(set(chain.from_iterable(each)))
                 get = words.known.__getitem__
                 for doc, found in zip(batch.column("doc_id").to_pylist(), each, strict=True):
-                    one = np.fromiter(chain(chain.from_iterable(map(get, found)), (end_id,)), np.uint32)
+                    one = np.frombuffer(b"".join([*map(get, found), end]), "<u4")
                     names.append(doc)
                     ids.append(one)
                     held += len(one)
