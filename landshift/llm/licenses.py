@@ -33,7 +33,6 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
 ]
@@ -86,7 +85,7 @@ class TemplateIndex:
         return found
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.9) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and ``blocks``: line number, label and containment."""
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases

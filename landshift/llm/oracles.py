@@ -55,7 +55,7 @@ base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS
 t(label, template) AS (VALUES {values(licenses.TEMPLATES)}),
 ts AS (SELECT label, list_distinct(string_split(template, ' ')) AS tw FROM t),
 lines AS (SELECT doc_id, {PLAIN} AS bw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM d)),
-met AS (SELECT doc_id, label, len(list_intersect(tw, bw)) / CAST(len(tw) AS DOUBLE) AS c FROM lines, ts WHERE len(list_intersect(tw, bw)) >= ceil(0.8e0 * len(tw) - 1e-9)),
+met AS (SELECT doc_id, label, len(list_intersect(tw, bw)) / CAST(len(tw) AS DOUBLE) AS c FROM lines, ts WHERE len(list_intersect(tw, bw)) >= ceil(0.9e0 * len(tw) - 1e-9)),
 m AS (SELECT doc_id, max(c) AS c, list(DISTINCT label) AS ml FROM met GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(bl, []), coalesce(ml, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1e0 ELSE coalesce(m.c, 0e0) END AS score
