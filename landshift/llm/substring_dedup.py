@@ -9,8 +9,8 @@ what they stand for, so they are global: every task gives equal substrings the s
 symbols.  For every symbol the words that decided it are known (its context); a symbol whose
 context lies inside a window is the same wherever that window's words stand.  So each window
 takes as its anchor the highest symbol it decides (of several, the one with the least hash),
-and equal windows meet under the anchor's name in one shuffle, where a further hash of the
-window's words verifies them.  Consecutive windows share their anchor, so what is shuffled
+and equal windows meet under the hash of the anchor's context in one shuffle, where 48 more
+bits of a hash of the whole window verify them.  Consecutive windows share their anchor, so what is shuffled
 is one record for a run of windows, packed by task and bucket.
 
 Before the shuffle each task resolves what it can see: of equal windows it sends only those
@@ -103,9 +103,9 @@ def levels(words: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS) -> list[S
     return out
 
 
-def anchors(parse: list[Symbols], starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window its anchor's name, and a number that differs between the anchors of this parse."""
-    name, which = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64)
+def anchors(parse: list[Symbols], starts: np.ndarray, size: int) -> np.ndarray:
+    """For each window its anchor: the symbol's place times the number of levels, and its level."""
+    which = np.zeros(len(starts), np.int64)
     open_ = np.arange(len(starts))
     for level in range(len(parse) - 1, -1, -1):
         s, here = parse[level], starts[open_]
@@ -119,12 +119,26 @@ def anchors(parse: list[Symbols], starts: np.ndarray, size: int) -> tuple[np.nda
             less = r < least[more]
             best[more[less]], least[more[less]] = begin[more[less]] + k, r[less]
         has = count > 0
-        name[open_[has]] = mixed(s.name[best[has]] + np.uint64(level))
         which[open_[has]] = best[has] * len(parse) + level
         open_ = open_[~has]
         if not len(open_):
             break
-    return name, which
+    return which
+
+
+def context_names(parse: list[Symbols], words: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Hashes of the words of the anchors' contexts."""
+    out = np.zeros(len(which), np.uint64)
+    low, high = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+    for level, s in enumerate(parse):
+        mine = np.flatnonzero(which % len(parse) == level)
+        low[mine], high[mine] = s.low[which[mine] // len(parse)], s.high[which[mine] // len(parse)]
+    open_ = np.arange(len(which))
+    while len(open_):
+        out[open_] = mixed(out[open_] * PRIME_MIX + words[low[open_]])
+        low[open_] += 1
+        open_ = open_[low[open_] <= high[open_]]
+    return out
 
 
 def window_hashes(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -134,6 +148,15 @@ def window_hashes(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarra
     return h[starts]
 
 
+def cut48(hashes: np.ndarray) -> bytes:
+    """The low 48 bits of each."""
+    return hashes.astype("<u4").tobytes() + (hashes >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def joined48(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u4", n, at).astype(np.uint64) | np.frombuffer(raw, "<u2", n, at + 4 * n).astype(np.uint64) << np.uint64(32)
+
+
 def grouped(docs: np.ndarray, starts: np.ndarray) -> list[tuple[int, bytes]]:
     """(document, its starts as 32-bit integers) of pairs in any order."""
     if not len(docs):
@@ -164,16 +187,16 @@ def records(ids: np.ndarray, tags: np.ndarray, found: list[np.ndarray], size: in
     here = owner == ids[doc]
     for d, mine in grouped(doc[~here], offset[~here]):
         yield -1 - int(ids[d]) % buckets, int(ids[d]), int(tags[d]), mine, None
-    name, which = anchors(levels(words, sizes), starts[here], size)
+    parse = levels(words, sizes)
+    which = anchors(parse, starts[here], size)
     whole, doc, offset = whole[here], doc[here], offset[here]
     breaks = np.flatnonzero((np.diff(which, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0) | (np.diff(offset, prepend=-2) != 1))
     count = np.diff(np.append(breaks, len(which)))
-    name, doc_of, at = name[breaks], doc[breaks], offset[breaks]
-    bucket = (name >> np.uint64(32)) % np.uint64(buckets)
+    name, doc_of, at = context_names(parse, words, which[breaks]), doc[breaks], offset[breaks]
+    bucket = (name >> np.uint64(24)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
     squeeze = zstandard.ZstdCompressor(level=1)
-    check = (whole & np.uint64(0xFFFFFFFF)).astype("<u4")
     for b in range(buckets):
         mine = order[edges[b] : edges[b + 1]]
         if not len(mine):
@@ -186,7 +209,7 @@ def records(ids: np.ndarray, tags: np.ndarray, found: list[np.ndarray], size: in
         small = b"".join(x.tobytes() for x in (np.diff(ids[used], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.copy(), tags[used].astype("<u2"), index.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy(), step.view(np.uint8).reshape(-1, 4).T.copy(), n.astype("<u2")))
         small = squeeze.compress(small)
         head = np.array([len(mine), len(used), len(each), len(small)], "<u4").tobytes()
-        yield b, None, None, None, head + small + name[mine].astype("<u8").tobytes() + check[each].tobytes()
+        yield b, None, None, None, head + small + cut48(name[mine]) + cut48(whole[each])
 
 
 def opened(payload: bytes) -> tuple[np.ndarray, ...]:
@@ -204,8 +227,7 @@ def opened(payload: bytes) -> tuple[np.ndarray, ...]:
 
     ids, tags = np.cumsum(take("<i8", n_docs, True)), take("<u2", n_docs)
     index, step, n = take("<u4", m, True).astype(np.int64), take("<i4", m, True).astype(np.int64), take("<u2", m).astype(np.int64)
-    name = np.frombuffer(payload, "<u8", m, 16 + length)
-    check = np.frombuffer(payload, "<u4", total, 16 + length + 8 * m)
+    name, check = joined48(payload, m, 16 + length), joined48(payload, total, 16 + length + 6 * m)
     first = np.diff(index, prepend=-1) != 0
     first[:1] = True
     run = np.cumsum(step)

@@ -254,8 +254,8 @@ def test_equal_windows_have_equal_anchors():
         left, right = rng.integers(0, 2**63, int(rng.integers(0, 9))).astype(np.uint64), rng.integers(0, 2**63, int(rng.integers(0, 9))).astype(np.uint64)
         left[len(left) // 2 :] = core[0]
         doc = np.concatenate([left, core, right])
-        name, _ = substring_dedup.anchors(substring_dedup.levels(doc, np.array([len(doc)]), 3), np.array([len(left)]), 13)
-        seen.add(int(name[0]))
+        parse = substring_dedup.levels(doc, np.array([len(doc)]), 3)
+        seen.add(int(substring_dedup.context_names(parse, doc, substring_dedup.anchors(parse, np.array([len(left)]), 13))[0]))
     assert len(seen) == 1
 
 
