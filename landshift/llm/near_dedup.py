@@ -1,18 +1,19 @@
 """b-bit MinHash near-dedup with links confirmed on full sets.
 
-1. Every text becomes its set of distinct word shingles, hashed; HASHES minima give the
-   bands, and the lowest BITS bits of each minimum the packed signature.
+1. Every text becomes its set of distinct word shingles, hashed; the first BANDED of HASHES
+   minima give the bands, and the lowest BITS bits of each minimum the packed signature.
 2. Texts with the same set form a class; only its smallest doc_id goes on.
 3. Classes that share a band are candidates.  The share of equal b-bit minima, corrected
    for chance collisions, estimates the similarity; pairs whose estimate is SLACK below
-   the threshold (over five standard deviations) are left out.
+   the threshold (five standard deviations) are left out.
 4. Candidates are confirmed on the shingle sets of the texts themselves.
 5. A band of many classes is not expanded to pairs: in each of the first rounds its classes
-   meet one hub, and components are joined on the links found so far.  The last rounds take
-   every candidate whose ends are still in different components, so no link between
-   components is lost; pairs inside a component could not change it.
+   meet one hub, and components are joined on the links found so far.  The last round takes
+   every candidate whose ends are still in different components, each in the first band
+   that it shares, so no link between components is lost; pairs inside a component could
+   not change it.
 
-With ROWS rows a band and HASHES / ROWS bands, a pair at the threshold 0.85 shares no band
+With ROWS rows a band and BANDED / ROWS bands, a pair at the threshold 0.85 shares no band
 with a chance of 4e-7.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with
@@ -30,10 +31,11 @@ from pyspark.sql import functions as F
 
 from landshift.llm.common import LOWER_AZ, lists, map_texts, stored, texts
 
-HASHES, ROWS, BITS = 100, 4, 2
+#: Minima, those of them that make bands, minima of a band, bits kept of a minimum.
+HASHES, BANDED, ROWS, BITS = 256, 100, 4, 2
 #: Longs of a bit plane; a signature is BITS planes.
 PLANE = -(-HASHES // 64)
-SLACK = 0.3
+SLACK = 0.14
 PRIME_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,9 +93,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 same.append(xxhash.xxh3_128_digest(s.tobytes()))
                 minima = sketch(s, a, b)
                 signature.append(packed(minima))
-                n_bands.append(HASHES // ROWS if len(s) else 0)
+                n_bands.append(BANDED // ROWS if len(s) else 0)
                 if len(s):
-                    bands += [xxhash.xxh3_64_intdigest(r.tobytes(), seed=k) - 2**63 for k, r in enumerate(minima.reshape(-1, ROWS))]
+                    bands += [xxhash.xxh3_64_intdigest(r.tobytes(), seed=k) - 2**63 for k, r in enumerate(minima[:BANDED].reshape(-1, ROWS))]
             return {
                 "doc_id": batch.column("doc_id"), "n_shingles": [len(s) for s in sets], "same": same,
                 "signature": lists(np.concatenate(signature), [BITS * PLANE] * len(sets), pa.int64()), "bands": lists(np.array(bands, np.int64), n_bands, pa.int64()),
@@ -187,10 +189,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, hub_round
             # Everything outside a band's largest component meets the band's other components.
             parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
             main = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("main.root").alias("main"))
-            mixed_bands = stored(placed.join(main, "band").join(signatures, "doc_id"))
-            few = mixed_bands.where("root <> main").select("band", F.col("doc_id").alias("x"), F.col("root").alias("root_x"), F.col("signature").alias("sx"))
-            pairs = few.join(mixed_bands.select("band", "main", F.col("doc_id").alias("y"), "root", F.col("signature").alias("sy")), "band").where(
-                (F.col("root_x") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("root_x") < F.col("root"))) & (estimate(F.col("sx"), F.col("sy")) >= least)
+            sides = classes.select("doc_id", "signature", "bands")
+            mixed_bands = stored(placed.join(main, "band").join(sides, "doc_id").withColumn("place", F.array_position("bands", F.col("band")).cast("int")))
+            few = mixed_bands.where("root <> main").select("band", F.col("doc_id").alias("x"), F.col("root").alias("root_x"), F.col("signature").alias("sx"), F.slice("bands", F.lit(1), F.col("place") - 1).alias("earlier"))
+            every = mixed_bands.select("band", "main", F.col("doc_id").alias("y"), "root", F.col("signature").alias("sy"), F.slice("bands", F.lit(1), F.col("place") - 1).alias("earlier_y"))
+            pairs = few.join(every, "band").where(
+                (F.col("root_x") != F.col("root"))
+                & ((F.col("root") == F.col("main")) | (F.col("root_x") < F.col("root")))
+                & (estimate(F.col("sx"), F.col("sy")) >= least)
+                & ~F.arrays_overlap("earlier", "earlier_y")
             )
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
