@@ -31,7 +31,7 @@ BLOCK = 65_536
 #: Ids at which a chunk is closed, after the document at hand.
 CHUNK = 4 * BLOCK
 #: Words, and pieces of words, whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 600_000
 CHUNKS = "part int, chunk int, n_ids long, doc_ids array<long>, doc_sizes array<long>, block_sizes array<int>, plane_bytes array<int>, payload binary"
 
 
@@ -92,7 +92,8 @@ class LibraryWords:
             if "<|" in text:  # special tokens stay whole
                 self.known[w] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                cut[w] = PIECES.findall(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+                low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+                cut[w] = (low,) if low.isalpha() else PIECES.findall(low)
         new = list({p for ps in cut.values() for p in ps}.difference(self.pieces))
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
