@@ -37,6 +37,8 @@ from landshift.llm.common import arrow, map_texts, slices, texts
 from landshift.llm.near_dedup import PRIME_MIX, mixed, word_hashes
 
 ROUNDS = 2
+#: Buckets of anchors at least: a document's marks come back in a row for each bucket that has one.
+BUCKETS = 256
 #: Words that a task names at one time.
 CHUNK = 700_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -252,7 +254,8 @@ def resolved(payloads: list[bytes]) -> list[tuple[int, int, bytes]]:
 
 def marks(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, tag and the starts of removed windows, several rows a document."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS, 4 * partitions)
     sent, told = arrow(RECORDS), arrow(MARKS)
 
     def send(batches):
@@ -305,7 +308,7 @@ def marks(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*back, strict=True), told, strict=True)], schema=told)
 
     packed = docs.where(F.col("doc_id").isNotNull()).mapInArrow(send, RECORDS)
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, MARKS)
+    return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, MARKS)
 
 
 def without(text: bytes, gone: np.ndarray) -> bytes:
