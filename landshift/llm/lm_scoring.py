@@ -1,16 +1,21 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models, of target texts and of the whole corpus (the background), share one
-vocabulary: the classes that a hash deals words to.  Both are smoothed alike,
+Two bigram models, of target texts and of the whole corpus (the background), are smoothed
+alike,
 
-    p(w) = (c(w) + 1) / (N + WORDS),    p(w | v) = (c(v w) + KAPPA p(w)) / (c(v) + KAPPA),
+    p(w) = (c(w) + a) / (N + WORDS),    p(w | v) = (c(v w) + KAPPA p(w)) / (c(v) + KAPPA),
 
 so a document's score, the mean over its words of log p_target - log p_background, compares
-like with like; a document's first word follows a start class.
+like with like; a document's first word follows a start that has been seen never.  WORDS
+counts are spread over the vocabulary: a is 1, or WORDS / vocabulary where that is larger,
+so probabilities sum to 1 at most.
 
-Counts cover all documents.  Each task adds up its own texts, sends its tables in ranges of
-RANGE slots, and the ranges are added up salted and then whole, so nothing but tables of a
-fixed size (WORDS + PAIRS slots a model, whatever the corpus) reaches one task or the driver.
+Counts are exact for every word and pair of words of all documents, under keys of 64 bits.
+Keys are dealt by their first bits to buckets, whose number grows with the corpus, so that
+each holds the keys of about BUCKET bytes of text.  Tasks add up GROUP bytes of text at a
+time before they send anything, and the counts are stored as a table of one row a bucket.
+To score, groups of documents send their distinct keys to the buckets, get the counts back
+and add up the losses of each document.
 
 Defined cases: a null or empty text has no words, losses of 0 and a score of 0; repeated
 rows count and are scored each; without target texts the target model is uniform.
@@ -18,32 +23,41 @@ rows count and are scored each; without target texts the target model is uniform
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landshift.llm.common import PLAIN_WORDS, arrow, map_texts, slices, texts
+from landshift.llm.common import PLAIN_WORDS, arrow, lists, slices, stored, texts
 from landshift.llm.near_dedup import PRIME_MIX, mixed, word_hashes
 
-#: Classes of words, and of pairs of words.
-WORDS, PAIRS = 1 << 18, 1 << 20
+#: Counts that smoothing adds to all words together, at most one to each.
+WORDS = 1 << 18
 KAPPA = 50.0
-RANGE = 1 << 14
-SALT = 16
-SUMS = "range int, salt int, counts binary"
+#: Bytes of text that are counted or scored at one time, and that a bucket's keys come from.
+GROUP, BUCKET = 8_000_000, 16_000_000
+#: Counts of a bucket that wait to be added up.
+PENDING = 2_000_000
+COUNTS = "bucket int, keys binary, counts binary, n_words long, n_pairs long, n_kinds long"
+GROUPS = "group long, doc_ids array<long>, sizes array<long>, body binary"
+KEYS = "bucket int, group long, keys binary"
+FOUND = "bucket int, group long, background binary, target binary"
+SCORES = "doc_id long, n_words long, target_loss double, background_loss double, score double"
 
 
-def slots(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the words, and of the pairs of each word and the one before it."""
+def keys(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words (odd), and of the pairs of each word and the one before it (even)."""
     h = word_hashes(text.translate(PLAIN_WORDS).split())
     before = np.append(np.uint64(1), h[:-1]) if len(h) else h
-    return (h >> np.uint64(46)).astype(np.int64), (mixed(before * PRIME_MIX + h) >> np.uint64(44)).astype(np.int64)
+    return h | np.uint64(1), mixed(before * PRIME_MIX + h) & ~np.uint64(1)
 
 
-def packed(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+def packed(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def opened(raw: bytes) -> np.ndarray:
@@ -51,83 +65,218 @@ def opened(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
 
 
-def count(docs: DataFrame) -> np.ndarray:
-    """Counts of the words' classes, then of the pairs'."""
-    schema = arrow(SUMS)
+def packed_keys(ordered: np.ndarray) -> bytes:
+    return packed(np.diff(ordered, prepend=np.uint64(0)))
+
+
+def opened_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(opened(raw), dtype=np.uint64)
+
+
+def added(ks: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, with their counts added up."""
+    key, n = np.concatenate(ks), np.concatenate(ns)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(key) else n
+
+
+def cuts(ordered: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, begin, end) of each bucket that has keys."""
+    bucket = (ordered >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(ordered), np.int64)
+    at = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
+    return ((int(bucket[i]), i, j) for i, j in zip(at[:-1], at[1:], strict=True))
+
+
+def row(schema: pa.Schema, *values: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+
+def bucket_bits(docs: DataFrame) -> int:
+    """The buckets' number as a power of two, by the size of the corpus."""
+    size = texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(0, int(size) // BUCKET).bit_length()
+
+
+@dataclass(frozen=True)
+class BigramModel:
+    """The stored counts; ``total``, ``pairs`` and ``kinds`` are words, pairs and distinct words by bucket."""
+
+    table: DataFrame
+    bits: int
+    total: np.ndarray
+    pairs: np.ndarray
+    kinds: np.ndarray
+
+    def sum(self) -> int:
+        return int(self.total.sum() + self.pairs.sum())
+
+
+def count(docs: DataFrame, bits: int | None = None) -> BigramModel:
+    bits = bucket_bits(docs) if bits is None else bits
+    schema = arrow(COUNTS)
 
     def tally(batches):
-        from pyspark import TaskContext
+        def close():
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            for b, i, j in cuts(key, bits):
+                yield row(schema, b, packed_keys(key[i:j]), packed(n[i:j]), 0, 0, 0)
 
-        total = np.zeros(WORDS + PAIRS, np.int64)
+        held, size = [], 0
         for whole in batches:
             for batch in slices(whole):
-                both = [slots(x) for x in batch.column("text").cast(pa.binary()).to_pylist() if x]
-                if both:
-                    total[:WORDS] += np.bincount(np.concatenate([w for w, _ in both]), minlength=WORDS)
-                    total[WORDS:] += np.bincount(np.concatenate([p for _, p in both]), minlength=PAIRS)
-        salt = TaskContext.get().partitionId() % SALT
-        parts = [(k, packed(total[at : at + RANGE])) for k, at in enumerate(range(0, len(total), RANGE)) if total[at : at + RANGE].any()]
-        for at in range(0, len(parts), 16):
-            some = parts[at : at + 16]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([salt] * len(some), pa.int32()), pa.array([c for _, c in some], pa.binary())], schema=schema)
+                for x in batch.column("text").cast(pa.binary()).to_pylist():
+                    if x:
+                        held += keys(x)
+                        size += len(x)
+                    if size >= GROUP:
+                        yield from close()
+                        held, size = [], 0
+        if held:
+            yield from close()
 
     def add(batches):
-        key, total = None, None
+        def close():
+            key, n = added(ks, ns)
+            word = (key & np.uint64(1)).astype(bool)
+            return row(schema, at, packed_keys(key), packed(n), int(n[word].sum()), int(n[~word].sum()), int(word.sum()))
+
+        at, ks, ns, waiting = None, [], [], 0
         for batch in batches:
-            for k, s, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if (k, s) != key:
-                    if key:
-                        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([packed(total)], pa.binary())], schema=schema)
-                    key, total = (k, s), np.zeros(RANGE, np.int64)
-                total += opened(c).astype(np.int64)
-        if key:
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([packed(total)], pa.binary())], schema=schema)
-
-    sums = texts(docs).mapInArrow(tally, SUMS)
-    for keys in (["range", "salt"], ["range"]):
-        sums = sums if "salt" in keys else sums.withColumn("salt", F.lit(0))
-        sums = sums.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, SUMS)
-    out = np.zeros(WORDS + PAIRS, np.int64)
-    for row in sums.collect():  # (WORDS + PAIRS) / RANGE rows
-        out[row["range"] * RANGE : (row["range"] + 1) * RANGE] = opened(row["counts"])
-    return out
+            for k in range(batch.num_rows):
+                b = batch.column("bucket")[k].as_py()
+                if b != at:
+                    if ks:
+                        yield close()
+                    at, ks, ns, waiting = b, [], [], 0
+                ks.append(opened_keys(batch.column("keys")[k].as_py()))
+                ns.append(opened(batch.column("counts")[k].as_py()).astype(np.int64))
+                waiting += len(ks[-1])
+                if waiting >= PENDING:
+                    key, n = added(ks, ns)
+                    ks, ns, waiting = [key], [n], 0
+        if ks:
+            yield close()
 
+    table = stored(texts(docs).mapInArrow(tally, COUNTS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, COUNTS))
+    sums = table.select("n_words", "n_pairs", "n_kinds").toPandas()  # three numbers a bucket
+    return BigramModel(table, bits, *(sums[c].to_numpy(np.int64) for c in sums))
 
-class BigramModel:
-    def __init__(self, counts: np.ndarray):
-        words = counts[:WORDS].astype(np.float64)
-        self.pairs = counts[WORDS:].astype(np.float32)
-        self.share = ((words + 1) / (words.sum() + WORDS)).astype(np.float32)
-        self.total = words.astype(np.float32)
 
-    def losses(self, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """-log p of each word; the first one's history has been seen never."""
-        before = np.zeros(len(word), np.float32)
-        before[1:] = self.total[word[:-1]]
-        seen = self.pairs[pair]
-        seen[:1] = 0
-        return -np.log((np.minimum(seen, np.append(np.float32(0), before[1:])) + KAPPA * self.share[word]) / (before + KAPPA))
+def train(docs: DataFrame, target: DataFrame) -> tuple[BigramModel, BigramModel]:
+    background = count(docs)
+    return count(target, background.bits), background
 
 
-def train(docs: DataFrame, target: DataFrame) -> tuple[BigramModel, BigramModel]:
-    return BigramModel(count(target)), BigramModel(count(docs))
+def grouped(docs: DataFrame) -> DataFrame:
+    """Rows of about GROUP bytes of text, stored, so that every later pass has the same groups."""
+    schema = arrow(GROUPS)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        def close():
+            body = zstandard.ZstdCompressor(level=1).compress(b"".join(held))
+            return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), lists(pa.array(ids, pa.int64()), [len(ids)], pa.int64()), lists(np.array(list(map(len, held)), np.int64), [len(ids)], pa.int64()), pa.array([body], pa.binary())], schema=schema)
+
+        group, ids, held, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for whole in batches:
+            for batch in slices(whole):
+                for i, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                    ids.append(i)
+                    held.append(x or b"")
+                    size += len(held[-1]) + 64
+                    if size >= GROUP:
+                        yield close()
+                        group, ids, held, size = group + 1, [], [], 0
+        if ids:
+            yield close()
+
+    return stored(texts(docs).mapInArrow(run, GROUPS))
+
+
+def group_keys(body: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a group's words, then those of its pairs, and the number of words of each document."""
+    text = zstandard.ZstdDecompressor().decompress(body)
+    ends = np.cumsum(sizes).tolist()
+    both = [keys(text[end - size : end]) for size, end in zip(sizes.tolist(), ends, strict=True)]
+    return np.concatenate([w for w, _ in both]), np.concatenate([p for _, p in both]), np.array([len(w) for w, _ in both])
+
+
+def losses(word: np.ndarray, pair: np.ndarray, start: np.ndarray, total: int, share: float) -> np.ndarray:
+    """-log p of each word by the counts of it and of its pair; ``start`` says which words begin a document."""
+    before = np.append(0, word[:-1])
+    before[start], pair = 0, np.where(start, 0, pair)
+    return -np.log((pair + KAPPA * (word + share) / (total + WORDS)) / (before + KAPPA))
 
 
 def score(docs: DataFrame, target: BigramModel, background: BigramModel) -> DataFrame:
     """doc_id, n_words, the mean losses in nats and ``score``, background less target: higher is liker the target."""
+    bits = background.bits
+    totals = int(background.total.sum()), int(target.total.sum())
+    share = min(1.0, WORDS / (1 + max(int(background.kinds.sum()), int(target.kinds.sum()))))
+    groups = grouped(docs)
+    sent, answered, result = arrow(KEYS), arrow(FOUND), arrow(SCORES)
 
-    def make():
-        def run(batch, values):
-            rows = []
-            for x in values:
-                word, pair = slots(x or b"")
-                if len(word):
-                    t, b = float(target.losses(word, pair).mean(dtype=np.float64)), float(background.losses(word, pair).mean(dtype=np.float64))
-                    rows.append((len(word), t, b, b - t))
-                else:
-                    rows.append((0, 0.0, 0.0, 0.0))
-            return dict(zip(("n_words", "target_loss", "background_loss", "score"), zip(*rows, strict=True), strict=True)) | {"doc_id": batch.column("doc_id")}
+    def send(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words, pairs, _ = group_keys(batch.column("body")[k].as_py(), np.array(batch.column("sizes")[k].as_py(), np.int64))
+                key = np.unique(np.append(words, pairs))
+                for b, i, j in cuts(key, bits):
+                    yield row(sent, b, batch.column("group")[k].as_py(), packed_keys(key[i:j]))
+
+    def answer(batches):
+        at, models = None, {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                b, kind = batch.column("bucket")[k].as_py(), batch.column("kind")[k].as_py()
+                if b != at:
+                    at, models = b, {}
+                key = opened_keys(batch.column("keys")[k].as_py())
+                if kind < 2:
+                    models[kind] = key, opened(batch.column("counts")[k].as_py())
+                    continue
+                out = []
+                for m in (0, 1):
+                    n = np.zeros(len(key), np.uint64)
+                    if m in models:
+                        known, counts = models[m]
+                        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                        n = np.where(known[place] == key, counts[place], np.uint64(0))
+                    out.append(packed(n))
+                yield row(answered, b, batch.column("group")[k].as_py(), *out)
+
+    def add(batches):
+        def close():
+            words, pairs, lengths = group_keys(body, sizes)
+            _, place = np.unique(np.append(words, pairs), return_inverse=True)
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            start = np.diff(doc, prepend=-1) > 0
+            means = []
+            for m in (0, 1):
+                n = np.concatenate([f[m] for f in found]).astype(np.float64)[place] if len(words) else np.empty(0)
+                each = losses(n[: len(words)], n[len(words) :], start, totals[m], share) if len(words) else n
+                means.append(np.bincount(doc, each, minlength=len(lengths)) / np.maximum(1, lengths))
+            b, t = means
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(t), pa.array(b), pa.array(b - t)], schema=result)
 
-        return run
+        body = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if batch.column("bucket")[k].as_py() < 0:  # a group's texts come before its counts
+                    if body is not None:
+                        yield close()
+                    ids, sizes, body, found = batch.column("doc_ids")[k].as_py(), np.array(batch.column("sizes")[k].as_py(), np.int64), batch.column("body")[k].as_py(), []
+                else:
+                    found.append([opened(batch.column(c)[k].as_py()) for c in ("background", "target")])
+        if body is not None:
+            yield close()
 
-    return map_texts(texts(docs), make, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    asked = groups.select("group", "sizes", "body").mapInArrow(send, KEYS).withColumn("kind", F.lit(2))
+    for kind, model in enumerate((background, target)):
+        asked = asked.unionByName(model.table.select("bucket", "keys", "counts", F.lit(kind).alias("kind")), allowMissingColumns=True)
+    found = asked.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, FOUND)
+    both = found.unionByName(groups.withColumn("bucket", F.lit(-1)), allowMissingColumns=True)
+    return both.repartition("group").sortWithinPartitions("group", "bucket").mapInArrow(add, SCORES)

@@ -125,6 +125,38 @@ def test_lm_scores_follow_the_formula(documents, odd):
     assert lm_scoring.count(documents(EMPTY)).sum() == 0
 
 
+def test_lm_counts_are_exact_beyond_any_fixed_size(spark, documents, monkeypatch):
+    rng = np.random.default_rng(21)
+    lexicon = [f"x{k}" for k in range(40_000)]
+    texts_ = [(k, " ".join(rng.choice(lexicon, 15_000))) for k in range(40)]
+    texts_ += [(100, "often seen " * 300), (101, "x1 x2 never often"), (102, None), (None, "x3 x4")]
+    monkeypatch.setattr(lm_scoring, "GROUP", 300_000)
+    monkeypatch.setattr(lm_scoring, "BUCKET", 500_000)
+    docs = documents(texts_)
+    t, b = lm_scoring.train(docs, docs.where("doc_id < 8 OR doc_id > 100"))
+    assert b.bits > 2
+    uni, bi, size, kinds = {}, {}, {}, len({w for _, s in texts_ for w in (s or "").split()})
+    for name, chosen in (("b", texts_), ("t", [(i, s) for i, s in texts_ if i is not None and (i < 8 or i > 100)])):
+        split = [(s or "").split() for _, s in chosen]
+        uni[name], bi[name] = Counter(w for s in split for w in s), Counter(p for s in split for p in zip(s, s[1:], strict=False))
+        size[name] = sum(map(len, split))
+    share = min(1.0, lm_scoring.WORDS / (1 + kinds))
+
+    def loss(seq, m):
+        total = 0.0
+        for k, w in enumerate(seq):
+            p = (uni[m][w] + share) / (size[m] + lm_scoring.WORDS)
+            history, seen = (uni[m][seq[k - 1]], bi[m][seq[k - 1], w]) if k else (0, 0)
+            total -= math.log((seen + lm_scoring.KAPPA * p) / (history + lm_scoring.KAPPA))
+        return total / max(1, len(seq))
+
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, t, b).collect()}
+    assert len(got) == len(texts_)
+    for i, s in texts_:
+        seq = (s or "").split()
+        assert got[i]["n_words"] == len(seq) and got[i]["background_loss"] == pytest.approx(loss(seq, "b"), rel=1e-9, abs=1e-12) and got[i]["target_loss"] == pytest.approx(loss(seq, "t"), rel=1e-9, abs=1e-12)
+
+
 # BPE and token files
 
 
