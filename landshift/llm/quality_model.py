@@ -50,7 +50,7 @@ def measure(text: bytes) -> tuple[float, ...]:
         size / n,
         sum(map(text.count, b"#*$%&|<>")) / n,
         text.count(b"!") / n,
-        sum(map(words.count, SEPARATORS)) / n if text.count(b"|") + text.count(b" - ") + text.count(b" * ") else 0.0,
+        sum(map(SEPARATORS.__contains__, words)) / n,
         upper / max(1, letters),
         (len(text) - len(text.translate(None, DIGITS))) / size,
         (len(text) - len(text.translate(None, PUNCTUATION))) / size,

@@ -49,8 +49,8 @@ class LineRules:
     def failed(self, line: bytes, words: list[bytes]) -> str | None:
         n = len(words)
         marks = sum(map(line.count, b"#*$%&|<>~^_{}!"))
-        if n >= 3 and marks:
-            seps = sum(w in SEPARATORS for w in words)
+        if n >= 3:
+            seps = sum(map(SEPARATORS.__contains__, words))
             if seps >= 3 and seps >= self.separator_share * n:
                 return "navigation"
             if marks >= self.marks_per_word * n:

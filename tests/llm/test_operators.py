@@ -55,6 +55,17 @@ def test_line_cleaning_verdict(documents):
     assert got[4]["cleaned"] == good and got[4]["lines_failed"] == 1
 
 
+def test_menus_of_every_separator(documents):
+    good = ". ".join(" ".join(f"word{chr(97 + k % 26)}{j * j + k}" for j in range(9)) for k in range(12)) + "."
+    separators = sorted(x.decode() for x in quality_rules.SEPARATORS)
+    menus = [f" {x} ".join(["Home", "News", "About", "Contact", "Help"]) for x in separators]
+    for menu in menus:
+        assert quality_rules.LineRules().failed(menu.encode(), menu.encode().split()) == "navigation"
+        assert quality_model.measure(menu.encode())[quality_model.STATISTICS.index("separators_per_word")] == 4 / 9
+    got = {r["doc_id"]: r for r in quality_rules.line_cleaning(documents([(k, f"{good}\n{m}") for k, m in enumerate(menus)])).collect()}
+    assert all(got[k]["cleaned"] == good and got[k]["lines_failed"] == 1 for k in range(len(menus)))
+
+
 @pytest.mark.parametrize("size", [2, 3])
 def test_repeated_words_long_and_tied(size):
     w = [b"a", b"b"] * 50 + [b"c"] + [b"a"] * 7
