@@ -7,14 +7,16 @@ the Jaccard similarity of the two is 0.19 or more at a containment of 0.8.  Wind
 minima of minima over BASE shingles, so the HASHES hash functions run over the text once for
 all classes.  A window that shares any minimum with an item is a candidate (of 64 hashes,
 all miss with a chance of 1.4e-6), and candidates are verified by the exact share of the
-item's shingles that the whole document has.
+item's shingles that the whole document has.  Items of fewer than BASE shingles are looked up
+exactly: a document that has any shingle of theirs is a candidate.  Items of fewer words than
+a shingle are searched for by their whole word sequence, and contained or not.
 
 Items are a test set, small beside the corpus; they go to the tasks in blocks of at most
 BLOCK_CHARS characters, one pass over the documents a block.
 
-Defined cases: words are runs of letters and digits with A-Z lower-cased; an item of fewer
-words than a shingle, or without text, is not searched for; null and empty documents hold
-nothing; of items with the same id each is searched for; repeated rows each give their pairs.
+Defined cases: words are runs of letters and digits with A-Z lower-cased; an item without
+words is not searched for; null and empty documents hold nothing; of items with the same id
+each is searched for; repeated rows each give their pairs.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ BLOCK_CHARS = 16_000_000
 CHUNK = 1 << 16
 
 
-def ordered_shingles(text: bytes, size: int) -> np.ndarray:
-    h = word_hashes(text.translate(PLAIN_WORDS).split())
+def hashed_words(text: bytes) -> np.ndarray:
+    return word_hashes(text.translate(PLAIN_WORDS).split())
+
+
+def ordered_shingles(h: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(max(0, len(h) - size + 1), np.uint64)
     for k in range(size):
         out = mixed(out * PRIME_MIX + h[k : k + len(out)])
@@ -55,7 +60,7 @@ def base_minima(sh: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class SizeClass:
-    """Items of high / 2 to high - 1 shingles (the smallest class: of 1 on), and their minima by hash function."""
+    """Items of high / 2 to high - 1 shingles, and their minima by hash function."""
 
     def __init__(self, blocks: int, items: list[int], minima: np.ndarray):
         self.blocks = blocks  # of BASE shingles, in half a window
@@ -67,16 +72,42 @@ class SizeClass:
             self.seen[k, minima[:, k] & np.uint32(0xFFFF)] = True
 
 
+class Lookup:
+    """Hashes with the items that they belong to."""
+
+    def __init__(self, hashes: np.ndarray, items: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.items, self.seen = hashes[order], items[order], np.zeros(1 << 20, bool)
+        self.seen[hashes & np.uint64(0xFFFFF)] = True
+
+    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among ``hashes``, item) of all that are equal, ordered by place."""
+        at = np.flatnonzero(self.seen[hashes & np.uint64(0xFFFFF)])
+        begin, stop = np.searchsorted(self.hashes, hashes[at]), np.searchsorted(self.hashes, hashes[at], side="right")
+        n = stop - begin
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), self.items[np.repeat(begin, n) + step]
+
+
 class ItemIndex:
     def __init__(self, items: list[tuple[object, str]], size: int):
         rng = np.random.default_rng(64)
         self.a, self.b = rng.integers(1, 2**32, HASHES, np.uint32) | np.uint32(1), rng.integers(0, 2**32, HASHES, np.uint32)
         self.size, self.ids, self.sets = size, [], []
         classes: dict[int, list[int]] = {}
-        minima = []
+        minima, small, short = {}, [], {}
         for item, text in items:
-            s = np.unique(ordered_shingles((text or "").encode(), size))
-            if len(s):
+            h = hashed_words((text or "").encode())
+            s = np.unique(ordered_shingles(h, size))
+            if 0 < len(h) < size:
+                short.setdefault(len(h), []).append((ordered_shingles(h, len(h))[0], len(self.ids)))
+                self.ids.append(item)
+                self.sets.append(s)
+            elif 0 < len(s) < BASE:
+                small.append(len(self.ids))
+                self.ids.append(item)
+                self.sets.append(s)
+            elif len(s):
                 blocks = 1
                 while blocks * BASE <= len(s):
                     blocks *= 2
@@ -84,16 +115,24 @@ class ItemIndex:
                 self.ids.append(item)
                 self.sets.append(s)
                 filled = np.append(s, np.repeat(s[-1:], -len(s) % BASE))
-                minima.append(base_minima(filled, self.a, self.b).min(axis=1))
+                minima[len(self.ids) - 1] = base_minima(filled, self.a, self.b).min(axis=1)
+        self.small = Lookup(np.concatenate([self.sets[k] for k in small]), np.repeat(small, [len(self.sets[k]) for k in small])) if small else None
+        self.short = {n: Lookup(np.array([h for h, _ in some], np.uint64), np.array([k for _, k in some])) for n, some in short.items()}
         self.classes = [SizeClass(n, ks, np.stack([minima[k] for k in ks])) for n, ks in sorted(classes.items())]
 
     def candidates(self, found: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(document, item) that share a window's minimum."""
+        """(document, item) that share a window's minimum, or of a small item any shingle."""
         pairs: set[tuple[int, int]] = set()
         n_blocks = np.array([-(-len(s) // BASE) for s in found])
         if not n_blocks.sum():
             return pairs
         flat = np.concatenate([np.append(s, np.repeat(s[-1:], -len(s) % BASE)) for s in found if len(s)])
+        if self.small:
+            at, items = self.small.found(flat)
+            both = np.unique(np.repeat(np.arange(len(found)), n_blocks * BASE)[at] << 32 | items)
+            pairs.update(zip((both >> 32).tolist(), (both & 0xFFFFFFFF).tolist(), strict=True))
+        if not self.classes:
+            return pairs
         base = base_minima(flat, self.a, self.b)
         ends = np.cumsum(n_blocks)
         for c in self.classes:
@@ -149,7 +188,16 @@ def search_block(docs: DataFrame, index: ItemIndex, kind: str, containment: floa
 
             held, begin, total = [], 0, 0
             for i, x in enumerate(values):
-                held.append(ordered_shingles(x or b"", index.size))
+                h = hashed_words(x or b"")
+                for size, lookup in index.short.items():
+                    place, items = lookup.found(ordered_shingles(h, size))
+                    items, first = np.unique(items, return_index=True)
+                    for k, at in zip(items.tolist(), place[first].tolist(), strict=True):
+                        out["doc_id"].append(ids[i])
+                        out["item_id"].append(index.ids[k])
+                        out["containment"].append(1.0)
+                        out["first_word"].append(at)
+                held.append(ordered_shingles(h, index.size))
                 total += len(held[-1])
                 if total >= CHUNK:
                     close(begin, held)

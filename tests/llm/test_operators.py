@@ -101,6 +101,20 @@ def test_decontamination_finds_all(spark, documents):
     assert got == want and len(want) > 20
 
 
+def test_decontamination_finds_short_items(spark, documents):
+    rng = np.random.default_rng(5)
+    lexicon = [f"v{k}" for k in range(5000)]
+    items = [(k, " ".join(rng.choice(lexicon, 5 + k % 3))) for k in range(450)] + [(1000 + k, " ".join([f"s{k}", "and", "So", "on!"][: 1 + k % 4])) for k in range(40)] + [(2000, "?!")]
+    docs = []
+    for k, (_, item) in enumerate(items):
+        body = list(rng.choice(lexicon, 600))
+        at = int(rng.integers(0, 600))
+        body[at:at] = item.upper().split()
+        docs.append((k, " ".join(body), at))
+    got = {(r["doc_id"], r["item_id"]): (r["containment"], r["first_word"]) for r in decontamination.search(documents([(k, t) for k, t, _ in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, items[k][0]): (1.0, at) for k, _, at in docs[:-1]}
+
+
 def test_decontamination_blocks_and_empty(spark, documents, monkeypatch):
     items = spark.createDataFrame([(1, PROSE), (2, PROSE + " more of it follows here now")], "item_id long, text string")
     docs = documents([(1, PROSE), (2, "nothing of the kind")])
