@@ -45,14 +45,21 @@ def fold(events: pd.DataFrame, general: Bucket, runs: Bucket) -> pd.DataFrame:
 
 
 def rate_limited(events: DataFrame) -> DataFrame:
-    """Batch twin: events of key, seq, ts (seconds) and is_run with their decisions."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        done = fold(pdf, Bucket(*GENERAL), Bucket(*RUNS))
-        done.insert(0, "key", pdf["key"].iloc[0])
-        return done.astype({"retry_after": "Int64"})
-
-    return events.groupBy("key").applyInPandas(one, DECISIONS)
+    """Batch twin: events of key, seq, ts (seconds) and is_run with their decisions; a key's events stream past its two buckets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, general, runs = (), Bucket(*GENERAL), Bucket(*RUNS)
+        for pdf in batches:
+            for key, part in pdf.groupby("key", sort=False, dropna=False):
+                key = None if pd.isna(key) else key
+                if last != (key,):  # else the key goes on from the batch before
+                    last, general, runs = (key,), Bucket(*GENERAL), Bucket(*RUNS)
+                done = fold(part, general, runs)
+                done.insert(0, "key", key)
+                yield done.astype({"retry_after": "Int64"})
+
+    ordered = events.select("key", "seq", "ts", "is_run").repartition("key").sortWithinPartitions("key", F.asc_nulls_last("ts"), F.asc_nulls_last("seq"))
+    return ordered.mapInPandas(run, DECISIONS)
 
 
 def rate_limited_stream(events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,24 @@ def test_rate_limit_batch_and_stream_agree(spark, tmp_path):
     assert sorted(map(tuple, spark.table("decisions").collect())) == batch
 
 
+def test_rate_limit_streams_hot_keys(spark):
+    rng = np.random.default_rng(1)
+    rows = [("hot" if k % 3 else None if k % 2 else "cold", k, float(t), bool(k % 2)) for k, t in enumerate(rng.random(600) * 900)]
+    df = spark.createDataFrame(rows, "key string, seq long, ts double, is_run boolean")
+    want = []
+    for key in ("hot", "cold", None):
+        done = monitoring.fold(pd.DataFrame([r[1:] for r in rows if r[0] == key], columns=["seq", "ts", "is_run"]), monitoring.Bucket(*monitoring.GENERAL), monitoring.Bucket(*monitoring.RUNS))
+        want += [(key, r.seq, r.ts, r.is_run, r.allowed, None if pd.isna(r.retry_after) else int(r.retry_after)) for r in done.itertuples()]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        limited = monitoring.rate_limited(df)
+        assert sorted(map(tuple, limited.collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert "FlatMapGroupsInPandas" not in limited._jdf.queryExecution().toString()
+
+
 ITEM = {"id": "S2A_10TFL_1", "properties": {"datetime": "2024-01-05T10:00:00", "eo:cloud_cover": 5.0}, "bbox": [0, 0, 1, 1], "geometry": {"type": "Polygon"}, "assets": {"red": {"href": "r.tif"}, "scl": {"href": "s.tif"}, "thumb": {"href": "t"}}}
 
 
