@@ -67,7 +67,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85).drop("text_hash")
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

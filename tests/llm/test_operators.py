@@ -368,6 +368,36 @@ def test_near_dedup_is_brute_force(documents):
     assert got == components(pairs, 3, 85)
 
 
+def test_near_dedup_of_a_large_group_around_the_threshold(documents):
+    """2000 texts of one origin, most pairs of them between 0.7 and 0.87 alike, some of them versions of one another."""
+    rng = np.random.default_rng(17)
+    origin, pairs, made = [f"g{x}" for x in rng.integers(0, 10**6, 150)], [], []
+    for k in range(2000):
+        text = list(made[int(rng.integers(0, len(made)))] if k % 3 == 2 else origin)
+        for at in rng.integers(0, 150, int(rng.integers(1, 4 if k % 3 == 2 else 12))):
+            text[at] = f"e{k}x{at}" if rng.random() < 0.7 else f"common{at % 3}"
+        made.append(text)
+        pairs.append((k + 1, " ".join(text)))
+    for i in (17, 400):  # repeated rows, other texts of the same doc_id and none of any
+        pairs += [pairs[i], (pairs[i][0], "a short text"), (None, pairs[i][1])]
+    index: dict = {}
+    sets = [{index.setdefault(tuple(t[k : k + 3]), len(index)) for k in range(148)} for t in made]
+    has = np.zeros((len(sets), len(index)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, list(s)] = 1
+    both, n = has @ has.T, has.sum(1)
+    linked = 100 * both >= 85 * (n[:, None] + n[None, :] - both) - 1e-3
+    root = np.arange(len(sets))
+    while True:
+        low = np.where(linked, root[None, :], len(sets)).min(1)
+        if (low == root).all():
+            break
+        root = low
+    assert 50 < len(set(root.tolist())) < 1500
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(documents(pairs), 3, 85).collect()}
+    assert got == {k + 1: (len(sets[k]), int(root[k]) + 1) for k in range(len(sets))}
+
+
 def test_near_dedup_of_nothing(documents):
     assert near_dedup.near_duplicates(documents(EMPTY)).count() == 0
     assert near_dedup.near_duplicates(documents([(1, None), (2, "")])).where("kept").count() == 2
