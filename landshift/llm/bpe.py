@@ -1,7 +1,9 @@
 """BPE encoding and decoding of whole texts with a published merge list.
 
 Words are cut as the vocabulary file says (NFC, lower case, letters / single digits / other
-marks, byte-level symbols with a word end).  Inside a word a priority queue of merge ranks
+marks, byte-level symbols with a word end): ASCII words by a pattern, all others by the
+library's own normaliser and pre-tokeniser, whose Unicode tables may be newer than Python's.
+Inside a word a priority queue of merge ranks
 works over a doubly linked list of symbols; entries whose symbols have changed since they
 were queued are stale and skipped.  Decoding joins the vocabulary's strings with a space.
 
@@ -9,14 +11,15 @@ No merge and no pattern crosses white space, so a worker keeps the ids of the wo
 met (CACHE words at most, then it starts over).
 
 Defined cases: a null text is empty and has no ids; its decoded text is empty; repeated rows
-and any length of text are encoded each for itself.
+and any length of text are encoded each for itself, with or without doc_id; of pairs of one
+rank the left one merges first; an empty table gives an empty one; other columns of the table
+are not looked at.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from functools import lru_cache
 from itertools import chain
 
@@ -47,14 +50,19 @@ def default_vocabulary() -> str:
 
 class WordBpe:
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.cutter = library.normalizer, library.pre_tokenizer
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.strings: dict[int, str] = {i: s for s, i in vocab.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings |= {i: s for s, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         symbols = byte_symbols()
+        self.symbol, self.final = {s: vocab[s] for s in symbols}, {s: vocab[s + end] for s in symbols}
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + end] for s in symbols]
         #: (left id << 20 | right id): rank << 52 | merged id; with place << 20 that is an entry of the queue
@@ -94,7 +102,12 @@ class WordBpe:
                 out.append(self.special[part])
                 continue
             if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # no final sigma: letters are lowered one by one
+                for piece, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(part)):  # in byte-level symbols
+                    ids = known.get(piece)
+                    if ids is None:
+                        ids = known[piece] = tuple(self.merge([*map(self.symbol.__getitem__, piece[:-1]), self.final[piece[-1]]]))
+                    out += ids
+                continue
             for piece in PIECES.findall(part.lower()):
                 ids = known.get(piece)
                 if ids is None:

@@ -8,12 +8,13 @@ Parts follow one another in the order of doc_id, and so do the chunks of a part,
 part's offset is the sum of the parts before it.
 
 Defined cases: a null text is empty and gets the end id alone; rows without doc_id come
-first; repeated rows are stored each.
+first; rows of one doc_id follow one another by text, and repeated rows are stored each; a
+text of any length is in one chunk; an empty table gives files without chunks; other columns
+of the table are not looked at.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -62,8 +63,9 @@ def unpack(sizes: list[int], lengths: list[int], payload: bytes) -> np.ndarray:
 class LibraryWords:
     """The tokenizers library's ids, word by word: no pattern or merge of the file crosses white space.
 
-    New words are cut to pieces, and the pieces not met before go to the library in long
-    texts; there each piece ends with the one token that carries the end of a word.
+    New ASCII words are cut to pieces, and the pieces not met before go to the library in
+    long texts; there each piece ends with the one token that carries the end of a word.  All
+    other words go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -86,14 +88,17 @@ class LibraryWords:
             self.known.clear()
         if len(self.pieces) > CACHE:
             self.pieces.clear()
-        cut = {}
+        cut, whole = {}, []
         for w in words.difference(self.known):
-            text = w.decode("utf-8")
-            if "<|" in text:  # special tokens stay whole
-                self.known[w] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if b"<|" in w or not w.isascii():  # special tokens stay whole
+                whole.append(w)
             else:
-                low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+                low = w.decode("ascii").lower()
                 cut[w] = (low,) if low.isalpha() else PIECES.findall(low)
+        for at in range(0, len(whole), 2000):
+            some = whole[at : at + 2000]
+            for w, found in zip(some, self.library.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
+                self.known[w] = np.array(found.ids, "<u4").tobytes()
         new = list({p for ps in cut.values() for p in ps}.difference(self.pieces))
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]

@@ -212,6 +212,23 @@ def test_bpe_starts_over_when_the_cache_is_full(monkeypatch):
         assert ours.encode(text.encode()).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_every_code_point_and_of_random_strings():
+    """Both encoders against the library: every code point in a word and alone, and strings of all scripts."""
+    path, t = bpe.default_vocabulary(), library()
+    own, files = bpe.WordBpe(path), token_files.LibraryWords(path)
+    rng = np.random.default_rng(3)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    blocks = [" ".join(f"a{chr(c)}b {chr(c)}" for c in points[at : at + 20_000]) for at in range(0, len(points), 20_000)]
+    scripts = np.r_[np.arange(32, 0x600), np.arange(0x900, 0xD00), np.arange(0x1E00, 0x2100), [0x130, 0x327, 0x301, 0x3A3, 0x307, 0x558, 0x88F, 0x16EAB, 0x1F600]]
+    blocks += ["".join(map(chr, rng.choice(scripts, int(rng.integers(1, 30))))) for _ in range(30_000)]
+    for text in blocks:
+        want, raw = t.encode(text, add_special_tokens=False).ids, text.encode()
+        assert own.encode(raw).tolist() == want, text[:50]
+        files.learn(set(raw.split()))
+        assert b"".join(map(files.known.__getitem__, raw.split())) == np.array(want, "<u4").tobytes(), text[:50]
+        files.known.clear()
+
+
 def test_token_files_round_trip(odd, spark, monkeypatch):
     t, path = library(), scratch(spark)
     token_files.write(odd, path)
