@@ -1,30 +1,33 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models, of target texts and of the whole corpus (the background), are smoothed
-alike,
+Two bigram models, of target texts and of the whole corpus (the background), share one
+vocabulary, the words of the corpus and an end of text, and are smoothed alike,
 
-    p(w) = (c(w) + a) / (N + WORDS),    p(w | v) = (c(v w) + KAPPA p(w)) / (c(v) + KAPPA),
+    p(w) = (c(w) + a) / (N + a V),    p(w | v) = (c(v w) + KAPPA p(w)) / (c(v) + KAPPA),
 
-so a document's score, the mean over its words of log p_target - log p_background, compares
-like with like; a document's first word follows a start that has been seen never.  WORDS
-counts are spread over the vocabulary: a is 1, or WORDS / vocabulary where that is larger,
-so probabilities sum to 1 at most.
+where V is the vocabulary's size and a spreads WORDS counts over it, one to each word at
+most; c(v) counts what follows v, so that probabilities sum to 1.  A document's score is the
+mean over its words and its end of log p_target - log p_background.  A document's own counts
+are taken out of the models that hold it before it is scored, so target texts and others are
+scored alike.
 
 Counts are exact for every word and pair of words of all documents, under keys of 64 bits.
-Keys are dealt by their first bits to buckets, whose number grows with the corpus, so that
-each holds the keys of about BUCKET bytes of text.  Tasks add up GROUP bytes of text at a
-time before they send anything, and the counts are stored as a table of one row a bucket.
-To score, groups of documents send their distinct keys to the buckets, get the counts back
-and add up the losses of each document.
-
-Defined cases: a null or empty text has no words, losses of 0 and a score of 0; repeated
-rows count and are scored each; without target texts the target model is uniform.
+Documents are packed to groups of about GROUP bytes of text.  Each group sends its distinct
+keys with their counts to the buckets that the keys' first bits name; the number of buckets
+grows with the corpus, so that each holds the keys of about BUCKET bytes of text.  A bucket
+adds up the counts and gives each group the totals of its keys back; there the losses of
+each document are added up.  No key is gathered in more than one row a group.
+
+Defined cases: a null or empty text has no words, losses of 0 and a score of 0, and counts
+nowhere; repeated rows count and are scored each; rows without doc_id are scored and belong
+to no target; every row of a target's doc_id is a target text; a text of any length is in
+one group; without target texts the target model is uniform; an empty table gives an empty
+one; other columns of the table are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,22 +41,22 @@ from landshift.llm.near_dedup import PRIME_MIX, mixed, word_hashes
 #: Counts that smoothing adds to all words together, at most one to each.
 WORDS = 1 << 18
 KAPPA = 50.0
-#: Bytes of text that are counted or scored at one time, and that a bucket's keys come from.
+#: Bytes of text that are counted and scored at one time, and that a bucket's keys come from.
 GROUP, BUCKET = 8_000_000, 16_000_000
-#: Counts of a bucket that wait to be added up.
-PENDING = 2_000_000
-COUNTS = "bucket int, keys binary, counts binary, n_words long, n_pairs long, n_kinds long"
+START, END = np.uint64(1), np.uint64(0xE4D05A2B91C36F77)
 GROUPS = "group long, doc_ids array<long>, sizes array<long>, body binary"
-KEYS = "bucket int, group long, keys binary"
-FOUND = "bucket int, group long, background binary, target binary"
+KEYS = "bucket int, group long, keys binary, background binary, target binary"
+FOUND = "bucket int, group long, background binary, target binary, n_background long, n_target long, n_kinds long"
 SCORES = "doc_id long, n_words long, target_loss double, background_loss double, score double"
 
 
 def keys(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the words (odd), and of the pairs of each word and the one before it (even)."""
+    """Keys of the words and the end (odd), and of the pairs of each and what stands before it (even)."""
     h = word_hashes(text.translate(PLAIN_WORDS).split())
-    before = np.append(np.uint64(1), h[:-1]) if len(h) else h
-    return h | np.uint64(1), mixed(before * PRIME_MIX + h) & ~np.uint64(1)
+    if not len(h):
+        return h, h
+    h = np.append(h, END)
+    return h | np.uint64(1), mixed(np.append(START, h[:-1]) * PRIME_MIX + h) & ~np.uint64(1)
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -73,15 +76,6 @@ def opened_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(opened(raw), dtype=np.uint64)
 
 
-def added(ks: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order, with their counts added up."""
-    key, n = np.concatenate(ks), np.concatenate(ns)
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-    return key[first], np.add.reduceat(n, first) if len(key) else n
-
-
 def cuts(ordered: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, begin, end) of each bucket that has keys."""
     bucket = (ordered >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(ordered), np.int64)
@@ -99,76 +93,6 @@ def bucket_bits(docs: DataFrame) -> int:
     return max(0, int(size) // BUCKET).bit_length()
 
 
-@dataclass(frozen=True)
-class BigramModel:
-    """The stored counts; ``total``, ``pairs`` and ``kinds`` are words, pairs and distinct words by bucket."""
-
-    table: DataFrame
-    bits: int
-    total: np.ndarray
-    pairs: np.ndarray
-    kinds: np.ndarray
-
-    def sum(self) -> int:
-        return int(self.total.sum() + self.pairs.sum())
-
-
-def count(docs: DataFrame, bits: int | None = None) -> BigramModel:
-    bits = bucket_bits(docs) if bits is None else bits
-    schema = arrow(COUNTS)
-
-    def tally(batches):
-        def close():
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            for b, i, j in cuts(key, bits):
-                yield row(schema, b, packed_keys(key[i:j]), packed(n[i:j]), 0, 0, 0)
-
-        held, size = [], 0
-        for whole in batches:
-            for batch in slices(whole):
-                for x in batch.column("text").cast(pa.binary()).to_pylist():
-                    if x:
-                        held += keys(x)
-                        size += len(x)
-                    if size >= GROUP:
-                        yield from close()
-                        held, size = [], 0
-        if held:
-            yield from close()
-
-    def add(batches):
-        def close():
-            key, n = added(ks, ns)
-            word = (key & np.uint64(1)).astype(bool)
-            return row(schema, at, packed_keys(key), packed(n), int(n[word].sum()), int(n[~word].sum()), int(word.sum()))
-
-        at, ks, ns, waiting = None, [], [], 0
-        for batch in batches:
-            for k in range(batch.num_rows):
-                b = batch.column("bucket")[k].as_py()
-                if b != at:
-                    if ks:
-                        yield close()
-                    at, ks, ns, waiting = b, [], [], 0
-                ks.append(opened_keys(batch.column("keys")[k].as_py()))
-                ns.append(opened(batch.column("counts")[k].as_py()).astype(np.int64))
-                waiting += len(ks[-1])
-                if waiting >= PENDING:
-                    key, n = added(ks, ns)
-                    ks, ns, waiting = [key], [n], 0
-        if ks:
-            yield close()
-
-    table = stored(texts(docs).mapInArrow(tally, COUNTS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, COUNTS))
-    sums = table.select("n_words", "n_pairs", "n_kinds").toPandas()  # three numbers a bucket
-    return BigramModel(table, bits, *(sums[c].to_numpy(np.int64) for c in sums))
-
-
-def train(docs: DataFrame, target: DataFrame) -> tuple[BigramModel, BigramModel]:
-    background = count(docs)
-    return count(target, background.bits), background
-
-
 def grouped(docs: DataFrame) -> DataFrame:
     """Rows of about GROUP bytes of text, stored, so that every later pass has the same groups."""
     schema = arrow(GROUPS)
@@ -197,86 +121,121 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def group_keys(body: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a group's words, then those of its pairs, and the number of words of each document."""
+    """Keys of a group's words, those of its pairs, and the number of either of each document."""
     text = zstandard.ZstdDecompressor().decompress(body)
     ends = np.cumsum(sizes).tolist()
     both = [keys(text[end - size : end]) for size, end in zip(sizes.tolist(), ends, strict=True)]
     return np.concatenate([w for w, _ in both]), np.concatenate([p for _, p in both]), np.array([len(w) for w, _ in both])
 
 
-def losses(word: np.ndarray, pair: np.ndarray, start: np.ndarray, total: int, share: float) -> np.ndarray:
-    """-log p of each word by the counts of it and of its pair; ``start`` says which words begin a document."""
-    before = np.append(0, word[:-1])
-    before[start], pair = 0, np.where(start, 0, pair)
-    return -np.log((pair + KAPPA * (word + share) / (total + WORDS)) / (before + KAPPA))
+def own_counts(doc: np.ndarray, place: np.ndarray, kinds: int) -> np.ndarray:
+    """For each occurrence, how often its key stands in its document."""
+    _, back, n = np.unique(doc * np.int64(max(1, kinds)) + place, return_inverse=True, return_counts=True)
+    return n[back]
 
 
-def score(docs: DataFrame, target: BigramModel, background: BigramModel) -> DataFrame:
-    """doc_id, n_words, the mean losses in nats and ``score``, background less target: higher is liker the target."""
-    bits = background.bits
-    totals = int(background.total.sum()), int(target.total.sum())
-    share = min(1.0, WORDS / (1 + max(int(background.kinds.sum()), int(target.kinds.sum()))))
-    groups = grouped(docs)
-    sent, answered, result = arrow(KEYS), arrow(FOUND), arrow(SCORES)
+def counted(groups: DataFrame, places: DataFrame, bits: int) -> DataFrame:
+    """The stored answers of the buckets: FOUND rows of the groups, and one without a group for each bucket's sums."""
+    sent, answered = arrow(KEYS), arrow(FOUND)
 
     def send(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                words, pairs, _ = group_keys(batch.column("body")[k].as_py(), np.array(batch.column("sizes")[k].as_py(), np.int64))
-                key = np.unique(np.append(words, pairs))
+                words, pairs, lengths = group_keys(batch.column("body")[k].as_py(), np.array(batch.column("sizes")[k].as_py(), np.int64))
+                key, place, n = np.unique(np.append(words, pairs), return_inverse=True, return_counts=True)
+                chosen = np.zeros(len(lengths), bool)
+                chosen[batch.column("places")[k].as_py() or []] = True
+                target = np.bincount(place[np.tile(np.repeat(chosen, lengths), 2)], minlength=len(key))
                 for b, i, j in cuts(key, bits):
-                    yield row(sent, b, batch.column("group")[k].as_py(), packed_keys(key[i:j]))
+                    yield row(sent, b, batch.column("group")[k].as_py(), packed_keys(key[i:j]), packed(n[i:j]), packed(target[i:j]))
 
     def answer(batches):
-        at, models = None, {}
+        def close():
+            key, place = np.unique(np.concatenate(ks), return_inverse=True)
+            totals = [np.bincount(place, np.concatenate(ns), len(key)).astype(np.int64) for ns in (bs, ts)]
+            word, at = (key & np.uint64(1)).astype(bool), 0
+            for g, k in zip(gs, ks, strict=True):
+                mine = place[at : at + len(k)]
+                at += len(k)
+                yield row(answered, bucket, g, packed(totals[0][mine]), packed(totals[1][mine]), 0, 0, 0)
+            yield row(answered, bucket, None, None, None, int(totals[0][word].sum()), int(totals[1][word].sum()), int(word.sum()))
+
+        bucket, gs, ks, bs, ts = None, [], [], [], []
         for batch in batches:
             for k in range(batch.num_rows):
-                b, kind = batch.column("bucket")[k].as_py(), batch.column("kind")[k].as_py()
-                if b != at:
-                    at, models = b, {}
-                key = opened_keys(batch.column("keys")[k].as_py())
-                if kind < 2:
-                    models[kind] = key, opened(batch.column("counts")[k].as_py())
-                    continue
-                out = []
-                for m in (0, 1):
-                    n = np.zeros(len(key), np.uint64)
-                    if m in models:
-                        known, counts = models[m]
-                        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                        n = np.where(known[place] == key, counts[place], np.uint64(0))
-                    out.append(packed(n))
-                yield row(answered, b, batch.column("group")[k].as_py(), *out)
+                b = batch.column("bucket")[k].as_py()
+                if b != bucket:
+                    if gs:
+                        yield from close()
+                    bucket, gs, ks, bs, ts = b, [], [], [], []
+                gs.append(batch.column("group")[k].as_py())
+                ks.append(opened_keys(batch.column("keys")[k].as_py()))
+                bs.append(opened(batch.column("background")[k].as_py()))
+                ts.append(opened(batch.column("target")[k].as_py()))
+        if gs:
+            yield from close()
+
+    asked = groups.select("group", "sizes", "body").join(places, "group", "left").mapInArrow(send, KEYS)
+    return stored(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, FOUND))
+
+
+def score(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, n_words, the mean losses in nats and ``score``, background less target: higher is liker the target.
+
+    ``target`` names the target documents in its column doc_id; the background is all of docs.
+    """
+    groups, result = grouped(docs), arrow(SCORES)
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    at = groups.select("group", F.posexplode("doc_ids").alias("place", "doc_id"))
+    places = stored(at.join(ids, "doc_id").groupBy("group").agg(F.collect_list("place").alias("places")))  # of one group: at most its documents
+    found = counted(groups, places, bucket_bits(docs))
+    sums = found.where("group IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_background", "n_target", "n_kinds"))).first()
+    totals, kinds = (int(sums["n_background"]), int(sums["n_target"])), max(1, int(sums["n_kinds"]))
+    share = min(1.0, WORDS / kinds)
 
     def add(batches):
         def close():
             words, pairs, lengths = group_keys(body, sizes)
-            _, place = np.unique(np.append(words, pairs), return_inverse=True)
-            doc = np.repeat(np.arange(len(lengths)), lengths)
+            chosen = np.zeros(len(lengths), bool)
+            chosen[places_] = True
+            if not len(words):
+                none = np.zeros(len(lengths))
+                return pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(lengths, pa.int64()), *(pa.array(none) for _ in range(3))], schema=result)
+            key, place = np.unique(np.append(words, pairs), return_inverse=True)
+            n, doc = len(words), np.repeat(np.arange(len(lengths)), lengths)
             start = np.diff(doc, prepend=-1) > 0
+            own = own_counts(doc, place[:n], len(key)), own_counts(doc, place[n:], len(key))
+            end = np.searchsorted(key, END)
             means = []
             for m in (0, 1):
-                n = np.concatenate([f[m] for f in found]).astype(np.float64)[place] if len(words) else np.empty(0)
-                each = losses(n[: len(words)], n[len(words) :], start, totals[m], share) if len(words) else n
+                count = np.concatenate([f[m] for f in answers]).astype(np.float64)
+                mine = 1.0 if m == 0 else chosen[doc].astype(np.float64)
+                word = count[place[:n]] - mine * own[0]
+                before = np.append(0.0, word[:-1])
+                before[start] = (count[end] - mine)[start] if m else count[end] - 1.0
+                pair = count[place[n:]] - mine * own[1]
+                p = (word + share) / (totals[m] - mine * lengths[doc] + share * kinds)
+                each = -np.log((pair + KAPPA * p) / (before + KAPPA))
                 means.append(np.bincount(doc, each, minlength=len(lengths)) / np.maximum(1, lengths))
             b, t = means
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(t), pa.array(b), pa.array(b - t)], schema=result)
+            return pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(np.maximum(0, lengths - 1), pa.int64()), pa.array(t), pa.array(b), pa.array(b - t)], schema=result)
 
         body = None
         for batch in batches:
             for k in range(batch.num_rows):
-                if batch.column("bucket")[k].as_py() < 0:  # a group's texts come before its counts
+                bucket = batch.column("bucket")[k].as_py()
+                if bucket == -2:  # a group's texts come first, then its target documents, then its counts
                     if body is not None:
                         yield close()
-                    ids, sizes, body, found = batch.column("doc_ids")[k].as_py(), np.array(batch.column("sizes")[k].as_py(), np.int64), batch.column("body")[k].as_py(), []
+                    ids_, sizes, body = batch.column("doc_ids")[k].as_py(), np.array(batch.column("sizes")[k].as_py(), np.int64), batch.column("body")[k].as_py()
+                    places_, answers = [], []
+                elif bucket == -1:
+                    places_ = batch.column("places")[k].as_py()
                 else:
-                    found.append([opened(batch.column(c)[k].as_py()) for c in ("background", "target")])
+                    answers.append([opened(batch.column(c)[k].as_py()) for c in ("background", "target")])
         if body is not None:
             yield close()
 
-    asked = groups.select("group", "sizes", "body").mapInArrow(send, KEYS).withColumn("kind", F.lit(2))
-    for kind, model in enumerate((background, target)):
-        asked = asked.unionByName(model.table.select("bucket", "keys", "counts", F.lit(kind).alias("kind")), allowMissingColumns=True)
-    found = asked.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, FOUND)
-    both = found.unionByName(groups.withColumn("bucket", F.lit(-1)), allowMissingColumns=True)
+    both = groups.withColumn("bucket", F.lit(-2)).unionByName(places.withColumn("bucket", F.lit(-1)), allowMissingColumns=True)
+    both = both.unionByName(found.where("group IS NOT NULL").select("bucket", "group", "background", "target"), allowMissingColumns=True)
     return both.repartition("group").sortWithinPartitions("group", "bucket").mapInArrow(add, SCORES)

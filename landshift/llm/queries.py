@@ -34,9 +34,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is all documents labelled good, but for the held-out ones; the background is all documents."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    good = labels.where((F.col("quality") == 1) & trained_on(F.col("doc_id"))).select("doc_id").distinct()
-    target, background = lm_scoring.train(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
-    return lm_scoring.score(docs, target, background)
+    return lm_scoring.score(docs, labels.where((F.col("quality") == 1) & trained_on(F.col("doc_id"))))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

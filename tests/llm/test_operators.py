@@ -128,26 +128,40 @@ def test_decontamination_blocks_and_empty(spark, documents, monkeypatch):
 # LM scoring
 
 
-def test_lm_scores_follow_the_formula(documents, odd):
-    target, docs = documents([(1, "a b a b c"), (2, None)]), documents([(1, "a b a b c"), (2, "c c d"), (3, ""), (4, None)])
-    t, b = lm_scoring.train(docs, target)
-    assert t.total.sum() == 5 and b.total.sum() == 8 and b.pairs.sum() == 8
-    got = {r["doc_id"]: r for r in lm_scoring.score(docs, t, b).collect()}
-
-    def loss(seq, corpus):
-        n, uni, bi = sum(map(len, corpus)), Counter(w for s in corpus for w in s), Counter(p for s in corpus for p in zip(s, s[1:], strict=False))
-        total = 0.0
-        for k, w in enumerate(seq):
-            p = (uni[w] + 1) / (n + lm_scoring.WORDS)
-            history, seen = (uni[seq[k - 1]], bi[seq[k - 1], w]) if k else (0, 0)
-            total -= math.log((seen + lm_scoring.KAPPA * p) / (history + lm_scoring.KAPPA))
-        return total / len(seq)
-
-    a, c = [list("ababc")], [list("ababc"), list("ccd")]
-    assert got[1]["target_loss"] == pytest.approx(loss(a[0], a), rel=1e-5) and got[2]["background_loss"] == pytest.approx(loss(c[1], c), rel=1e-5)
-    assert got[1]["score"] > got[2]["score"] and got[3]["score"] == got[4]["score"] == 0.0
-    assert lm_scoring.score(odd, t, b).count() == len(ODD)
-    assert lm_scoring.count(documents(EMPTY)).sum() == 0
+def lm_losses(texts_, chosen):
+    """(n_words, target loss, background loss) of each text by the formula, its own counts taken out."""
+    split = [(s or "").split() for _, s in texts_]
+    kinds = len({w for s in split for w in s}) + any(split)
+    share = min(1.0, lm_scoring.WORDS / max(1, kinds))
+    models = []
+    for inside in (chosen, [True] * len(split)):
+        mine = [["^", *s, "$"] for s, c in zip(split, inside, strict=True) if c and s]
+        models.append((inside, Counter(w for s in mine for w in s[1:]), Counter(p for s in mine for p in zip(s, s[1:], strict=False)), len(mine)))
+    out = []
+    for k, s in enumerate(split):
+        seq, means = ["^", *s, "$"], []
+        for inside, uni, bi, n in models:
+            uni, bi, n = Counter(uni), bi, n
+            own_uni, own_bi = (Counter(seq[1:]), Counter(zip(seq, seq[1:], strict=False))) if inside[k] else (Counter(), Counter())
+            size, total = sum(uni.values()) - own_uni.total(), 0.0
+            for v, w in zip(seq, seq[1:], strict=False) if s else ():
+                p = (uni[w] - own_uni[w] + share) / (size + share * kinds)
+                history = n - inside[k] if v == "^" else uni[v] - own_uni[v]
+                total -= math.log((bi[v, w] - own_bi[v, w] + lm_scoring.KAPPA * p) / (history + lm_scoring.KAPPA))
+            means.append(total / (len(s) + 1) if s else 0.0)
+        out.append((len(s), *means))
+    return out
+
+
+def test_lm_scores_follow_the_formula(spark, documents, odd):
+    texts_ = [(1, "a b a b c"), (2, "c c d"), (3, ""), (4, None), (5, "a b a b c"), (None, "a b"), (6, "d d d d")]
+    ids = spark.createDataFrame([(1,), (2,), (4,), (None,), (77,)], "doc_id long")
+    got = {r["doc_id"]: (r["n_words"], r["target_loss"], r["background_loss"]) for r in lm_scoring.score(documents(texts_), ids).collect()}
+    for (i, _), want in zip(texts_, lm_losses(texts_, [i in (1, 2, 4) for i, _ in texts_]), strict=True):
+        assert got[i] == pytest.approx(want, rel=1e-9, abs=1e-12)
+    assert lm_scoring.score(odd, ids).count() == len(ODD)
+    assert lm_scoring.score(documents(EMPTY), ids).count() == 0
+    assert lm_scoring.score(documents([(1, None), (2, " ")]), ids).where("score = 0").count() == 2
 
 
 def test_lm_counts_are_exact_beyond_any_fixed_size(spark, documents, monkeypatch):
@@ -158,28 +172,29 @@ def test_lm_counts_are_exact_beyond_any_fixed_size(spark, documents, monkeypatch
     monkeypatch.setattr(lm_scoring, "GROUP", 300_000)
     monkeypatch.setattr(lm_scoring, "BUCKET", 500_000)
     docs = documents(texts_)
-    t, b = lm_scoring.train(docs, docs.where("doc_id < 8 OR doc_id > 100"))
-    assert b.bits > 2
-    uni, bi, size, kinds = {}, {}, {}, len({w for _, s in texts_ for w in (s or "").split()})
-    for name, chosen in (("b", texts_), ("t", [(i, s) for i, s in texts_ if i is not None and (i < 8 or i > 100)])):
-        split = [(s or "").split() for _, s in chosen]
-        uni[name], bi[name] = Counter(w for s in split for w in s), Counter(p for s in split for p in zip(s, s[1:], strict=False))
-        size[name] = sum(map(len, split))
-    share = min(1.0, lm_scoring.WORDS / (1 + kinds))
-
-    def loss(seq, m):
-        total = 0.0
-        for k, w in enumerate(seq):
-            p = (uni[m][w] + share) / (size[m] + lm_scoring.WORDS)
-            history, seen = (uni[m][seq[k - 1]], bi[m][seq[k - 1], w]) if k else (0, 0)
-            total -= math.log((seen + lm_scoring.KAPPA * p) / (history + lm_scoring.KAPPA))
-        return total / max(1, len(seq))
-
-    got = {r["doc_id"]: r for r in lm_scoring.score(docs, t, b).collect()}
+    assert lm_scoring.bucket_bits(docs) > 2
+    got = {r["doc_id"]: (r["n_words"], r["target_loss"], r["background_loss"]) for r in lm_scoring.score(docs, docs.where("doc_id < 8 OR doc_id > 100")).collect()}
     assert len(got) == len(texts_)
-    for i, s in texts_:
-        seq = (s or "").split()
-        assert got[i]["n_words"] == len(seq) and got[i]["background_loss"] == pytest.approx(loss(seq, "b"), rel=1e-9, abs=1e-12) and got[i]["target_loss"] == pytest.approx(loss(seq, "t"), rel=1e-9, abs=1e-12)
+    for (i, _), want in zip(texts_, lm_losses(texts_, [i is not None and (i < 8 or i > 100) for i, _ in texts_]), strict=True):
+        assert got[i] == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
+def test_lm_probabilities_sum_to_one():
+    """Over the vocabulary and the end, after any word, as the smoothing is written."""
+    kinds, share = 3 + 1, 1.0
+    uni, after = {"a": 4, "b": 2, "c": 0, "$": 3}, {"a": 1, "b": 2, "c": 0, "$": 1}
+    p = {w: (n + share) / (sum(uni.values()) + share * kinds) for w, n in uni.items()}
+    assert sum((after[w] + lm_scoring.KAPPA * p[w]) / (uni["a"] + lm_scoring.KAPPA) for w in uni) == pytest.approx(1)
+
+
+def test_op3_scores_target_and_held_out_texts_alike(spark):
+    """Own counts are out: trained-on good rows don't stand out beside held-out good rows."""
+    sf = "/root/testdata/sf0.01"
+    scored = {r["doc_id"]: r["score"] for r in queries.op3_lm_scoring(spark, sf).collect()}
+    good = [r["doc_id"] for r in read(spark, sf, "labels").where("quality = 1").collect()]
+    held = [scored[i] for i in good if zlib.crc32(str(i).encode()) % 5 == 0]
+    trained = [scored[i] for i in good if zlib.crc32(str(i).encode()) % 5]
+    assert abs(np.median(held) - np.median(trained)) < 0.15
 
 
 # BPE and token files
