@@ -7,8 +7,9 @@ Inside a word a priority queue of merge ranks
 works over a doubly linked list of symbols; entries whose symbols have changed since they
 were queued are stale and skipped.  Decoding joins the vocabulary's strings with a space.
 
-No merge and no pattern crosses white space, so a worker keeps the ids of the words it has
-met (CACHE words at most, then it starts over).
+No merge and no pattern crosses white space, so a task keeps the ids of the words it has met
+(CACHE words at most, then it starts over); a worker that goes on to other work holds the
+vocabulary alone.
 
 Defined cases: a null text is empty and has no ids; its decoded text is empty; repeated rows
 and any length of text are encoded each for itself, with or without doc_id; of pairs of one
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from copy import copy
 from functools import lru_cache
 from itertools import chain
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from landshift.llm.common import lists, map_texts, texts
 
-#: Words, and pieces of words, whose ids a worker keeps.
+#: Words, and pieces of words, whose ids a task keeps.
 CACHE = 300_000
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -71,6 +73,12 @@ class WordBpe:
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.names = np.array([self.strings.get(i, "") for i in range(max(self.strings) + 1)], object)
 
+    def emptied(self) -> WordBpe:
+        """The same vocabulary with caches of its own."""
+        out = copy(self)
+        out.words, out.pieces = {}, {}
+        return out
+
     def merge(self, ids: list[int]) -> list[int]:
         """The ids that are left when no adjacent pair has a rank."""
         n, merges = len(ids), self.merges
@@ -141,7 +149,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def make():
-        bpe = loaded(path)
+        bpe = loaded(path).emptied()
 
         def run(batch, values):
             each = [bpe.encode(x or b"") for x in values]

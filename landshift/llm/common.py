@@ -73,6 +73,33 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, list[b
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, list[bytes | None]], dict]], added: str) -> DataFrame:
+    """Like ``map_texts``, but the rows keep all their columns and get (or change) those of ``added``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    more = StructType.fromDDL(added)
+    schema = StructType([f for f in df.schema if f.name not in more.names] + list(more))
+    to = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for whole in batches:
+            for batch in slices(whole):
+                cols = f(batch, batch.column("text").cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(cols[n], to.field(n).type) if n in cols else batch.column(n).cast(to.field(n).type) for n in to.names], schema=to)
+
+    return df.mapInArrow(run, schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lists(flat: np.ndarray, counts: Iterable[int], kind: pa.DataType) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=offsets[1:])
@@ -89,9 +116,11 @@ def scratch(spark: SparkSession) -> str:
     sc = spark.sparkContext
     home = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not home:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("name a folder that the cluster shares in spark.checkpoint.dir")
         import tempfile
 
-        home = tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp")  # only where no cluster names one
+        home = tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # one machine alone, as in tests
         sc.setCheckpointDir(home)
     path = f"{home.rstrip('/')}/landshift-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -20,11 +20,10 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landshift.llm.common import map_texts, texts, trained_on
+from landshift.llm.common import fresh, map_rows, map_texts, texts, trained_on
 from landshift.llm.quality_rules import PUNCTUATION, SEPARATORS, SPACE, repeated_words
 
 #: Labelled rows to fit on, at most.
@@ -199,10 +198,13 @@ def score(docs: DataFrame, model: RuleModel) -> DataFrame:
 
 def keep(docs: DataFrame, model: RuleModel, least: float) -> DataFrame:
     """The rows of docs, all their columns as they are, whose score is at least ``least``."""
-    kind = ", ".join(f"{s} double" for s in STATISTICS)
+    name = fresh(docs, "measured")
 
-    @F.pandas_udf(kind)
-    def measured(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure((x or "").encode()) for x in text], columns=list(STATISTICS))
+    def make():
+        def run(batch, values):
+            return {name: [dict(zip(STATISTICS, measure(x or b""), strict=True)) for x in values]}
+
+        return run
 
-    return docs.where(model.column(measured(F.col("text").cast("string"))) >= least)
+    kind = f"{name} struct<" + ", ".join(f"{s}: double" for s in STATISTICS) + ">"
+    return map_rows(docs, make, kind).where(model.column(F.col(name)) >= least).select(*docs.columns)

@@ -27,20 +27,19 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landshift.llm.common import arrow, map_texts, slices, texts
+from landshift.llm.common import arrow, fresh, map_rows, map_texts, slices, texts
 from landshift.llm.near_dedup import PRIME_MIX, mixed, word_hashes
 
 ROUNDS = 2
 #: Buckets of anchors at least: a document's marks come back in a row for each bucket that has one.
 BUCKETS = 256
 #: Words that a task names at one time.
-CHUNK = 700_000
+CHUNK = 350_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 RECORDS = "bucket int, doc_id long, tag int, starts binary, payload binary"
 MARKS = "doc_id long, tag int, starts binary"
@@ -208,14 +207,14 @@ def records(ids: np.ndarray, tags: np.ndarray, found: list[np.ndarray], size: in
         used, index = np.unique(doc_of[mine], return_inverse=True)
         same = np.diff(index, prepend=0) == 0
         step = np.where(same, np.diff(at[mine], prepend=0), at[mine]).astype("<i4")
-        small = b"".join(x.tobytes() for x in (np.diff(ids[used], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.copy(), tags[used].astype("<u2"), index.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy(), step.view(np.uint8).reshape(-1, 4).T.copy(), n.astype("<u2")))
+        small = b"".join(x.tobytes() for x in (np.diff(ids[used], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.copy(), tags[used].astype("<u4"), index.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy(), step.view(np.uint8).reshape(-1, 4).T.copy(), n.astype("<u2")))
         small = squeeze.compress(small)
         head = np.array([len(mine), len(used), len(each), len(small)], "<u4").tobytes()
         yield b, None, None, None, head + small + cut48(name[mine]) + cut48(whole[each])
 
 
 def opened(payload: bytes) -> tuple[np.ndarray, ...]:
-    """doc_id, tag, start and identity of each window of a payload."""
+    """doc_id, tag, start and the two names (of the anchor, of the window; 48 bits each) of each window of a payload."""
     m, n_docs, total, length = np.frombuffer(payload, "<u4", 4).tolist()
     small = zstandard.ZstdDecompressor().decompress(payload[16 : 16 + length])
     at = 0
@@ -227,7 +226,7 @@ def opened(payload: bytes) -> tuple[np.ndarray, ...]:
         at += width * n
         return (np.ascontiguousarray(raw.reshape(width, n).T).reshape(-1) if planes else raw).view(dtype)
 
-    ids, tags = np.cumsum(take("<i8", n_docs, True)), take("<u2", n_docs)
+    ids, tags = np.cumsum(take("<i8", n_docs, True)), take("<u4", n_docs)
     index, step, n = take("<u4", m, True).astype(np.int64), take("<i4", m, True).astype(np.int64), take("<u2", m).astype(np.int64)
     name, check = joined48(payload, m, 16 + length), joined48(payload, total, 16 + length + 6 * m)
     first = np.diff(index, prepend=-1) != 0
@@ -237,15 +236,16 @@ def opened(payload: bytes) -> tuple[np.ndarray, ...]:
     start = np.where(np.arange(m) == 0, step, run - base)
     of = np.repeat(np.arange(m), n)
     inside = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-    return ids[index][of], tags[index][of].astype(np.int64), start[of] + inside, mixed(name[of] * PRIME_MIX + check)
+    return ids[index][of], tags[index][of].astype(np.int64), start[of] + inside, name[of], check
 
 
 def resolved(payloads: list[bytes]) -> list[tuple[int, int, bytes]]:
     """(doc_id, tag, starts) of the windows of one bucket that a smaller doc_id has too."""
     parts = [opened(p) for p in payloads]
-    ids, tags, starts, same = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    order = np.argsort(same)
-    first = np.flatnonzero(np.diff(same[order], prepend=same[order[0]] ^ np.uint64(1)))
+    ids, tags, starts, name, check = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    order = np.lexsort((name, check))
+    name, check = name[order], check[order]
+    first = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (check[1:] != check[:-1])))
     least = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.append(first, len(order))))
     gone = order[ids[order] > least]
     key, back = np.unique(np.stack([ids[gone], tags[gone]]), axis=1, return_inverse=True)
@@ -318,12 +318,13 @@ def without(text: bytes, gone: np.ndarray) -> bytes:
     return (text[: spans[0][0]] if spans else b"") + b"".join(text[a:e] for (a, _), e, g in zip(spans, ends, gone, strict=True) if not g)
 
 
-def marked(docs: DataFrame, size: int) -> DataFrame:
-    """The documents with ``_starts``, the starts of their removed windows (null: none)."""
-    tag = F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    found = marks(texts(docs, tag.alias("tag")), size)
-    found = found.groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list("starts").alias("_starts"))  # of one document: at most its windows
-    return docs.join(found, (F.col("doc_id").cast("long") == F.col("_doc")) & (tag == F.col("_tag")), "left").drop("_doc", "_tag")
+def marked(docs: DataFrame, size: int, name: str) -> DataFrame:
+    """The documents with the column ``name``, the starts of their removed windows (null: none)."""
+    doc, tag = fresh(docs, "doc_of_marks"), fresh(docs, "tag_of_marks")
+    of = F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    found = marks(texts(docs, of.alias("tag")), size)
+    found = found.groupBy(F.col("doc_id").alias(doc), F.col("tag").alias(tag)).agg(F.collect_list("starts").alias(name))  # of one document: at most its windows
+    return docs.join(found, (F.col("doc_id").cast("long") == F.col(doc)) & (of == F.col(tag)), "left").drop(doc, tag)
 
 
 def removed(n: int, starts: list[bytes], size: int) -> np.ndarray:
@@ -347,32 +348,38 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
             return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode()
 
         def run(batch, values):
-            rows = [one(x or b"", s) for x, s in zip(values, batch.column("_starts").to_pylist(), strict=True)]
+            rows = [one(x or b"", s) for x, s in zip(values, batch.column("starts_of_marks").to_pylist(), strict=True)]
             return dict(zip(("n_words", "n_removed", "kept"), zip(*rows, strict=True), strict=True)) | {"doc_id": batch.column("doc_id")}
 
         return run
 
-    return map_texts(texts(marked(docs, size), "_starts"), make, "doc_id long, n_words long, n_removed long, kept string")
+    return map_texts(texts(marked(docs.select("doc_id", "text"), size, "starts_of_marks"), "starts_of_marks"), make, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def cut_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     """The documents, all their columns, with the removed words cut from ``text`` and ``n_chars`` (if there) made to follow.
 
-    The white space after a removed word goes with it; a text that loses nothing stays as it is.
+    The white space after a removed word goes with it; a text that loses nothing stays as it
+    is, and so does a null.
     """
+    name = fresh(docs, "starts_of_marks")
+    counted = "n_chars" in docs.columns
+    both = docs.withColumns({"text": F.col("text").cast("string")} | ({"n_chars": F.col("n_chars").cast("long")} if counted else {}))
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, starts: pd.Series) -> pd.Series:
-        def one(x, s):
-            if x is None or s is None or not len(s):
-                return x
-            raw = x.encode()
-            return without(raw, removed(len(raw.split()), list(s), size)).decode()
-
-        return pd.Series([one(x, s) for x, s in zip(text, starts, strict=True)])
-
-    both = marked(docs, size)
-    both = both.withColumn("text", F.when(F.col("_starts").isNull(), F.col("text").cast("string")).otherwise(cut(F.col("text").cast("string"), "_starts")))
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("_starts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return both.select(*docs.columns)
+    def make():
+        def run(batch, values):
+            texts_, sizes = [], batch.column("n_chars").to_pylist() if counted else []
+            for k, (raw, starts) in enumerate(zip(values, batch.column(name).to_pylist(), strict=True)):
+                if raw is None or not starts:
+                    texts_.append(raw and raw.decode())
+                    continue
+                texts_.append(without(raw, removed(len(raw.split()), starts, size)).decode())
+                if counted:
+                    sizes[k] = len(texts_[-1])
+            texts_ = [None if raw is None else x or "" for raw, x in zip(values, texts_, strict=True)]
+            return {"text": texts_} | ({"n_chars": sizes} if counted else {})
+
+        return run
+
+    out = map_rows(marked(both, size, name), make, "text string" + (", n_chars long" if counted else ""))
+    return out.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in docs.schema))
