@@ -52,8 +52,8 @@ def to_world(x: Column, y: Column, affine: tuple[float, ...]) -> tuple[Column, C
     return x * a + y * b + c, x * d + y * e + f
 
 
-def utm_to_wgs84(easting: Column, northing: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
-    """Longitude and latitude by the Krueger series of the inverse transverse Mercator projection (to n^3)."""
+def utm_to_wgs84(easting: Column, northing: Column, zone: int, north: bool = True, m=F) -> tuple[Column, Column]:
+    """Longitude and latitude by the Krueger series of the inverse transverse Mercator projection (to n^3).  ``m`` is NumPy for arrays."""
     a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
     n = f / (2 - f)
     radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
@@ -63,14 +63,30 @@ def utm_to_wgs84(easting: Column, northing: Column, zone: int, north: bool = Tru
     eta = (easting - 500000.0) / (k0 * radius)
     xi0, eta0 = xi, eta
     for j, b in enumerate(beta, 1):
-        xi0 = xi0 - F.sin(xi * 2 * j) * F.cosh(eta * 2 * j) * b
-        eta0 = eta0 - F.cos(xi * 2 * j) * F.sinh(eta * 2 * j) * b
-    chi = F.asin(F.sin(xi0) / F.cosh(eta0))
+        xi0 = xi0 - m.sin(xi * 2 * j) * m.cosh(eta * 2 * j) * b
+        eta0 = eta0 - m.cos(xi * 2 * j) * m.sinh(eta * 2 * j) * b
+    chi = m.asin(m.sin(xi0) / m.cosh(eta0))
     lat = chi
     for j, d in enumerate(delta, 1):
-        lat = lat + F.sin(chi * 2 * j) * d
-    lon = F.lit(math.radians(zone * 6 - 183)) + F.atan2(F.sinh(eta0), F.cos(xi0))
-    return F.degrees(lon), F.degrees(lat)
+        lat = lat + m.sin(chi * 2 * j) * d
+    lon = m.atan2(m.sinh(eta0), m.cos(xi0)) + math.radians(zone * 6 - 183)
+    return m.degrees(lon), m.degrees(lat)
+
+
+#: Names of geographic coordinates that need no warp.
+GEOGRAPHIC = ("EPSG:4326", "OGC:CRS84", "CRS84")
+
+
+def ring_to_wgs84(ring: Column, affine: tuple[float, ...] | None, crs: str | None) -> Column:
+    """A ring of (column, row) corners in longitudes and latitudes; as it is without affine or crs, unwarped in geographic ones."""
+    if not affine or not crs:
+        return ring
+
+    def place(p: Column) -> Column:
+        x, y = to_world(p[0], p[1], affine)
+        return F.array(x, y) if crs in GEOGRAPHIC else F.array(*utm_to_wgs84(x, y, int(crs[-2:]), crs.startswith("EPSG:326")))
+
+    return F.transform(ring, place)
 
 
 def crosses(p: np.ndarray, q: np.ndarray) -> bool:

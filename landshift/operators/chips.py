@@ -64,3 +64,34 @@ def embed(chips: DataFrame, model: Callable[[], MeanStdModel]) -> DataFrame:
             yield pd.Series([None if x is None else m.features(np.asarray(x, float).reshape(len(m.bands), -1)) for x in data])
 
     return chips.withColumn("features", run("data"))
+
+
+def bands_of(pairs: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """Of each pair's band lists ``before_bands`` and ``after_bands``: the common ones, and the required ones that either lacks."""
+    common = F.array_intersect("before_bands", "after_bands")
+    return pairs.withColumns({"common": F.array_sort(common), "missing": F.array_sort(F.array_except(F.array(*map(F.lit, required)), common))})
+
+
+def compared(cells: DataFrame, keys: list[str], model: Callable[[], MeanStdModel], before: list[str], after: list[str], size: int) -> DataFrame:
+    """``distance`` of the features before and after of each chip, ``distance_norm`` within its grid, and ``covered``, the pixels of the grid that it stands for.
+
+    ``cells`` are those of ``padded_chips``, with the bands' columns in the model's order.
+    """
+    at = [*keys, "top", "left"]
+    chip = cells.groupBy(*at).agg(F.first("height").alias("height"), F.first("width").alias("width"), F.array_sort(F.collect_list(F.struct("i", "j", *before, *after))).alias("_cells"))  # size x size of them
+
+    def band(name: str) -> Column:
+        return F.transform("_cells", lambda x: x[name].cast("double"))
+
+    for side, names in (("_before", before), ("_after", after)):
+        flat = F.concat(*map(band, names))
+        chip = embed(chip.withColumn("data", flat), model).withColumnRenamed("features", side)
+    covered = F.least(F.lit(size), F.col("height") - F.col("top")) * F.least(F.lit(size), F.col("width") - F.col("left"))
+    out = chip.select(*at, covered.cast("long").alias("covered"), feature_distance(F.col("_before"), F.col("_after")).alias("distance"))
+    return min_max(out, keys, "distance")
+
+
+def branch_summary(scored: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """One row a grid: chips, mean and largest score over its pixels, and the model that gave them."""
+    mean = F.sum(F.col("distance_norm") * F.col("covered")) / F.sum("covered")
+    return scored.groupBy(*keys).agg(F.count("*").alias("chip_count"), mean.alias("change_score_mean"), F.max("distance_norm").alias("change_score_max")).withColumn("adapter_version", F.lit(version))

@@ -82,6 +82,24 @@ def key_hash(key: Column) -> Column:
     return F.sha2(key, 256)
 
 
+def key_touched(keys: DataFrame, presented: DataFrame) -> DataFrame:
+    """The key table with ``last_used`` moved to the newest time at which a key of that hash was presented; unknown keys touch nothing."""
+    seen = presented.groupBy("key_hash").agg(F.max("ts").alias("_seen"), F.count("*").alias("uses"))
+    return keys.join(seen, "key_hash", "left").withColumns({"last_used": F.greatest("last_used", "_seen"), "uses": F.coalesce("uses", F.lit(0))}).drop("_seen")
+
+
+def reviews_of(reviews: DataFrame, runs: DataFrame, polygons: DataFrame, asked: DataFrame) -> DataFrame:
+    """The reviews of each asked portfolio and state (null: any state; a missing portfolio has none), one plan for all who ask."""
+    placed = reviews.join(runs.select("run_id", "polygon_id"), "run_id").join(polygons.select("polygon_id", "portfolio_id"), "polygon_id")
+    return placed.join(asked.withColumnRenamed("state", "_state"), "portfolio_id").where(F.col("_state").isNull() | (F.col("_state") == F.col("state"))).drop("_state")
+
+
+def completion_edges(polls: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Polls at which a key's status is completed and was not at the poll before: when its findings are to be read again."""
+    before = F.lag("status").over(Window.partitionBy(key).orderBy(*order))
+    return polls.withColumn("_before", before).where((F.col("status") == "completed") & (F.coalesce("_before", F.lit("")) != "completed")).drop("_before")
+
+
 def latest_state(log: DataFrame, key: str, state: str, order: list[str]) -> DataFrame:
     """State of each key by its last entry in an append-only log."""
     return log.groupBy(key).agg(F.max_by(state, F.struct(*order)).alias(state), F.count("*").alias("n_changes"))

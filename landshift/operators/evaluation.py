@@ -49,6 +49,22 @@ def gate(baseline: DataFrame, other: DataFrame, min_examples: int = 10, gain: fl
     return both.withColumns({"delta_precision": delta, "decision": decision})
 
 
+def paired(baseline: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Both arms' counts of each example, 1:1: an example that one arm lacks, or has twice, ends the job with an error."""
+    one = lambda df, side: df.groupBy(key).agg(F.count("*").alias(f"n_{side}"), *(F.first(c).alias(f"{c}_{side}") for c in ("tp", "fp", "fn")))
+    both = one(baseline, "baseline").join(one(other, "other"), key, "full")
+    fine = (F.col("n_baseline") == 1) & (F.col("n_other") == 1)
+    checked = F.when(F.coalesce(fine, F.lit(False)), F.col("tp_baseline")).otherwise(F.raise_error(F.concat(F.lit("arms don't pair at example "), F.col(key).cast("string"))).cast("long"))
+    return both.withColumn("tp_baseline", checked).drop("n_baseline", "n_other")
+
+
+def deltas(baseline: DataFrame, other: DataFrame) -> DataFrame:
+    """One row: the second arm's metrics less the first one's."""
+    names = ("precision_at_k", "recall_at_k", "fp_rate", "abstention_accuracy", "mean_finding_count")
+    both = [df.agg(*metrics()).select(F.lit(1).alias("k"), *(F.col(n).alias(f"{n}_{side}") for n in names)) for df, side in ((baseline, "a"), (other, "b"))]
+    return both[0].join(both[1], "k").select(*((F.col(f"{n}_b") - F.col(f"{n}_a")).alias(f"delta_{n}") for n in names))
+
+
 def report_lines(groups: DataFrame, name: str) -> DataFrame:
     """Sorted lines ``group: precision of the first arm, of the second, their difference, examples``."""
     line = F.format_string("| %s | %.4f | %.4f | %+.4f | %d |", F.col(name), F.col("baseline_precision"), F.col("other_precision"), F.col("other_precision") - F.col("baseline_precision"), F.col("n_examples"))

@@ -75,3 +75,8 @@ def images(pixels: DataFrame, keys: list[str]) -> DataFrame:
         return pdf[keys].head(1).assign(height=[rgb.shape[0]], width=[rgb.shape[1]], png=[png(rgb)])
 
     return pixels.select(*keys, "r", "c", "red", "green", "blue").groupBy(*keys).applyInPandas(one, f"{fields}, height int, width int, png binary")
+
+
+def directory_sizes(files: DataFrame) -> DataFrame:
+    """``mb`` of each ``directory`` by the ``length`` of its files, in millions of bytes."""
+    return files.groupBy("directory").agg((F.sum("length") / 1e6).alias("mb"))

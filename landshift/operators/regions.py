@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 from landshift.functions import indices
 
 
-def closing(pixels: DataFrame, keys: list[str], mask: str, size: int = 25) -> DataFrame:
+def filled(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for every place of each grid's box; the other columns are null where a pixel is missing."""
+    box = pixels.groupBy(*keys).agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    rows = box.withColumn("r", F.explode(F.sequence("r0", "r1")))
+    return rows.select(*keys, "r", F.explode(F.sequence("c0", "c1")).alias("c")).join(pixels, [*keys, "r", "c"], "left")
+
+
+def closing(pixels: DataFrame, keys: list[str], mask: str, size: int = 25, dense: bool = True) -> DataFrame:
     """Binary closing with a square of ``size``; ``mask`` is replaced.
 
     Dilation and erosion are each two one-dimensional windows.  Outside counts as unset, so
-    the erosion clears the border.  The grid must be dense.  One exchange on the grid's
-    keys serves all four windows.
+    the erosion clears the border.  A grid that may lack pixels is filled first (``dense``
+    False); its missing pixels come back as rows.  One exchange on the grid's keys serves all
+    four windows.
     """
+    if not dense:
+        pixels = filled(pixels, keys)
     half = size // 2
     across = Window.partitionBy(*keys, "r").orderBy("c").rowsBetween(-half, half)
     down = Window.partitionBy(*keys, "c").orderBy("r").rowsBetween(-half, half)
@@ -74,10 +84,10 @@ def components(pixels: DataFrame, keys: list[str], mask: str) -> DataFrame:
     return pixels.where(mask).select(*keys, "r", "c").groupBy(*keys).applyInPandas(one, f"{fields}, r long, c long, label long")
 
 
-def components_by_runs(pixels: DataFrame, keys: list[str], mask: str, rounds: int = 64) -> DataFrame:
+def components_by_runs(pixels: DataFrame, keys: list[str], mask: str) -> DataFrame:
     """The same labels without gathering a grid: runs of a row (gaps and islands), joined to overlapping runs of the next row.
 
-    For grids beyond one task's memory.  Labels spread by minima until nothing changes; each
+    For grids beyond one task's memory.  Labels merge until none touches a smaller one; each
     round is a checkpoint in the cluster's shared folder.
     """
     w = Window.partitionBy(*keys, "r").orderBy("c")
@@ -89,15 +99,16 @@ def components_by_runs(pixels: DataFrame, keys: list[str], mask: str, rounds: in
     touch = runs.join(below, [*keys, "r"]).where("a <= b2 AND a2 <= b").select(*keys, F.col("run").alias("u"), F.col("run2").alias("v"))
     edges = touch.union(touch.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
     now = runs.select(*keys, "run", "label").checkpoint()
-    for _ in range(rounds):
-        heard = edges.join(now.select(*keys, F.col("run").alias("v"), "label"), [*keys, "v"]).groupBy(*keys, "u").agg(F.min("label").alias("heard"))
-        new = now.join(heard.withColumnRenamed("u", "run"), [*keys, "run"], "left").withColumn("least", F.least("label", "heard"))
-        # A label names a run, whose own label is a step further.
-        jump = now.select(*keys, F.col("run").alias("least"), F.col("label").alias("further"))
-        new = new.join(jump, [*keys, "least"], "left").select(*keys, "run", F.least("least", "further").alias("label"), (F.least("least", "further") < F.col("label")).alias("moved")).checkpoint()
-        now = new.drop("moved")
-        if new.where("moved").isEmpty():
+    while True:
+        # A label's runs take together the least label that any of them touches; so labels at least halve where they meet.
+        ends = edges.join(now.select(*keys, F.col("run").alias("v"), F.col("label").alias("there")), [*keys, "v"]).join(now.select(*keys, F.col("run").alias("u"), "label"), [*keys, "u"])
+        better = ends.where("there < label").groupBy(*keys, "label").agg(F.min("there").alias("least")).checkpoint()
+        if better.isEmpty():
             break
+        new = now.join(better, [*keys, "label"], "left").select(*keys, "run", F.coalesce("least", "label").alias("label"))
+        # A label names a run, whose own label is a step further.
+        jump = new.select(*keys, F.col("run").alias("label"), F.col("label").alias("further"))
+        now = new.join(jump, [*keys, "label"]).select(*keys, "run", F.col("further").alias("label")).checkpoint()
     placed = on.join(runs.select(*keys, "r", "_island", "run"), [*keys, "r", "_island"]).join(now, [*keys, "run"])
     return placed.select(*keys, "r", "c", "label")
 

@@ -1,8 +1,8 @@
-"""Windowed reads of tiled GeoTIFF files as pixel rows: one partition for each tile that meets the window.
+"""Windowed reads of tiled GeoTIFF files as pixel rows: of a file only the tiles that meet the window are unpacked.
 
 Reads single-band, little-endian, tiled files with 16-bit or 8-bit samples, deflate or no
-compression.  Spark lists and ships the files' bytes (``binaryFile``) where executors cannot
-open a path themselves.
+compression.  Spark lists the files and reads each as one row (``binaryFile``), as executors
+cannot open every path themselves; a file has 2 GB at most.
 """
 
 from __future__ import annotations
@@ -124,6 +124,7 @@ def write_tiff(values: np.ndarray, size: int = 16, affine: tuple[float, ...] = (
     return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", entries) + body + struct.pack("<I", 0) + lists + geo + b"".join(tiles)
 
 
-def harmonised(fine: DataFrame, coarse: DataFrame, factor: int = 2) -> DataFrame:
-    """A coarser scene mask on a finer grid, nearest."""
-    return fine.withColumns({"_r": F.floor(F.col("r") / factor), "_c": F.floor(F.col("c") / factor)}).join(coarse.select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("value").alias("scl")), ["_r", "_c"]).drop("_r", "_c")
+def harmonised(fine: DataFrame, coarse: DataFrame, key: str = "path", factor: int = 2) -> DataFrame:
+    """A coarser scene mask on a finer grid, nearest; ``key`` names the scene of a pixel in both."""
+    names = {"_r": F.floor(F.col("r") / factor), "_c": F.floor(F.col("c") / factor)}
+    return fine.withColumns(names).join(coarse.select(key, F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("value").alias("scl")), [key, "_r", "_c"]).drop("_r", "_c")

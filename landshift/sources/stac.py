@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 #: Names of a catalog's assets and the bands they hold.
 ASSET_BANDS = {
     "coastal": "B01", "blue": "B02", "green": "B03", "red": "B04", "rededge1": "B05", "rededge2": "B06",
-    "rededge3": "B07", "nir": "B08", "nir09": "B09", "swir16": "B11", "swir22": "B12",
+    "rededge3": "B07", "nir": "B08", "nir08": "B8A", "swir16": "B11", "swir22": "B12",
 }
 #: Seconds before the second and third attempt are RETRY_S and twice that.
 ATTEMPTS, RETRY_S = 3, 2.0

@@ -10,8 +10,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from landshift.operators import chips, control_plane, evaluation, evidence, scenes
-from landshift.sources import geotiff, stac
+from landshift.functions import geometry
+from landshift.operators import chips, control_plane, evaluation, evidence, grids, scenes
+from landshift.sources import benchmark, geotiff, stac
 from landshift.streaming import monitoring
 
 
@@ -219,3 +220,71 @@ def test_geotiff_window(spark, tmp_path, deflate):
     small = tmp_path / "b.tif"
     small.write_bytes(geotiff.write_tiff(np.arange(16, dtype=np.uint8).reshape(4, 4)))
     assert geotiff.read_window(spark, str(small)).count() == 16
+
+
+def test_every_asset_has_its_band():
+    names = ["coastal", "blue", "green", "red", "rededge1", "rededge2", "rededge3", "nir", "nir08", "swir16", "swir22"]
+    assert stac.ASSET_BANDS == dict(zip(names, ["B01", "B02", "B03", "B04", "B05", "B06", "B07", "B08", "B8A", "B11", "B12"], strict=True))
+
+
+def test_masks_meet_pixels_of_their_own_scene(spark):
+    fine = spark.createDataFrame([("a", r, c, 1) for r in (0, 1) for c in (0, 1)] + [("b", 0, 0, 2)], "path string, r long, c long, value int")
+    coarse = spark.createDataFrame([("a", 0, 0, 4), ("b", 0, 0, 9)], "path string, r long, c long, value int")
+    got = sorted((r["path"], r["scl"]) for r in geotiff.harmonised(fine, coarse).collect())
+    assert got == [("a", 4)] * 4 + [("b", 9)]
+
+
+def test_benchmark_directories(spark, tmp_path):
+    for d, names in (("one", ("aoi.geojson", "expected.json", "request.json")), ("two", ("aoi.geojson", "expected.json")), ("three", ("aoi.geojson",))):
+        (tmp_path / d).mkdir()
+        for n in names:
+            (tmp_path / d / n).write_text(f"{d} {n}")
+    got = {r["example"]: (r["aoi"], r["expected"], r["request"]) for r in benchmark.read_examples(spark, str(tmp_path)).collect()}
+    assert got == {"one": ("one aoi.geojson", "one expected.json", "one request.json"), "two": ("two aoi.geojson", "two expected.json", None)}
+
+
+def test_arms_that_do_not_pair_end_the_job(spark):
+    kind = "example_id long, tp long, fp long, fn long"
+    a = spark.createDataFrame([(1, 1, 0, 0), (2, 1, 0, 0)], kind)
+    assert evaluation.paired(a, a, "example_id").count() == 2
+    for other in ([(1, 1, 0, 0)], [(1, 1, 0, 0), (2, 1, 0, 0), (2, 1, 0, 0)], [(1, 1, 0, 0), (2, 1, 0, 0), (3, 0, 0, 0)]):
+        with pytest.raises(Exception, match="pair at example"):
+            evaluation.paired(a, spark.createDataFrame(other, kind), "example_id").collect()
+
+
+BOX = "struct<crs: string, minx: double, miny: double, maxx: double, maxy: double, height: long, width: long>"
+
+
+def test_common_grids(spark):
+    utm = lambda x, y, w, h, crs="EPSG:32633": (crs, x, y, x + 10.0 * w, y + 10.0 * h, h, w)
+    rows = [
+        (1, utm(500000.0, 4600000.0, 20, 12), utm(500000.0, 4600000.0, 20, 12)),
+        (2, utm(500000.0, 4600000.0, 20, 12), utm(500030.0, 4599990.0, 20, 12)),
+        (3, utm(500000.0, 4600000.0, 20, 12), utm(700000.0, 4600000.0, 20, 12)),
+        (4, ("", 0.0, 0.0, 1.0, 1.0, 10, 10), ("EPSG:32633", 500000.0, 0.0, 500100.0, 100.0, 10, 10)),
+        (5, ("EPSG:4326", 14.9, 41.0, 15.1, 42.0, 100, 20), utm(500000.0, 4600000.0, 20, 12)),
+    ]
+    pairs = spark.createDataFrame(rows, f"id int, before {BOX}, after {BOX}")
+    got = {r["id"]: r for r in grids.common_grid(pairs).collect()}
+    assert got[1]["fast"] and got[1]["height"] == 12 and got[1]["usable"]
+    assert not got[2]["fast"] and (got[2]["height"], got[2]["width"]) == (11, 17) and got[2]["affine"] == [10.0, 0.0, 500030.0, 0.0, -10.0, 4600110.0]
+    assert got[3]["height"] == 0 and not got[3]["usable"] and got[3]["affine"] is None
+    assert got[4]["crs"] == "EPSG:32633" and got[4]["height"] == 0
+    assert got[5]["crs"] == "EPSG:4326" and got[5]["minx"] == pytest.approx(15.0, abs=1e-6) and 41.5 < got[5]["miny"] < 41.6
+    # Cells of the second grid take the pixels of both windows that lie under them.
+    second = grids.common_grid(pairs.where("id = 2"))
+    pixels = spark.range(12).select(F.lit(2).alias("id"), F.col("id").alias("r")).crossJoin(spark.range(20).select(F.col("id").alias("c"))).withColumn("v", F.col("r") * 100 + F.col("c"))
+    before = {(r["r"], r["c"]): r["v"] for r in grids.placed(second, pixels, "before", "id", ["v"]).collect()}
+    after = {(r["r"], r["c"]): r["v"] for r in grids.placed(second, pixels, "after", "id", ["v"]).collect()}
+    assert before[0, 0] == 103 and before[10, 16] == 1119 and after[0, 0] == 0 and after[10, 16] == 1016
+    assert len(before) == len(after) == 11 * 17
+
+
+def test_warps_of_rings(spark):
+    ring = F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(10.0), F.lit(0.0)))
+    at = lambda affine, crs: spark.range(1).select(geometry.ring_to_wgs84(ring, affine, crs)).first()[0]
+    affine = (10.0, 0.0, 500000.0, 0.0, -10.0, 4600000.0)
+    assert at(None, "EPSG:32633") == at(affine, "") == [[0.0, 0.0], [10.0, 0.0]]
+    assert at(affine, "CRS84") == [[500000.0, 4600000.0], [500100.0, 4600000.0]]
+    (x0, y0), (x1, _) = at(affine, "EPSG:32633")
+    assert x0 == pytest.approx(15.0) and y0 == pytest.approx(41.5518, abs=1e-3) and x1 - x0 == pytest.approx(0.0012, abs=1e-4)

@@ -151,3 +151,25 @@ def test_one_exchange_before_the_labels(spark):
     df = regions.closing(frame(spark, np.zeros((30, 30), bool)), ["g"], "changed")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_closing_of_a_grid_that_lacks_pixels(spark):
+    """Pixels absent between set ones count by their place, as unset ones."""
+    mask = np.zeros((9, 9), bool)
+    mask[3:6, 2] = mask[3:6, 4] = True
+    full = frame(spark, mask)
+    sparse = full.where("NOT (r IN (3, 4) AND c = 3) AND NOT (r = 8 AND c > 5)")
+    want = {(r["r"], r["c"]) for r in regions.closing(full, ["g"], "changed", 3).where("changed").collect()}
+    got = {(r["r"], r["c"]) for r in regions.closing(sparse, ["g"], "changed", 3, dense=False).where("changed").collect()}
+    assert got == want and {(3, 2), (4, 3), (5, 4)} <= got
+
+
+def test_runs_of_a_long_snake_have_one_label(spark):
+    """Vertical legs of 90 rows, joined by turns at their ends: far more rounds than any fixed number of them would allow."""
+    mask = np.zeros((90, 7), bool)
+    mask[:, ::2] = True
+    for k, c in enumerate(range(1, 7, 2)):
+        mask[89 if k % 2 == 0 else 0, c] = True
+    spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    labels = {r["label"] for r in regions.components_by_runs(frame(spark, mask), ["g"], "changed").select("label").distinct().collect()}
+    assert len(labels) == 1
