@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from landshift.operators import control_plane as cp
 from landshift.operators import evaluation, evidence
 from landshift.plans.registry import query, table
+from landshift.sources import benchmark
 from landshift.streaming import monitoring
 
 STATUS = "CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'running' ELSE 'completed' END"
@@ -47,9 +48,54 @@ def portfolio_list(spark, sf_dir):
     return portfolios(spark, sf_dir).join(polygon_rows(spark, sf_dir), "portfolio_id", "left").groupBy("portfolio_id", "name").agg(F.count("polygon_id").alias("n_polygons"))
 
 
-@query(f"SELECT o_orderkey AS run_id, o_custkey AS polygon_id, {STATUS} AS status FROM orders WHERE o_custkey % 10 = 3")
+@query(f"SELECT c_nationkey AS portfolio_id, o_orderkey AS run_id, o_custkey AS polygon_id, {STATUS} AS status FROM orders JOIN customer ON c_custkey = o_custkey")
 def run_list(spark, sf_dir):
-    return runs(spark, sf_dir).where(F.col("polygon_id") % 10 == 3).select("run_id", "polygon_id", "status")
+    """The runs of every portfolio."""
+    return runs(spark, sf_dir).join(polygon_rows(spark, sf_dir), "polygon_id").select("portfolio_id", "run_id", "polygon_id", "status")
+
+
+@query("SELECT c_nationkey AS portfolio_id, coalesce(max(coalesce(TRY_CAST(nullif(regexp_extract(c_name, '(\\d+)\\s*$', 1), '') AS BIGINT), 0)), 0) + 1 AS next_number FROM customer GROUP BY 1")
+def next_label(spark, sf_dir):
+    """The number that a portfolio's next label gets."""
+    return polygon_rows(spark, sf_dir).groupBy("portfolio_id").agg((F.max(cp.label_suffix(F.col("label"))) + 1).alias("next_number"))
+
+
+@query(
+    """WITH k AS (SELECT c_custkey AS id, sha256('key_' || CAST(c_custkey AS VARCHAR)) AS key_hash FROM customer), p AS (SELECT sha256('key_' || CAST(user_id AS VARCHAR)) AS key_hash, max(ts) AS seen, count(*) AS uses FROM events GROUP BY 1)
+SELECT id, CAST(epoch_us(seen) AS BIGINT) AS last_used_us, coalesce(uses, 0) AS uses FROM k LEFT JOIN p USING (key_hash)"""
+)
+def api_key_touch(spark, sf_dir):
+    keyed = lambda c: cp.key_hash(F.concat(F.lit("key_"), F.col(c).cast("string")))
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), keyed("c_custkey").alias("key_hash"), F.lit(None).cast("timestamp").alias("last_used"))
+    presented = table(spark, sf_dir, "events").select(keyed("user_id").alias("key_hash"), F.col("ts").cast("timestamp").alias("ts"))
+    return cp.key_touched(keys, presented).select("id", F.unix_micros("last_used").alias("last_used_us"), "uses")
+
+
+@query(
+    REVIEWS
+    + """, q AS (SELECT n_nationkey AS portfolio_id, CASE n_nationkey % 4 WHEN 1 THEN 'approved' WHEN 2 THEN 'rejected' WHEN 3 THEN 'pending' END AS wanted FROM nation)
+SELECT portfolio_id, run_id, finding_idx, state FROM up JOIN orders ON o_orderkey = run_id JOIN customer ON c_custkey = o_custkey JOIN q ON portfolio_id = c_nationkey WHERE wanted IS NULL OR wanted = state"""
+)
+def reviews_of_portfolio(spark, sf_dir):
+    k = F.col("portfolio_id") % 4
+    asked = portfolios(spark, sf_dir).select("portfolio_id", F.when(k == 1, "approved").when(k == 2, "rejected").when(k == 3, "pending").alias("state"))
+    return cp.reviews_of(reviews(spark, sf_dir), runs(spark, sf_dir), polygon_rows(spark, sf_dir), asked).select("portfolio_id", "run_id", "finding_idx", "state")
+
+
+@query(
+    """WITH p AS (SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 'completed' ELSE 'running' END AS status, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_ FROM events)
+SELECT event_id, user_id FROM p WHERE status = 'completed' AND coalesce(before_, '') <> 'purchase'"""
+)
+def completion_edges(spark, sf_dir):
+    status = F.when(F.col("event_type") == "purchase", "completed").otherwise("running")
+    return cp.completion_edges(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", status.alias("status")), "user_id", ["ts", "event_id"]).select("event_id", "user_id")
+
+
+@query("SELECT source, sum(octet_length(encode(text))) / 1e6 AS mb FROM documents GROUP BY source")
+def directory_size(spark, sf_dir):
+    """Megabytes of each directory's files; a source stands for a directory, a text for a file."""
+    files = table(spark, sf_dir, "documents").select(F.col("source").alias("directory"), F.octet_length(F.encode("text", "utf-8")).alias("length"))
+    return evidence.directory_sizes(files).withColumnRenamed("directory", "source")
 
 
 @query(REVIEWS + "SELECT run_id, finding_idx, state, l_partkey FROM up")
@@ -225,6 +271,34 @@ def eval_report(spark, sf_dir):
     return evaluation.report_lines(a.join(b, "holdout_group"), "holdout_group")
 
 
+@query(f"WITH {_ex(0)}, {_ex(1)} SELECT example_id, CAST(a.tp AS BIGINT) AS tp_baseline, CAST(b.tp AS BIGINT) AS tp_other, CAST(b.fp - a.fp AS BIGINT) AS fp_change FROM e0 a JOIN e1 b USING (example_id)")
+def paired_arms(spark, sf_dir):
+    out = evaluation.paired(examples(spark, sf_dir, 0), examples(spark, sf_dir, 1), "example_id")
+    return out.select("example_id", "tp_baseline", "tp_other", (F.col("fp_other") - F.col("fp_baseline")).alias("fp_change"))
+
+
+@query(
+    f"""WITH {_ex(0)}, {_ex(1)}, a AS (SELECT {_M} FROM e0), b AS (SELECT {_M} FROM e1)
+SELECT round(b.precision_at_k - a.precision_at_k, 6) AS delta_precision_at_k, round(b.recall_at_k - a.recall_at_k, 6) AS delta_recall_at_k, round(b.fp_rate - a.fp_rate, 3) AS delta_fp_rate,
+ round(b.abstention_accuracy - a.abstention_accuracy, 6) AS delta_abstention_accuracy, round(b.mean_finding_count - a.mean_finding_count, 6) AS delta_mean_finding_count FROM a, b"""
+)
+def report_delta(spark, sf_dir):
+    out = evaluation.deltas(examples(spark, sf_dir, 0), examples(spark, sf_dir, 1))
+    return out.select(*(F.round(c, 3 if "fp_rate" in c else 6).alias(c) for c in out.columns))
+
+
+@query(
+    """WITH f AS (SELECT p_partkey // 4 AS k, ['aoi.geojson', 'expected.json', 'request.json', 'notes.txt'][p_partkey % 4 + 1] AS name, p_name AS content FROM part WHERE p_size <> 7)
+SELECT 'example_' || k AS example, max(content) FILTER (name = 'aoi.geojson') AS aoi, max(content) FILTER (name = 'expected.json') AS expected, max(content) FILTER (name = 'request.json') AS request
+FROM f GROUP BY k HAVING count_if(name = 'aoi.geojson') > 0 AND count_if(name = 'expected.json') > 0"""
+)
+def benchmark_examples(spark, sf_dir):
+    """Examples of a directory tree that parts stand for: four files to a directory, some of them missing."""
+    k, names = F.expr("p_partkey div 4").cast("string"), F.array(*map(F.lit, ("aoi.geojson", "expected.json", "request.json", "notes.txt")))
+    files = table(spark, sf_dir, "part").where("p_size <> 7").select(F.concat(F.lit("bench/example_"), k, F.lit("/"), F.get(names, (F.col("p_partkey") % 4).cast("int"))).alias("path"), F.col("p_name").alias("content"))
+    return benchmark.examples(files).select("example", "aoi", "expected", "request")
+
+
 @query()
 def rate_limit(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -235,10 +309,8 @@ def rate_limit(spark, sf_dir):
 @query("SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1")
 def audit_stream(spark, sf_dir):
     """The audit log of a stream over the events' file, written and read back."""
-    import tempfile
-
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")  # both shared by the cluster
     path = f"{root.rstrip('/')}/audit-{sc._jvm.java.util.UUID.randomUUID()}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

@@ -37,6 +37,26 @@ SEASON = CLOSED + """, s0 AS (SELECT tile, CAST(count_if(e2 = 1 AND valid) AS BI
 season AS (SELECT tile, n_changed, n_valid, CASE WHEN n_changed >= 50 THEN CASE WHEN abs(mean_) <= 1e-6 THEN 0e0 ELSE std_ / abs(mean_) END END AS cv, CASE WHEN n_changed >= 50 THEN n_changed / CAST(n_valid AS DOUBLE) END AS coverage FROM s0)"""
 
 
+#: Where the raster lies: metres of UTM zone 33 north.
+AFFINE, CRS = (10.0, 0.0, 500000.0, 0.0, -10.0, 4600000.0), "EPSG:32633"
+
+
+def warped(table_: str, x: str, y: str, names: str, zone: int = 33) -> str:
+    """SQL that gives the rows of a table their lon and lat from UTM metres by the series of the inverse projection."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    n = f / (2 - f)
+    scale = k0 * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    cosh, sinh = (lambda e, s=s: f"((exp({e}) {s} exp(-({e}))) / 2)" for s in "+-")
+    terms = [(f"CAST({v!r} AS DOUBLE)", 2 * j) for j, v in enumerate(beta, 1)]
+    xi0 = "xi" + "".join(f" - sin(xi * {m}) * {cosh(f'eta * {m}')} * {v}" for v, m in terms)
+    eta0 = "eta" + "".join(f" - cos(xi * {m}) * {sinh(f'eta * {m}')} * {v}" for v, m in terms)
+    lat = "chi" + "".join(f" + sin(chi * {2 * j}) * CAST({v!r} AS DOUBLE)" for j, v in enumerate(delta, 1))
+    return f"""(SELECT {names}, {zone * 6 - 183} + degrees(atan2({sinh('eta0')}, cos(xi0))) AS lon, degrees({lat}) AS lat
+FROM (SELECT *, asin(sin(xi0) / {cosh('eta0')}) AS chi FROM (SELECT *, {xi0} AS xi0, {eta0} AS eta0 FROM (SELECT *, ({y}) / CAST({scale!r} AS DOUBLE) AS xi, (({x}) - 500000e0) / CAST({scale!r} AS DOUBLE) AS eta FROM {table_}))))"""
+
+
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pixel table, before and after side by side."""
     u = F.col("u")
@@ -215,13 +235,15 @@ def top_findings(spark, sf_dir):
 
 @query()
 def change_findings(spark, sf_dir):
-    """The flagship: from pixels to ranked findings with their rings, and a row for each tile that has none."""
+    """The flagship: from pixels to ranked findings, as GeoJSON in longitudes and latitudes, and a row for each tile that has none."""
     px = closed(spark, sf_dir)
     labelled, found = all_findings(px)
     ranked = regions.top(found, ["tile"]).join(regions.hulls(labelled, ["tile"]), ["tile", "label"])
     summary, season = pixels.pair_summary(px, ["tile"]), regions.seasonal(px, ["tile"])
     told = regions.outcomes(summary, season, found, ["tile"]).select("tile", "status", "reason")
-    return told.join(ranked.withColumn("geometry", F.to_json("ring")), "tile", "left").select("tile", "status", "reason", "finding_id", "score", "area_ha", "ndvi_delta_mean", "valid_pixels", "geometry")
+    ring = geometry.ring_to_wgs84(F.col("ring"), AFFINE, CRS)
+    ranked = ranked.withColumn("geometry", F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))))
+    return told.join(ranked, "tile", "left").select("tile", "status", "reason", "finding_id", "score", "area_ha", "ndvi_delta_mean", "valid_pixels", "geometry")
 
 
 @query(
@@ -239,6 +261,61 @@ def hull_area(spark, sf_dir):
     return rings.select("tile", "label", geometry.shoelace(F.col("ring")).alias("area"), (F.size("ring") - 1).alias("corners"))
 
 
+@query(
+    LABELS
+    + ", b AS (SELECT tile, label, min(c) AS x0, min(r) AS y0, max(c) AS x1, max(r) AS y1 FROM lab GROUP BY tile, label)"
+    + f""" SELECT p.tile, p.label, round(p.lon, 7) AS west, round(p.lat, 7) AS north, round(q.lon, 7) AS east, round(q.lat, 7) AS south
+FROM {warped('b', '500000 + 10e0 * x0', '4600000 - 10e0 * y0', 'tile, label')} p JOIN {warped('b', '500000 + 10e0 * x1', '4600000 - 10e0 * y1', 'tile, label')} q ON p.tile = q.tile AND p.label = q.label"""
+)
+def findings_wgs84(spark, sf_dir):
+    """Two corners of each finding's box in longitudes and latitudes."""
+    rings = regions.hulls(regions.components(closed(spark, sf_dir), ["tile"], "changed"), ["tile"]).withColumn("b", geometry.bbox(F.col("ring")))
+    corner = lambda x, y: F.array(F.col(f"b.{x}"), F.col(f"b.{y}"))
+    at = geometry.ring_to_wgs84(F.array(corner("minx", "miny"), corner("maxx", "maxy")), AFFINE, CRS)
+    places = {"west": at[0][0], "north": at[0][1], "east": at[1][0], "south": at[1][1]}
+    return rings.select("tile", "label", *(F.round(v, 7).alias(k) for k, v in places.items()))
+
+
+@query(FOUND + " SELECT tile, round(avg(ndvi_delta_mean), 6) AS golden_mean, count(*) AS n_findings FROM found GROUP BY tile")
+def golden_mean(spark, sf_dir):
+    """Mean over a tile's findings of their mean differences, whatever their size."""
+    _, found = all_findings(closed(spark, sf_dir))
+    return found.groupBy("tile").agg(F.round(F.avg("ndvi_delta_mean"), 6).alias("golden_mean"), F.count("*").alias("n_findings"))
+
+
+@query(
+    PX
+    + """, g AS (SELECT tile, max(r) + 1 AS h, max(c) + 1 AS w FROM px GROUP BY tile),
+cells AS (SELECT tile, h, w, t * 25 AS top, l * 25 AS left_, i, j FROM g, (SELECT unnest(range(0, 10)) AS t), (SELECT unnest(range(0, 10)) AS l), (SELECT unnest(range(0, 25)) AS i), (SELECT unnest(range(0, 25)) AS j) WHERE t < ceil(h / 25.0) AND l < ceil(w / 25.0)),
+ch AS (SELECT x.tile, top, left_, least(25, h - top) * least(25, w - left_) AS covered, sqrt((avg(b04a) - avg(b04b)) ** 2 + (avg(b08a) - avg(b08b)) ** 2 + (stddev_pop(b04a) - stddev_pop(b04b)) ** 2 + (stddev_pop(b08a) - stddev_pop(b08b)) ** 2) AS d
+ FROM cells x JOIN px p ON p.tile = x.tile AND p.r = h - 1 - abs(h - 1 - (top + i) % (2 * h - 2)) AND p.c = w - 1 - abs(w - 1 - (left_ + j) % (2 * w - 2)) GROUP BY x.tile, h, w, top, left_),
+s AS (SELECT tile, min(d) AS lo, max(d) AS hi FROM ch GROUP BY tile), n AS (SELECT tile, covered, CASE WHEN hi - lo >= 1e-8 THEN (d - lo) / (hi - lo) ELSE 0e0 END AS score FROM ch JOIN s USING (tile))
+SELECT tile, count(*) AS chip_count, round(sum(score * covered) / sum(covered), 5) AS change_score_mean, round(max(score), 5) AS change_score_max, 'mean-std-1' AS adapter_version FROM n GROUP BY tile"""
+)
+def ai_branch(spark, sf_dir):
+    """Chips of both dates, their features, distances, and the summary of each tile."""
+    px = raster(spark, sf_dir).select("tile", "r", "c", "b04b", "b08b", "b04a", "b08a")
+    cells = chips.padded_chips(px, grids(spark, sf_dir), ["tile"], 25)
+    scored = chips.compared(cells, ["tile"], chips.MeanStdModel, ["b04b", "b08b"], ["b04a", "b08a"], 25)
+    out = chips.branch_summary(scored, ["tile"], chips.MeanStdModel.version)
+    return out.withColumns({c: F.round(c, 5) for c in ("change_score_mean", "change_score_max")})
+
+
+@query(
+    """WITH b AS (SELECT p_partkey AS id, list_filter(['B02', 'B04', 'B08', 'B11', 'SCL'], lambda x, i: (p_partkey + i) % 4 <> 0) AS before_, list_filter(['B02', 'B04', 'B08', 'B11', 'SCL'], lambda x, i: (p_size + i) % 6 <> 0) AS after_ FROM part),
+c AS (SELECT id, list_sort(list_intersect(before_, after_)) AS common FROM b)
+SELECT id, array_to_string(common, ',') AS common, array_to_string(list_filter(['B04', 'B08'], lambda x: NOT list_contains(common, x)), ',') AS missing,
+ len(list_filter(['B04', 'B08'], lambda x: NOT list_contains(common, x))) > 0 AS abstain FROM c"""
+)
+def common_bands(spark, sf_dir):
+    """Bands that both windows of a pair have, and those that the model would miss; parts stand for pairs."""
+    names = F.array(*map(F.lit, ("B02", "B04", "B08", "B11", "SCL")))
+    have = lambda c, n: F.filter(names, lambda x, i: (F.col(c) + i + 1) % n != 0)
+    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), have("p_partkey", 4).alias("before_bands"), have("p_size", 6).alias("after_bands"))
+    out = chips.bands_of(pairs, ("B04", "B08"))
+    return out.select("id", F.concat_ws(",", "common").alias("common"), F.concat_ws(",", "missing").alias("missing"), (F.size("missing") > 0).alias("abstain"))
+
+
 @query(
     SEASON
     + "SELECT tile, n_changed, n_valid, round(cv, 6) AS cv, round(coverage, 6) AS coverage, cv < 0.3 AS is_uniform, cv < 0.3 AND coverage > 0.5 AS should_abstain FROM season"
@@ -327,7 +404,7 @@ def pixel_to_world(spark, sf_dir):
     return raster(spark, sf_dir).select("tile", "r", "c", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@query()
+@query(PX + f"SELECT tile, r, c, round(lon, 7) AS lon, round(lat, 7) AS lat FROM {warped('px', '500000 + 10e0 * c', '4600000 - 10e0 * r', 'tile, r, c')}")
 def utm_to_wgs84(spark, sf_dir):
     x, y = geometry.to_world(F.col("c"), F.col("r"), (10.0, 0.0, 500000.0, 0.0, -10.0, 4600000.0))
     lon, lat = geometry.utm_to_wgs84(x, y, 33)
