@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from landshift.llm import licenses
 
 #: Words of a text: stretches without space, tab, line feed, vertical tab, form feed or return.
@@ -11,8 +13,8 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 PLAIN = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
-def values(rows: list[tuple[str, str]]) -> str:
-    return ", ".join(f"('{a}', '{b}')" for a, b in rows)
+def values(rows: Iterable[tuple[str, ...]]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
 
 
 OP2 = f"""
@@ -48,14 +50,16 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 
 OP9 = f"""
 WITH d AS (SELECT doc_id, {PLAIN} AS w, coalesce(text, '') AS text FROM documents),
-p(phrase, label) AS (VALUES {values(list(licenses.PHRASES.items()))}),
+p(phrase, label) AS (VALUES {values(licenses.PHRASES.items())}),
 pw AS (SELECT phrase, label, string_split(phrase, ' ') AS q FROM p),
 hits AS (SELECT doc_id, k - 1 AS pos, label FROM (SELECT d.*, pw.*, unnest(range(1, len(w) - len(q) + 2)) AS k FROM d, pw WHERE len(w) >= len(q) AND list_contains(w, q[2])) WHERE w[k:k+len(q)-1] = q),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, list(DISTINCT label) AS bl FROM hits GROUP BY doc_id),
-t(label, template) AS (VALUES {values(licenses.TEMPLATES)}),
-ts AS (SELECT label, list_distinct(string_split(template, ' ')) AS tw FROM t),
-lines AS (SELECT doc_id, {PLAIN} AS bw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM d)),
-met AS (SELECT doc_id, label, len(list_intersect(tw, bw)) / CAST(len(tw) AS DOUBLE) AS c FROM lines, ts WHERE len(list_intersect(tw, bw)) >= ceil(0.9e0 * len(tw) - 1e-9)),
+t(id, label, template) AS (VALUES {values((str(k), *x) for k, x in enumerate(licenses.TEMPLATES))}),
+ts AS (SELECT id, label, list_distinct(string_split(template, ' ')) AS tw, ceil(len(string_split(template, ' ')) / 0.9e0 - 1e-9) AS span FROM t),
+tw AS (SELECT id, label, len(tw) AS n, CAST(span AS BIGINT) AS span, unnest(tw) AS word FROM ts),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+win AS (SELECT doc_id, label, n, count(DISTINCT word) OVER (PARTITION BY doc_id, id ORDER BY pos RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING) AS hits FROM placed JOIN tw USING (word)),
+met AS (SELECT doc_id, label, hits / CAST(n AS DOUBLE) AS c FROM win WHERE hits >= ceil(0.9e0 * n - 1e-9)),
 m AS (SELECT doc_id, max(c) AS c, list(DISTINCT label) AS ml FROM met GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(bl, []), coalesce(ml, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1e0 ELSE coalesce(m.c, 0e0) END AS score

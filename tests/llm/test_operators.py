@@ -467,12 +467,18 @@ def test_license_scan(documents, odd):
         (6, "underthe mit license"),
         (7, "This work is licensed\nunder the GNU General Public License, version 3."),
         (8, "Released under the BSD license"),
+        (9, "Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated\n * documentation files"),
+        (10, " ".join(f"{w} {' '.join(f'x{k}y{j}' for j in range(9))}" for k, w in enumerate("this work is licensed under the gnu general public license version 3".split()))),
+        (11, "Licensed under the GNU Lesser General Public License"),
     ]
     got = {r["doc_id"]: r for r in licenses.scan(documents(texts_)).collect()}
     assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"], got[1]["score"]) == (2, 2, 7, "mit", 1.0)
     assert (got[2]["n_base"], got[2]["base_labels"], got[2]["labels"]) == (1, "apache-2", "apache-2")
     assert (got[3]["n_base"], got[3]["first_word"], got[3]["base_labels"], got[3]["labels"], got[3]["score"]) == (0, None, "", "gpl-3", 1.0)
-    assert got[4]["base_labels"] == "cc-by-nc" and got[5]["labels"] == "" and got[6]["n_base"] == 0 and got[7]["labels"] == got[8]["labels"] == ""
+    assert got[4]["base_labels"] == "cc-by-nc" and got[5]["labels"] == "" and got[6]["n_base"] == 0
+    assert got[7]["labels"] == "gpl-3" and got[9]["labels"] == "mit" and got[11]["labels"] == "lgpl"
+    assert got[8]["labels"] == got[10]["labels"] == ""
+    assert [(b["first_word"], b["last_word"]) for b in got[7]["blocks"]] == [(0, 11)]
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(documents(EMPTY)).count() == 0
 
 
@@ -481,15 +487,22 @@ def test_license_filters_lose_nothing(documents):
     lexicon = [f"t{k}" for k in range(40)]
     templates = [(f"L{k}", " ".join(rng.choice(lexicon, int(rng.integers(1, 12)), replace=False))) for k in range(15)]
     texts_ = [(k, "\n".join(" ".join(rng.choice(lexicon, int(rng.integers(1, 25)))) for _ in range(5))) for k in range(60)]
-    got = {r["doc_id"]: {(b["line"], b["label"], round(b["containment"], 9)) for b in r["blocks"]} for r in licenses.scan(documents(texts_), templates, {}, 0.8).collect()}
+    got = {r["doc_id"]: [(b["first_word"], b["last_word"], b["label"], round(b["containment"], 9)) for b in r["blocks"]] for r in licenses.scan(documents(texts_), templates, {}, 0.8).collect()}
     for k, text in texts_:
-        want = set()
-        for n, line in enumerate(text.split("\n")):
-            for label, t in templates:
-                share = len(set(t.split()) & set(line.split())) / len(set(t.split()))
-                if share >= 0.8 - 1e-9:
-                    want.add((n, label, round(share, 9)))
-        assert got[k] == want
+        w, want = text.split(), []
+        for label, t in templates:
+            have, span, stretches = set(t.split()), int(np.ceil(len(t.split()) / 0.8 - 1e-9)), []
+            for i in range(len(w)):
+                hits = [j for j in range(i, min(len(w), i + span)) if w[j] in have]
+                share = len({w[j] for j in hits}) / len(have)
+                if share >= 0.8 - 1e-9 and w[i] in have:
+                    if stretches and i <= stretches[-1][1]:
+                        stretches[-1] = (stretches[-1][0], max(stretches[-1][1], hits[-1]), label, max(stretches[-1][3], round(share, 9)))
+                    else:
+                        stretches.append((i, hits[-1], label, round(share, 9)))
+            want += stretches
+        assert sorted(got[k]) == sorted(want)
+    assert any(got.values())
 
 
 # quality model and toxicity
