@@ -7,7 +7,9 @@ map of a word is K(word, landmarks) K(landmarks, landmarks)^-1/2, and a linear m
 squared hinge loss is fitted there.  As the kernel is a dot product of subsequence weights,
 the fitted machine is one weight for each subsequence, which scores any word.
 
-A sentence is as toxic as its most toxic word and a document as its most toxic sentence.
+Marks inside a word are skipped free of charge, so are the spaces of a word whose letters
+stand alone ("i d i o t").  A document is scored by its most toxic word, or by what SEVERAL
+of its words reach, whichever says more, against its length.
 Labels are of documents, so the words to learn from come from labelled sentences: those that
 stand in several different contexts in toxic documents only (the word itself, or the words
 that begin with the same four letters), against words of clean ones; the clean words that a
@@ -16,12 +18,14 @@ fitted machine takes for toxic join the next fit.
 The labelled sample is bounded (SAMPLE documents, WORDS words); scores cover whole texts of
 all documents.
 
-Defined cases: a null or empty text has the score of no evidence; without labels of both
+Defined cases: a null or empty text has the score of no evidence; words of over UNIT bytes are
+seen through windows, so a text of any length is scored whole; equal decisions count each; without labels of both
 classes every score is the smoothed share of label 1; repeated rows are scored each.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from dataclasses import dataclass, field
@@ -38,19 +42,47 @@ from landshift.llm.quality_model import labelled_sample
 SAMPLE = 20_000
 #: Words of each class to fit on, at most.
 WORDS = 4_000
-LANDMARKS = 500
+LANDMARKS = 900
 DECAY = 0.8
 #: Distances between the four characters of a subsequence.
 STEPS = [(a, b, c) for a in (1, 2) for b in (1, 2) for c in (1, 2)]
 CODES = 1 << 20
+#: Words that together can make a document toxic where none does alone.
+SEVERAL = 2
 #: Words whose decision a worker keeps.
 CACHE = 600_000
 SENTENCE = re.compile(rb"[.!?\n]+(?:\s|$)")
-#: Characters a word is cut of at its ends.
-EDGES = b" \t\r\n\x0b\x0c.,;:!?\"'()[]{}|#*$%&"
 
-#: Classes of bytes: letters without case 1-26, start of a word 27, its end 0, digits 28, other ASCII 29, parts of other letters 30-31.
-CLASS = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 28 if 48 <= b <= 57 else 30 + b % 2 if b >= 128 else 29 for b in range(256)], np.int64)
+#: Marks, which a kernel skips free of charge wherever they stand.
+MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
+#: Three letters or more that stand alone, as in a word spaced out.
+SPACED = re.compile(rb"(?<!\S)(?:[a-z][^\sa-z0-9]*\s+){2,}[a-z](?![^\s.,;:!?])")
+#: Bytes of a unit; longer ones are seen through windows of that length, half a window apart.
+UNIT = 48
+
+#: Classes of bytes: letters without case 1-26, start of a word 27, its end 0, digits 28, other ASCII 29; bytes of other letters share 1-26.
+CLASS = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 28 if 48 <= b <= 57 else 1 + b % 26 if b >= 128 else 29 for b in range(256)], np.int64)
+
+
+def units(text: bytes) -> list[bytes]:
+    """The words of a text without case, and its words that are spaced out, as one each."""
+    low = text.lower()
+    found = low.split()
+    for run in SPACED.findall(low):
+        joined = run.translate(None, MARKS)
+        found += [joined[k : k + UNIT // 2] for k in range(0, max(1, len(joined) - UNIT // 4), UNIT // 4)]
+    return found
+
+
+def windows(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """(place of the word, what the kernel sees of it): without marks, long ones in windows."""
+    place, seen = [], []
+    for k, w in enumerate(words):
+        w = w.translate(None, MARKS)
+        for at in range(0, max(1, len(w) - UNIT // 2), UNIT // 2):
+            place.append(k)
+            seen.append(w[at : at + UNIT])
+    return np.array(place, np.int64), seen
 
 
 def subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,8 +125,8 @@ class Landmarks:
 
     def kernel(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros((len(words), len(self.words)))
-        for at in range(0, len(words), 400):
-            word, sub, weight = subsequences(words[at : at + 400])
+        for at in range(0, len(words), 200):
+            word, sub, weight = subsequences(words[at : at + 200])
             shared = self.row[sub] < len(self.subs)
             word, sub, weight = word[shared], sub[shared], weight[shared]
             if len(word):
@@ -111,23 +143,25 @@ class Landmarks:
 
 @dataclass(frozen=True)
 class ToxicModel:
-    """score = sigmoid(slope * decision + offset), decision = weights . word + bias, at its largest over the words."""
+    """decision = weights . word + bias; score = sigmoid(a x + b log(1 + words) + c), x the worst word's decision or what SEVERAL words reach, whichever says more.
+
+    The more words a document has, the larger is its largest decision by chance, so its length counts against it.
+    """
 
     weights: np.ndarray = field(default_factory=lambda: np.zeros(CODES, np.float32))
     bias: float = 0.0
-    slope: float = 0.0
-    offset: float = 0.0
+    fits: tuple[tuple[float, float, float], ...] = ((0.0, 0.0, 0.0), (0.0, 0.0, 0.0))
 
     def decisions(self, words: list[bytes]) -> np.ndarray:
-        out = np.full(len(words), self.bias)
-        for at in range(0, len(words), 4000):
-            word, sub, weight = subsequences(words[at : at + 4000])
-            out[at : at + 4000] += np.bincount(word, weight * self.weights[sub], minlength=len(out[at : at + 4000]))
+        place, seen = windows(words)
+        each = np.full(len(seen), self.bias)
+        for at in range(0, len(seen), 4000):
+            word, sub, weight = subsequences(seen[at : at + 4000])
+            each[at : at + 4000] += np.bincount(word, weight * self.weights[sub], minlength=len(each[at : at + 4000]))
+        out = np.full(len(words), -np.inf)
+        np.maximum.at(out, place, each)
         return out
 
-    def score(self, decision: float) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * decision + self.offset))))
-
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Squared hinge loss by Newton steps; y is -1 or 1."""
@@ -151,7 +185,7 @@ def perturbed(words: list[bytes], seed: int = 11) -> list[bytes]:
     rng, out = np.random.default_rng(seed), []
     for w in words:
         if len(w) > 3:
-            a, c = rng.integers(1, len(w)), bytes([rng.choice(list(b".-_*+x"))])
+            a, c = rng.integers(1, len(w)), bytes([rng.choice(list(b"xjqzhe"))])
             out += [w[:a] + c + w[a:], c.join(bytes([x]) for x in w)]
     return out
 
@@ -168,7 +202,7 @@ def sentence_words(sample: DataFrame) -> DataFrame:
             for text, label in zip(values, batch.column("label").to_pylist(), strict=True):
                 pairs = set()
                 for s in SENTENCE.split((text or b"").lower()):
-                    found = [w for x in s.split() if (w := x.strip(EDGES))]
+                    found = [w for x in s.split() if (w := x.translate(None, MARKS))]
                     pairs.update(zip(found, [b"", *found], strict=False))
                 labels += [label] * len(pairs)
                 words += [w.decode() for w, _ in pairs]
@@ -208,18 +242,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     classes = sample.groupBy().agg(F.count("*").alias("n"), F.sum("label").alias("t")).first()
     prior = ((classes["t"] or 0) + 1) / (classes["n"] + 2)
     if not toxic or not clean:
-        return ToxicModel(offset=math.log(prior / (1 - prior)))
+        return ToxicModel(fits=((0.0, 0.0, math.log(prior / (1 - prior))),) * 2)
     model = machine(toxic, clean, [])
     for _ in range(3):  # what the machine still takes for toxic among the clean words
         clean = list(dict.fromkeys([*hardest(counted, model), *clean]))[: 3 * WORDS]
         model = machine(toxic, clean, clean[:WORDS])
-    seen = decide(sample.select("doc_id", "text"), model).join(sample.select("doc_id", "label"), "doc_id").select("decision", "label").toPandas()
-    slope, offset = platt(seen["decision"].to_numpy(), seen["label"].to_numpy())
-    return ToxicModel(model.weights, model.bias, slope, offset)
+    seen = decide(sample.select("doc_id", "text"), model).join(sample.select("doc_id", "label"), "doc_id").select("decision", "several", "n_words", "label").toPandas()
+    return ToxicModel(model.weights, model.bias, tuple(platt(seen[c].to_numpy(), seen["n_words"].to_numpy(), seen["label"].to_numpy()) for c in ("decision", "several")))
 
 
 def machine(toxic: list[bytes], clean: list[bytes], hard: list[bytes]) -> ToxicModel:
     """The fitted machine; the hard ones among the clean words are landmarks too."""
+    toxic, clean, hard = ([*dict.fromkeys(v for w in ws for v in windows([w])[1])] for ws in (toxic, clean, hard))
     bad = toxic + perturbed(toxic)
     landmarks = list(dict.fromkeys([*toxic[: LANDMARKS // 2], *hard[: LANDMARKS // 3], *clean[:: max(1, 5 * len(clean) // LANDMARKS)]]))[:LANDMARKS]
     marks = Landmarks(landmarks)
@@ -246,40 +280,48 @@ def hardest(counted: DataFrame, model: ToxicModel) -> list[bytes]:
     return [r["word"].encode() for r in map_texts(words, make, "word string, decision double").orderBy(F.desc("decision"), "word").limit(WORDS // 2).collect()]
 
 
-def platt(d: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic fit of the labels on the decisions, by Newton steps with a little ridge."""
-    x, w = np.column_stack([np.clip(d, -5, 5), np.ones(len(d))]), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-1, 1e-3]), x.T @ (y - p) - np.array([1e-1, 1e-3]) * w)
+def platt(d: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Logistic fit of the labels on the decisions and the logarithm of the length, by Newton steps with a little ridge."""
+    x, w, ridge = np.column_stack([np.clip(d, -5, 5), np.log1p(n), np.ones(len(d))]), np.zeros(3), np.array([1e-1, 1e-1, 1e-3])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
         w = w + np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return float(w[0]), float(w[1]), float(w[2])
 
 
 def decide(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """doc_id, ``decision`` (of the most toxic word, -5 if there is none) and that ``word``."""
+    """doc_id, ``decision`` (of the most toxic word, -5 if there is none), that ``word``, ``n_words`` seen, and ``several``, which SEVERAL words reach (-5 with fewer words)."""
     floor = -5.0
 
     def make():
         known: dict[bytes, float] = {}
 
         def run(batch, values):
-            each = [[*dict.fromkeys(x.lower().split())] if x else [] for x in values]
+            each = [units(x) if x else [] for x in values]
             if len(known) > CACHE:
                 known.clear()
             new = list({w for ws in each for w in ws}.difference(known))
-            known.update(zip(new, model.decisions([w.strip(EDGES) for w in new]).tolist(), strict=True))
-            worst = [max(ws, key=known.__getitem__, default=None) for ws in each]
-            return {"doc_id": batch.column("doc_id"), "decision": [floor if w is None else max(floor, known[w]) for w in worst], "word": [w and w.decode() for w in worst]}
+            known.update(zip(new, model.decisions(new).tolist(), strict=True))
+            worst = [heapq.nlargest(SEVERAL, ws, key=known.__getitem__) for ws in each]
+            values = [[max(floor, known[w]) for w in ws] for ws in worst]
+            return {
+                "doc_id": batch.column("doc_id"),
+                "decision": [v[0] if v else floor for v in values],
+                "several": [v[-1] if len(v) == SEVERAL else floor for v in values],
+                "n_words": [len(ws) for ws in each],
+                "word": [ws[0].decode(errors="replace") if ws else None for ws in worst],
+            }
 
         return run
 
-    return map_texts(texts(docs), make, "doc_id long, decision double, word string")
+    return map_texts(texts(docs), make, "doc_id long, decision double, several double, n_words long, word string")
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """doc_id, decision, word and ``score``."""
-    margin = F.col("decision") * model.slope + model.offset
+    """doc_id, decision, several, n_words, word and ``score``."""
+    fits = zip(("decision", "several"), model.fits, strict=True)
+    margin = F.greatest(*(F.least(F.col(c), F.lit(5.0)) * slope + F.log1p("n_words") * length + offset for c, (slope, length, offset) in fits))
     return decide(docs, model).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-500.0), margin))))

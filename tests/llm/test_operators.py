@@ -556,6 +556,18 @@ def test_toxicity_finds_disguised_insults(documents, spark):
     probes = documents([(1, f"{clean} block.head"), (2, f"{clean} NITWIT!"), (3, f"{clean} scoun*drel"), (4, clean), (5, None), (6, "")])
     got = {r["doc_id"]: r["score"] for r in toxicity.score(probes, model).collect()}
     assert min(got[1], got[2], got[3]) > 0.5 > max(got[4], got[5], got[6])
+    disguise = [lambda w: ".".join(w), lambda w: "--".join(w), lambda w: " ".join(w), lambda w: w.upper() + "!!", lambda w: w[:3] + "x" + w[3:]]
+    spread = [(k, f"{clean} {f(w)} {' '.join(lexicon[30:40])}") for k, (f, w) in enumerate((f, w) for f in disguise for w in insults)]
+    assert toxicity.score(documents(spread), model).where("score >= 0.5").count() == len(spread)
+    plain = [(k, " ".join(rng.choice(lexicon, 40))) for k in range(60)] + [(60, " ".join("abdefghi" * 500)), (61, "ab" * 50_000)]
+    assert toxicity.score(documents(plain), model).where("score >= 0.5").count() <= 1
+
+
+def test_toxicity_windows_cover_every_place():
+    assert toxicity.units(b"An I d. i o t, or x y") == [b"an", b"i", b"d.", b"i", b"o", b"t,", b"or", b"x", b"y", b"idiot"]
+    place, seen = toxicity.windows([b"a.b", b"", b"x" * 100 + b"idiot" + b"y" * 200])
+    assert seen[:2] == [b"ab", b""] and list(place[:3]) == [0, 1, 2] and max(map(len, seen)) == toxicity.UNIT
+    assert any(b"idiot" in w for w in seen) and seen[-1].endswith(b"y")
 
 
 def test_toxicity_odd(odd, documents, spark):
