@@ -21,14 +21,22 @@ def pair_pixels(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFra
 
 def pair_summary(pixels: DataFrame, keys: list[str], valid: str = "valid") -> DataFrame:
     """Valid fraction (0 if empty), and whether the pair is usable: 0.30 valid and 10 pixels each way."""
-    out = pixels.groupBy(*keys).agg(
+    return usability(pixels.groupBy(*keys).agg(*validity(valid)))
+
+
+def validity(valid: str = "valid") -> list[Column]:
+    """The aggregates of a grid that ``usability`` judges."""
+    return [
         F.count("*").alias("n_pixels"),
         F.coalesce(F.avg(F.col(valid).cast("int")), F.lit(0.0)).alias("valid_fraction"),
         F.least(F.max("r") - F.min("r") + 1, F.max("c") - F.min("c") + 1).alias("shorter_side"),
         F.bool_or(valid).alias("any_valid"),
-    )
+    ]
+
+
+def usability(grids: DataFrame) -> DataFrame:
     large = F.col("shorter_side") >= 10
-    return out.withColumn("valid_fraction", F.when(large, F.col("valid_fraction")).otherwise(0.0)).withColumn("usable", large & (F.col("valid_fraction") >= 0.30))
+    return grids.withColumn("valid_fraction", F.when(large, F.col("valid_fraction")).otherwise(0.0)).withColumn("usable", large & (F.col("valid_fraction") >= 0.30))
 
 
 def median_composite(scenes: DataFrame, keys: list[str], bands: list[str], valid: str = "valid", rank: str | None = None, max_scenes: int = 3) -> DataFrame:

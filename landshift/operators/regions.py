@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landshift.functions import indices
+from landshift.operators.pixels import usability, validity
 
 
 def filled(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,17 +72,21 @@ def labels_of(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     return out
 
 
-def components(pixels: DataFrame, keys: list[str], mask: str) -> DataFrame:
-    """Set pixels with ``label``: r * 2^32 + c of the component's first pixel in scan order.  A grid (an AOI of bounded area) is one group."""
-    fields = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys)
+def components(pixels: DataFrame, keys: list[str], mask: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Set pixels with ``label``: r * 2^32 + c of the component's first pixel in scan order.  A grid (an AOI of bounded area) is one group.
+
+    The columns of ``carry`` come along, so that statistics of the regions need no join back to the pixels.
+    """
+    kept, more = (", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in names) for names in (keys, carry))
+    fields = f"{kept}, r long, c long, {more + ', ' if more else ''}label long"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["r"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64)
         order = np.lexsort((c, r))
         at = order[labels_of(r, c)] if len(r) else order
-        return pdf[[*keys, "r", "c"]].assign(label=r[at] * (1 << 32) + c[at])
+        return pdf[[*keys, "r", "c", *carry]].assign(label=r[at] * (1 << 32) + c[at])
 
-    return pixels.where(mask).select(*keys, "r", "c").groupBy(*keys).applyInPandas(one, f"{fields}, r long, c long, label long")
+    return pixels.where(mask).select(*keys, "r", "c", *carry).groupBy(*keys).applyInPandas(one, fields)
 
 
 def components_by_runs(pixels: DataFrame, keys: list[str], mask: str) -> DataFrame:
@@ -113,10 +118,22 @@ def components_by_runs(pixels: DataFrame, keys: list[str], mask: str) -> DataFra
     return placed.select(*keys, "r", "c", "label")
 
 
-def findings(labelled: DataFrame, pixels: DataFrame, keys: list[str], min_pixels: int = 50, use_pixel_delta: bool = False) -> DataFrame:
-    """Per component: pixel count (masked ones too), area, mean index difference (masked ones out), score; small ones and those without a score go."""
-    delta = F.avg("pixel_delta") if use_pixel_delta else F.lit(0.0)
-    out = labelled.join(pixels, [*keys, "r", "c"]).groupBy(*keys, "label").agg(F.count("*").alias("valid_pixels"), F.avg("ndvi_diff").alias("ndvi_delta_mean"), F.coalesce(delta, F.lit(0.0)).alias("pixel_delta_mean"))
+def findings(labelled: DataFrame, pixels: DataFrame | None, keys: list[str], min_pixels: int = 50, use_pixel_delta: bool = False) -> DataFrame:
+    """Per component: pixel count (masked ones too), area, mean index difference (masked ones out), score; small ones and those without a score go.
+
+    ``pixels`` is None where the labelled ones carry ``ndvi_diff`` (and ``pixel_delta``).
+    ``ends`` has the first and last pixel of each of a component's rows, which its hull is made of.
+    """
+    if pixels is not None:
+        labelled = labelled.join(pixels, [*keys, "r", "c"])
+    measured = ["ndvi_diff", "pixel_delta"] if use_pixel_delta else ["ndvi_diff"]
+    sums = [f(c).alias(f"_{f.__name__}_{c}") for c in measured for f in (F.sum, F.count)]
+    by_row = labelled.groupBy(*keys, "label", "r").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("_n"), *sums)
+    mean = lambda c: F.try_divide(F.sum(f"_sum_{c}"), F.sum(f"_count_{c}"))
+    delta = mean("pixel_delta") if use_pixel_delta else F.lit(0.0)
+    out = by_row.groupBy(*keys, "label").agg(
+        F.sum("_n").alias("valid_pixels"), mean("ndvi_diff").alias("ndvi_delta_mean"), F.coalesce(delta, F.lit(0.0)).alias("pixel_delta_mean"), F.collect_list(F.struct("a", "b", "r")).alias("ends")
+    )
     out = out.where(F.col("valid_pixels") >= min_pixels).withColumn("area_ha", F.col("valid_pixels") * indices.PIXEL_HA)
     return out.withColumn("ndvi_delta_mean", F.coalesce("ndvi_delta_mean", F.lit(0.0))).withColumn("score", indices.score(F.col("ndvi_delta_mean"), F.col("pixel_delta_mean"))).where("score > 0")
 
@@ -159,11 +176,34 @@ def hulls(labelled: DataFrame, keys: list[str]) -> DataFrame:
     return ends.groupBy(*keys, "label").applyInPandas(one, f"{fields}, label long, ring array<array<double>>")
 
 
+def outlined(found: DataFrame) -> DataFrame:
+    """Findings with the ``ring`` of their hull instead of their ``ends``, as ``hulls`` gives it."""
+
+    @F.pandas_udf("array<array<double>>")
+    def ring(ends: pd.Series) -> pd.Series:
+        return ends.map(lambda rows: hull(np.array([p for x in rows for p in ((x["a"], x["r"]), (x["b"], x["r"]))], float)))
+
+    return found.withColumn("ring", ring("ends")).drop("ends")
+
+
 def seasonal(pixels: DataFrame, keys: list[str], mask: str = "changed", valid: str = "valid") -> DataFrame:
     """Spatial variance of the changed pixels' difference: NULLs below 50 of them; abstain if uniform over more than half of the valid ones."""
+    return uniformity(pixels.groupBy(*keys).agg(*spread(mask, valid)))
+
+
+def assessed(pixels: DataFrame, keys: list[str], mask: str = "changed", valid: str = "valid") -> DataFrame:
+    """What ``pair_summary`` and ``seasonal`` say, from one aggregate of the pixels."""
+    return usability(uniformity(pixels.groupBy(*keys).agg(*validity(valid), *spread(mask, valid))))
+
+
+def spread(mask: str, valid: str) -> list[Column]:
+    """The aggregates of a grid that ``uniformity`` judges."""
     on = F.col(mask) & F.col(valid)
     d = F.when(on, F.col("ndvi_diff").cast("double"))
-    out = pixels.groupBy(*keys).agg(F.count_if(on).alias("n_changed"), F.count_if(F.col(valid)).alias("n_valid"), F.avg(d).alias("_mean"), F.stddev_pop(d).alias("_std"))
+    return [F.count_if(on).alias("n_changed"), F.count_if(F.col(valid)).alias("n_valid"), F.avg(d).alias("_mean"), F.stddev_pop(d).alias("_std")]
+
+
+def uniformity(out: DataFrame) -> DataFrame:
     enough = F.col("n_changed") >= 50
     cv = F.when(F.abs("_mean") <= 1e-6, F.lit(0.0)).otherwise(F.try_divide("_std", F.abs("_mean")))
     out = out.withColumns({"cv": F.when(enough, cv), "coverage": F.when(enough, F.try_divide("n_changed", "n_valid"))})
@@ -171,13 +211,17 @@ def seasonal(pixels: DataFrame, keys: list[str], mask: str = "changed", valid: s
     return out.withColumn("should_abstain", F.col("is_uniform") & (F.col("coverage") > 0.5)).drop("_mean", "_std")
 
 
-def outcomes(summary: DataFrame, season: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a grid: the first reason to abstain along the stages, or the findings' number."""
+def outcomes(grids: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a grid that was ``assessed``: the first reason to abstain along the stages, or the findings' number."""
     n = found.groupBy(*keys).agg(F.count("*").alias("n_findings"))
-    out = summary.join(season, keys, "left").join(n, keys, "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0)))
+    return verdicts(grids).join(n, keys, "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0)))
+
+
+def verdicts(grids: DataFrame) -> DataFrame:
+    """``status`` and ``reason`` of each grid that was ``assessed``."""
     reason = (
         F.when(~F.col("usable"), "insufficient valid pixels")
         .when(F.coalesce("n_changed", F.lit(0)) == 0, "no significant change detected")
         .when(F.coalesce("should_abstain", F.lit(False)), "seasonal pattern")
     )
-    return out.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), "review_recommended").otherwise("abstained"))
+    return grids.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), "review_recommended").otherwise("abstained"))

@@ -299,7 +299,24 @@ def benchmark_examples(spark, sf_dir):
     return benchmark.examples(files).select("example", "aoi", "expected", "request")
 
 
-@query()
+def _refilled(tokens: str, at: str, burst: float, rate: float) -> str:
+    """SQL of a bucket's tokens at the time of the next event."""
+    return f"CASE WHEN {at} IS NULL THEN {tokens} ELSE least({burst}e0, {tokens} + greatest(0e0, e.ts - {at}) * {rate}e0) END"
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, epoch_us(ts) / 1e6 / 50000 AS ts, event_type = 'purchase' AS is_run,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s(key, n, seq, ts, is_run, g, gt, r, rt, allowed, retry_after) AS (
+  SELECT key, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), false, 120e0, CAST(NULL AS DOUBLE), 12e0, CAST(NULL AS DOUBLE), false, CAST(NULL AS BIGINT) FROM e WHERE n = 1
+  UNION ALL
+  SELECT key, n, seq, ts, is_run, CASE WHEN g1 >= 1 THEN g1 - 1 ELSE g1 END, ts, CASE WHEN NOT (g1 >= 1 AND is_run) THEN r0 WHEN r1 >= 1 THEN r1 - 1 ELSE r1 END, CASE WHEN g1 >= 1 AND is_run THEN ts ELSE rt END,
+    g1 >= 1 AND (NOT is_run OR r1 >= 1), CAST(CASE WHEN g1 < 1 THEN ceil((1 - g1) / 2e0) WHEN is_run AND r1 < 1 THEN ceil((1 - r1) / 0.2e0) END AS BIGINT)
+  FROM (SELECT e.*, {_refilled('g0', 'gt', 120, 2)} AS g1, {_refilled('r0', 'rt', 12, 0.2)} AS r1, r0, rt
+    FROM (SELECT s.*, s.n + 1 AS next_, CASE WHEN f.ts - s.gt >= 600 THEN 120e0 ELSE s.g END AS g0, CASE WHEN f.ts - s.gt >= 600 THEN 12e0 ELSE s.r END AS r0
+      FROM s JOIN e f ON f.key IS NOT DISTINCT FROM s.key AND f.n = s.n + 1) b JOIN e ON e.key IS NOT DISTINCT FROM b.key AND e.n = b.next_))
+SELECT key, seq, ts, is_run, allowed, retry_after FROM s WHERE n > 0"""
+)
 def rate_limit(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     ts = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6

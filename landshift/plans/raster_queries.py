@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,12 @@ found AS (SELECT *, valid_pixels * 0.01e0 AS area_ha, least(abs(ndvi_delta_mean)
 SEASON = CLOSED + """, s0 AS (SELECT tile, CAST(count_if(e2 = 1 AND valid) AS BIGINT) AS n_changed, CAST(count_if(valid) AS BIGINT) AS n_valid, avg(CASE WHEN e2 = 1 AND valid THEN CAST(ndvi_diff AS DOUBLE) END) AS mean_, stddev_pop(CASE WHEN e2 = 1 AND valid THEN CAST(ndvi_diff AS DOUBLE) END) AS std_ FROM closed GROUP BY tile),
 season AS (SELECT tile, n_changed, n_valid, CASE WHEN n_changed >= 50 THEN CASE WHEN abs(mean_) <= 1e-6 THEN 0e0 ELSE std_ / abs(mean_) END END AS cv, CASE WHEN n_changed >= 50 THEN n_changed / CAST(n_valid AS DOUBLE) END AS coverage FROM s0)"""
 
+TOLD = FOUND + """, s AS (SELECT tile, CAST(count_if(e2 = 1 AND valid) AS BIGINT) AS n_changed, CAST(count_if(valid) AS BIGINT) AS n_valid, count(*) AS n_pixels, least(max(r) - min(r) + 1, max(c) - min(c) + 1) AS side,
+  stddev_pop(CASE WHEN e2 = 1 AND valid THEN CAST(ndvi_diff AS DOUBLE) END) / abs(avg(CASE WHEN e2 = 1 AND valid THEN CAST(ndvi_diff AS DOUBLE) END)) AS cv FROM closed GROUP BY tile),
+t AS (SELECT s.*, (SELECT count(*) FROM found f WHERE f.tile = s.tile) AS n_findings,
+  CASE WHEN side < 10 OR n_valid / CAST(n_pixels AS DOUBLE) < 0.3 THEN 'insufficient valid pixels' WHEN n_changed = 0 THEN 'no significant change detected'
+  WHEN n_changed >= 50 AND cv < 0.3 AND n_changed / CAST(n_valid AS DOUBLE) > 0.5 THEN 'seasonal pattern' END AS reason FROM s)"""
+
 
 #: Where the raster lies: metres of UTM zone 33 north.
 AFFINE, CRS = (10.0, 0.0, 500000.0, 0.0, -10.0, 4600000.0), "EPSG:32633"
@@ -96,9 +103,9 @@ def closed(spark: SparkSession, sf_dir: str, threshold: float = 0.15) -> DataFra
     return regions.closing(base, ["tile"], "changed")
 
 
-def all_findings(px: DataFrame) -> tuple[DataFrame, DataFrame]:
-    labelled = regions.components(px, ["tile"], "changed")
-    return labelled, regions.findings(labelled, px.select("tile", "r", "c", "ndvi_diff", "pixel_delta"), ["tile"])
+def all_findings(px: DataFrame) -> DataFrame:
+    labelled = regions.components(px, ["tile"], "changed", ("ndvi_diff", "pixel_delta"))
+    return regions.findings(labelled, None, ["tile"])
 
 
 @query(PX + "SELECT tile, r, c, round(CAST(ndvi_a AS DOUBLE), 6) AS ndvi, round(CAST(ndvi_diff AS DOUBLE), 6) AS ndvi_diff FROM base")
@@ -219,7 +226,7 @@ def components(spark, sf_dir):
 
 @query(FOUND + "SELECT tile, label, valid_pixels, round(ndvi_delta_mean, 6) AS ndvi_delta_mean, round(area_ha, 6) AS area_ha, round(score, 6) AS score FROM found")
 def findings(spark, sf_dir):
-    _, found = all_findings(closed(spark, sf_dir))
+    found = all_findings(closed(spark, sf_dir))
     return found.select("tile", "label", "valid_pixels", six("ndvi_delta_mean"), six("area_ha"), six("score"))
 
 
@@ -229,7 +236,7 @@ def findings(spark, sf_dir):
 SELECT tile, finding_id, label, valid_pixels, round(score, 6) AS score, 0e0 AS nbr_delta_mean FROM k WHERE finding_id <= 20"""
 )
 def top_findings(spark, sf_dir):
-    _, found = all_findings(closed(spark, sf_dir))
+    found = all_findings(closed(spark, sf_dir))
     return regions.top(found, ["tile"]).select("tile", "finding_id", "label", "valid_pixels", six("score"), F.lit(0.0).alias("nbr_delta_mean"))
 
 
@@ -237,10 +244,8 @@ def top_findings(spark, sf_dir):
 def change_findings(spark, sf_dir):
     """The flagship: from pixels to ranked findings, as GeoJSON in longitudes and latitudes, and a row for each tile that has none."""
     px = closed(spark, sf_dir)
-    labelled, found = all_findings(px)
-    ranked = regions.top(found, ["tile"]).join(regions.hulls(labelled, ["tile"]), ["tile", "label"])
-    summary, season = pixels.pair_summary(px, ["tile"]), regions.seasonal(px, ["tile"])
-    told = regions.outcomes(summary, season, found, ["tile"]).select("tile", "status", "reason")
+    ranked = regions.outlined(regions.top(all_findings(px), ["tile"]))
+    told = regions.verdicts(regions.assessed(px, ["tile"])).select("tile", "status", "reason")
     ring = geometry.ring_to_wgs84(F.col("ring"), AFFINE, CRS)
     ranked = ranked.withColumn("geometry", F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))))
     return told.join(ranked, "tile", "left").select("tile", "status", "reason", "finding_id", "score", "area_ha", "ndvi_delta_mean", "valid_pixels", "geometry")
@@ -279,7 +284,7 @@ def findings_wgs84(spark, sf_dir):
 @query(FOUND + " SELECT tile, round(avg(ndvi_delta_mean), 6) AS golden_mean, count(*) AS n_findings FROM found GROUP BY tile")
 def golden_mean(spark, sf_dir):
     """Mean over a tile's findings of their mean differences, whatever their size."""
-    _, found = all_findings(closed(spark, sf_dir))
+    found = all_findings(closed(spark, sf_dir))
     return found.groupBy("tile").agg(F.round(F.avg("ndvi_delta_mean"), 6).alias("golden_mean"), F.count("*").alias("n_findings"))
 
 
@@ -324,19 +329,10 @@ def seasonal_assessment(spark, sf_dir):
     return regions.seasonal(closed(spark, sf_dir), ["tile"]).select("tile", "n_changed", "n_valid", six("cv"), six("coverage"), "is_uniform", "should_abstain")
 
 
-@query(
-    FOUND
-    + """, s AS (SELECT tile, CAST(count_if(e2 = 1 AND valid) AS BIGINT) AS n_changed, CAST(count_if(valid) AS BIGINT) AS n_valid, count(*) AS n_pixels, least(max(r) - min(r) + 1, max(c) - min(c) + 1) AS side,
-  stddev_pop(CASE WHEN e2 = 1 AND valid THEN CAST(ndvi_diff AS DOUBLE) END) / abs(avg(CASE WHEN e2 = 1 AND valid THEN CAST(ndvi_diff AS DOUBLE) END)) AS cv FROM closed GROUP BY tile),
-t AS (SELECT s.*, (SELECT count(*) FROM found f WHERE f.tile = s.tile) AS n_findings,
-  CASE WHEN side < 10 OR n_valid / CAST(n_pixels AS DOUBLE) < 0.3 THEN 'insufficient valid pixels' WHEN n_changed = 0 THEN 'no significant change detected'
-  WHEN n_changed >= 50 AND cv < 0.3 AND n_changed / CAST(n_valid AS DOUBLE) > 0.5 THEN 'seasonal pattern' END AS reason FROM s)
-SELECT tile, reason, CASE WHEN reason IS NULL THEN 'review_recommended' ELSE 'abstained' END AS status, n_findings FROM t"""
-)
+@query(TOLD + " SELECT tile, reason, CASE WHEN reason IS NULL THEN 'review_recommended' ELSE 'abstained' END AS status, n_findings FROM t")
 def outcomes(spark, sf_dir):
     px = closed(spark, sf_dir)
-    _, found = all_findings(px)
-    out = regions.outcomes(pixels.pair_summary(px, ["tile"]), regions.seasonal(px, ["tile"]), found, ["tile"])
+    out = regions.outcomes(regions.assessed(px, ["tile"]), all_findings(px), ["tile"])
     return out.select("tile", "reason", "status", "n_findings")
 
 
@@ -435,14 +431,16 @@ def resample_bilinear(spark, sf_dir):
 SELECT tile, count(*) AS n_features, 'FeatureCollection' AS kind, min(finding_id) AS first_id FROM k WHERE finding_id <= 20 GROUP BY tile"""
 )
 def findings_geojson(spark, sf_dir):
-    labelled, found = all_findings(closed(spark, sf_dir))
-    ranked = regions.top(found, ["tile"]).join(regions.hulls(labelled, ["tile"]), ["tile", "label"])
+    ranked = regions.outlined(regions.top(all_findings(closed(spark, sf_dir)), ["tile"]))
     out = evidence.feature_collections(ranked, ["tile"], ["score", "area_ha", "ndvi_delta_mean", "valid_pixels"])
     path = lambda p: F.get_json_object("geojson", p)
     return out.select("tile", "n_features", path("$.type").alias("kind"), path("$.features[0].id").cast("long").alias("first_id"))
 
 
-@query()
+@query(
+    TOLD
+    + f""" SELECT tile, '{{"software":{{"spark":"{pyspark.__version__}"}},"n_findings":' || n_findings || ',"abstention":' || CASE WHEN reason IS NULL THEN 'null' ELSE '{{"reason":"' || reason || '"}}' END || '}}' AS provenance FROM t"""
+)
 def provenance(spark, sf_dir):
     return evidence.provenance(outcomes(spark, sf_dir), ["tile"], {"spark": spark.version})
 
@@ -453,7 +451,7 @@ def provenance(spark, sf_dir):
 SELECT t.tile, count(k.label) AS n_findings, coalesce(round(sum(CASE WHEN finding_id <= 20 THEN area_ha * 10000 END), 4), 0) AS changed_area_m2 FROM (SELECT DISTINCT tile FROM px) t LEFT JOIN k ON k.tile = t.tile AND finding_id <= 20 GROUP BY t.tile"""
 )
 def api_response(spark, sf_dir):
-    _, found = all_findings(closed(spark, sf_dir))
+    found = all_findings(closed(spark, sf_dir))
     out = evidence.api_response(outcomes(spark, sf_dir), regions.top(found, ["tile"]), ["tile"])
     total = F.aggregate("findings", F.lit(0.0), lambda s, x: s + x["changed_area_m2"])
     return out.select("tile", F.size("findings").cast("long").alias("n_findings"), F.round(total, 4).alias("changed_area_m2"))

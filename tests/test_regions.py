@@ -85,6 +85,24 @@ def test_small_blobs_go_and_masked_pixels_count(spark):
     assert r["valid_pixels"] == 64 and r["ndvi_delta_mean"] == pytest.approx(-0.3)
 
 
+def test_carried_columns_and_outlines_agree_with_joins(spark):
+    rng = np.random.default_rng(7)
+    df = frame(spark, rng.random((25, 25)) < 0.6, valid=rng.random((25, 25)) < 0.8)
+    labelled = regions.components(df, ["g"], "changed", ("ndvi_diff",))
+    a, b = regions.findings(labelled, None, ["g"], 1), regions.findings(labelled.drop("ndvi_diff"), df, ["g"], 1)
+    rows = lambda x: sorted((r["label"], r["valid_pixels"], round(r["score"], 9)) for r in x.collect())
+    assert rows(a) == rows(b) and len(rows(a)) > 3
+    rings = {r["label"]: r["ring"] for r in regions.hulls(labelled, ["g"]).collect()}
+    assert all(rings[r["label"]] == r["ring"] for r in regions.outlined(a).collect())
+
+
+def test_assessed_says_what_its_parts_say(spark):
+    df = frame(spark, np.random.default_rng(2).random((20, 20)) < 0.3)
+    (one,) = regions.assessed(df, ["g"]).collect()
+    (x,), (y,) = pixels.pair_summary(df, ["g"]).collect(), regions.seasonal(df, ["g"]).collect()
+    assert one.asDict() == x.asDict() | y.asDict()
+
+
 def test_top_twenty(spark):
     df = spark.createDataFrame([(1, k, (k + 1) / 100) for k in range(25)], "g int, label long, score double")
     got = regions.top(df, ["g"]).orderBy("finding_id").collect()
