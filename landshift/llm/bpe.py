@@ -1,8 +1,8 @@
 """BPE encoding and decoding of whole texts with a published merge list.
 
 Words are cut as the vocabulary file says (NFC, lower case, letters / single digits / other
-marks, byte-level symbols with a word end): ASCII words by a pattern, all others by the
-library's own normaliser and pre-tokeniser, whose Unicode tables may be newer than Python's.
+marks, byte-level symbols with a word end): ASCII and accented Latin words by a pattern, all
+others by the library's own normaliser and pre-tokeniser, whose Unicode tables may be newer than Python's.
 Inside a word a priority queue of merge ranks
 works over a doubly linked list of symbols; entries whose symbols have changed since they
 were queued are stale and skipped.  Decoding joins the vocabulary's strings with a space.
@@ -34,6 +34,8 @@ from landshift.llm.common import lists, map_texts, texts
 
 #: Words, and pieces of words, whose ids a task keeps.
 CACHE = 300_000
+#: ASCII and the Latin letters up to U+017F, but the dotted capital I: here NFC changes nothing, lower case is one character and the classes are settled.
+PLAIN = regex.compile(r"[\x00-\x7F\u00C0-\u012F\u0131-\u017F]*")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -109,7 +111,7 @@ class WordBpe:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            if not part.isascii():
+            if not part.isascii() and not PLAIN.fullmatch(part):
                 for piece, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(part)):  # in byte-level symbols
                     ids = known.get(piece)
                     if ids is None:
