@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from landshift.llm.common import lists, map_texts, texts
 
 #: Words, and pieces of words, whose ids a task keeps.
-CACHE = 300_000
+CACHE = 500_000
 #: ASCII and the Latin letters up to U+017F, but the dotted capital I: here NFC changes nothing, lower case is one character and the classes are settled.
 PLAIN = regex.compile(r"[\x00-\x7F\u00C0-\u012F\u0131-\u017F]*")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -66,13 +66,14 @@ class WordBpe:
         self.strings |= {i: s for s, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         symbols = byte_symbols()
-        self.symbol, self.final = {s: vocab[s] for s in symbols}, {s: vocab[s + end] for s in symbols}
+        self.byte = {s: b for b, s in enumerate(symbols)}
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + end] for s in symbols]
         #: (left id << 20 | right id): rank << 52 | merged id; with place << 20 that is an entry of the queue
         self.merges = {vocab[a] << 20 | vocab[b]: rank << 52 | vocab[a + b] for rank, (a, b) in enumerate(map(tuple, spec["model"]["merges"]))}
-        self.words: dict[bytes, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        #: ids as int32 by the bytes of a word, and by those of a piece
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
         self.names = np.array([self.strings.get(i, "") for i in range(max(self.strings) + 1)], object)
 
     def emptied(self) -> WordBpe:
@@ -104,27 +105,27 @@ class WordBpe:
                 heapq.heappush(queue, m + (h << 20))
         return [x for x in ids if x >= 0]
 
-    def word(self, raw: bytes) -> tuple[int, ...]:
-        """Ids of a stretch of text without ASCII white space."""
-        text, out, known = raw.decode("utf-8"), [], self.pieces
+    def piece(self, b: bytes) -> bytes:
+        """The merged ids of a piece's bytes, as int32."""
+        ids = self.pieces.get(b)
+        if ids is None:
+            ids = self.pieces[b] = np.array(self.merge([*map(self.inner.__getitem__, b[:-1]), self.last[b[-1]]]), np.int32).tobytes()
+        return ids
+
+    def word(self, raw: bytes) -> bytes:
+        """Ids of a stretch of text without ASCII white space, as int32."""
+        if raw.isalpha():  # letters a-z and A-Z alone: one piece
+            return self.piece(raw.lower())
+        text, out = raw.decode("utf-8"), []
         for part in self.cut.split(text) if "<|" in text else (text,):
             if part in self.special:
-                out.append(self.special[part])
-                continue
-            if not part.isascii() and not PLAIN.fullmatch(part):
-                for piece, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(part)):  # in byte-level symbols
-                    ids = known.get(piece)
-                    if ids is None:
-                        ids = known[piece] = tuple(self.merge([*map(self.symbol.__getitem__, piece[:-1]), self.final[piece[-1]]]))
-                    out += ids
-                continue
-            for piece in PIECES.findall(part.lower()):
-                ids = known.get(piece)
-                if ids is None:
-                    b = piece.encode("utf-8")
-                    ids = known[piece] = tuple(self.merge([*map(self.inner.__getitem__, b[:-1]), self.last[b[-1]]]))
-                out += ids
-        return tuple(out)
+                out.append(np.int32(self.special[part]).tobytes())
+            elif part.isascii() or PLAIN.fullmatch(part):
+                out += [self.piece(p.encode("utf-8")) for p in PIECES.findall(part.lower())]
+            else:  # the library spells a piece in byte-level symbols; its bytes name it here, as everywhere
+                spelled = self.cutter.pre_tokenize_str(self.normalizer.normalize_str(part))
+                out += [self.piece(bytes(map(self.byte.__getitem__, p))) for p, _ in spelled]
+        return b"".join(out)
 
     def encode(self, text: bytes) -> np.ndarray:
         words = text.split()
@@ -135,7 +136,7 @@ class WordBpe:
             self.pieces.clear()
         for w in set(words).difference(known):
             known[w] = self.word(w)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32)
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(self.names[ids].tolist())

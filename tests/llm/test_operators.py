@@ -227,6 +227,20 @@ def test_bpe_starts_over_when_the_cache_is_full(monkeypatch):
         assert ours.encode(text.encode()).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_do_not_depend_on_what_came_before():
+    """Control characters beside every script: the symbols that stand for them are letters of other words; in one shared instance, in both orders."""
+    t, rng = library(), np.random.default_rng(11)
+    pools = [range(32), range(128), range(0x80, 0x250), range(0x300, 0x340), range(0x370, 0x600), range(0x4E00, 0x4E40), range(0x1F600, 0x1F640), [0x130, 0x131, 0x17F, 0x180, 0x1E9E, 0x345, 0x3C2]]
+    texts = ["ą ę", "中\x05", "中\x07 中\x1b", "ě ć"]
+    for _ in range(15_000):
+        some = [pools[k] for k in rng.choice(len(pools), int(rng.integers(1, 4)), replace=False)]
+        texts.append("".join(chr(p[int(rng.integers(len(p)))]) for p in (some[int(rng.integers(len(some)))] for _ in range(int(rng.integers(1, 13))))))
+    for order in (1, -1):
+        own = bpe.loaded(bpe.default_vocabulary()).emptied()
+        for text in texts[::order]:
+            assert own.encode(text.encode()).tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_ids_of_every_code_point_and_of_random_strings():
     """Both encoders against the library: every code point in a word and alone, and strings of all scripts."""
     path, t = bpe.default_vocabulary(), library()
