@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from landshift.llm import (
     bpe,
     decontamination,
+    divergence,
     licenses,
     lm_scoring,
+    mixing,
     near_dedup,
+    prefix_trie,
     quality_model,
     quality_rules,
     substring_dedup,
@@ -80,6 +83,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(starts, ["part", "chunk"]).select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_lm_scoring, op4_bpe, op5_substring_dedup, op6_quality_classifier, op7_toxicity, op8_near_dedup, op9_license_scans, op10_token_files)
+    f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_lm_scoring, op4_bpe, op5_substring_dedup, op6_quality_classifier, op7_toxicity, op8_near_dedup, op9_license_scans, op10_token_files, op11_source_mixing, op12_prefix_trie, op13_divergence)
 }
