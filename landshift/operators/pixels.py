@@ -62,6 +62,20 @@ def percent_clip(pixels: DataFrame, keys: list[str], band: str, low: float = 0.0
     return pixels.join(cut, keys).withColumn(f"{band}_8bit", scaled).drop("_lo", "_hi")
 
 
+def stretched(pixels: DataFrame, keys: list[str], bands: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """``percent_clip`` of several bands: one aggregate and one join for all of them."""
+    cuts = pixels.groupBy(*keys).agg(*(F.percentile(b, F.array(F.lit(low), F.lit(high))).alias(f"_{b}") for b in bands))
+    out = pixels.join(cuts, keys)
+    for b in bands:
+        low_, high_ = F.col(f"_{b}")[0], F.col(f"_{b}")[1]
+        flat = high_ - low_ < 1
+        lo, hi = F.when(flat, 0.0).otherwise(low_), F.when(flat, 1.0).otherwise(high_)
+        value = (F.coalesce(F.col(b).cast("double"), low_) - lo) / (hi - lo) * 255
+        scaled = F.when(flat & (low_ <= 0), F.lit(0)).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), value))).cast("int"))
+        out = out.withColumn(f"{b}_8bit", F.coalesce(scaled, F.lit(0)))
+    return out.drop(*(f"_{b}" for b in bands))
+
+
 def resample_half(pixels: DataFrame, coarse: DataFrame, keys: list[str], factor: int = 2) -> DataFrame:
     """Nearest resample of a coarser grid onto a finer one by integer division of the position."""
     fine = pixels.withColumns({"_r": F.expr(f"r div {factor}"), "_c": F.expr(f"c div {factor}")})

@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from landshift.functions import indices
 from landshift.operators.pixels import usability, validity
+from landshift.operators.storage import stored
+
+#: Rows and columns of a block that one task closes or labels.
+BLOCK = 512
 
 
 def filled(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,6 +49,66 @@ def closing(pixels: DataFrame, keys: list[str], mask: str, size: int = 25, dense
     return out.withColumn(mask, F.col("_m") == 1).drop("_m")
 
 
+def around(mask: np.ndarray, size: int, axis: int) -> np.ndarray:
+    """Set pixels among the ``size`` around each along an axis, by running sums; outside counts as unset."""
+    half = size // 2
+    pad = [(0, 0), (0, 0)]
+    pad[axis] = (half + 1, half)
+    run = np.cumsum(np.pad(mask, pad), axis=axis, dtype=np.int32)
+    n = run.shape[axis]
+    return np.take(run, range(size, n), axis) - np.take(run, range(n - size), axis)
+
+
+def in_block(block: int) -> list[Column]:
+    return [F.floor(F.col("r") / block).cast("long").alias("_i"), F.floor(F.col("c") / block).cast("long").alias("_j")]
+
+
+def closing_by_blocks(pixels: DataFrame, keys: list[str], mask: str, size: int = 25, block: int = BLOCK, dense: bool = True) -> DataFrame:
+    """The same closing for grids of any size: no task holds more than a block and what lies around it.
+
+    A set pixel is also sent to the blocks that it can reach: what a pixel becomes depends on
+    those within twice half the square.  The grid's box, a row a block, comes by the same
+    exchange, so a grid of many blocks is spread over many tasks.
+    """
+    if not dense:
+        pixels = filled(pixels, keys)
+    reach = 2 * (size // 2)
+    fields = StructType([f if f.name != mask else StructField(mask, BooleanType()) for f in pixels.schema])
+    to = to_arrow_schema(fields)
+    span = lambda x: F.sequence(F.floor((F.col(x) - reach) / block), F.floor((F.col(x) + reach) / block))
+    place = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
+    met = F.flatten(F.transform(span("r"), lambda i: F.transform(span("c"), lambda j: place(i, j))))
+    own = F.array(place(F.floor(F.col("r") / block), F.floor(F.col("c") / block)))
+    sent = pixels.withColumn("_at", F.explode(F.when(F.coalesce(F.col(mask), F.lit(False)), met).otherwise(own))).withColumns({"_i": F.col("_at.i"), "_j": F.col("_at.j")}).drop("_at")
+    box = pixels.groupBy(*keys).agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    edge = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / block).cast("long"), F.floor(F.col(b) / block).cast("long")))
+    boxes = box.withColumn("_i", edge("r0", "r1")).withColumn("_j", edge("c0", "c1"))
+    boxes = boxes.select(*(F.col(x).alias(x) for x in boxes.columns))  # columns of its own, whatever the pixels come from
+
+    def one(rows: pa.Table, about: pa.Table) -> pa.Table:
+        if not about.num_rows:
+            return to.empty_table()  # beyond the grid
+        a = {k: about[k][0].as_py() for k in ("_i", "_j", "r0", "r1", "c0", "c1")}
+        top, left = a["_i"] * block - reach, a["_j"] * block - reach
+        r, c = rows["r"].to_numpy() - top, rows["c"].to_numpy() - left
+        on = rows[mask].fill_null(False).to_numpy().astype(bool)
+        wide = block + 2 * reach
+        grid = np.zeros((wide, wide), bool)
+        grid[r[on], c[on]] = True
+        for axis in (1, 0):
+            grid = around(grid, size, axis) > 0
+        grid[: max(a["r0"] - top, 0)] = grid[max(a["r1"] + 1 - top, 0) :] = False
+        grid[:, : max(a["c0"] - left, 0)] = grid[:, max(a["c1"] + 1 - left, 0) :] = False
+        for axis in (1, 0):
+            grid = around(grid, size, axis) == size
+        mine = (r >= reach) & (r < reach + block) & (c >= reach) & (c < reach + block)
+        kept, value = rows.filter(pa.array(mine)), pa.array(grid[r[mine], c[mine]])
+        return pa.Table.from_arrays([value if f.name == mask else kept[f.name].cast(f.type) for f in to], schema=to)
+
+    at = [*keys, "_i", "_j"]
+    return sent.groupBy(*at).cogroup(boxes.groupBy(*at)).applyInArrow(one, fields)
+
+
 def labels_of(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """4-connected components of set pixels by union-find over runs; a component's label is its first pixel's place in scan order."""
     order = np.lexsort((cols, rows))
@@ -103,19 +171,53 @@ def components_by_runs(pixels: DataFrame, keys: list[str], mask: str) -> DataFra
     below = runs.select(*keys, (F.col("r") - 1).alias("r"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("run").alias("run2"))
     touch = runs.join(below, [*keys, "r"]).where("a <= b2 AND a2 <= b").select(*keys, F.col("run").alias("u"), F.col("run2").alias("v"))
     edges = touch.union(touch.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
-    now = runs.select(*keys, "run", "label").checkpoint()
+    now = least_labels(runs.select(*keys, "run", "label").checkpoint(), edges, keys)
+    placed = on.join(runs.select(*keys, "r", "_island", "run"), [*keys, "r", "_island"]).join(now, [*keys, "run"])
+    return placed.select(*keys, "r", "c", "label")
+
+
+def least_labels(now: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``run`` and ``label``, the least run that it is joined to by ``edges`` (u, v, both ways).  Both tables are stored ones."""
     while True:
         # A label's runs take together the least label that any of them touches; so labels at least halve where they meet.
         ends = edges.join(now.select(*keys, F.col("run").alias("v"), F.col("label").alias("there")), [*keys, "v"]).join(now.select(*keys, F.col("run").alias("u"), "label"), [*keys, "u"])
-        better = ends.where("there < label").groupBy(*keys, "label").agg(F.min("there").alias("least")).checkpoint()
+        better = stored(ends.where("there < label").groupBy(*keys, "label").agg(F.min("there").alias("least")))
         if better.isEmpty():
-            break
+            return now
         new = now.join(better, [*keys, "label"], "left").select(*keys, "run", F.coalesce("least", "label").alias("label"))
         # A label names a run, whose own label is a step further.
         jump = new.select(*keys, F.col("run").alias("label"), F.col("label").alias("further"))
-        now = new.join(jump, [*keys, "label"]).select(*keys, "run", F.col("further").alias("label")).checkpoint()
-    placed = on.join(runs.select(*keys, "r", "_island", "run"), [*keys, "r", "_island"]).join(now, [*keys, "run"])
-    return placed.select(*keys, "r", "c", "label")
+        now = stored(new.join(jump, [*keys, "label"]).select(*keys, "run", F.col("further").alias("label")))
+
+
+def components_by_blocks(pixels: DataFrame, keys: list[str], mask: str, carry: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """The same labels for grids of any size: each block labels its own pixels, and only pixels along the blocks' borders are joined.
+
+    Labels of a block that touch another's are merged until none touches a smaller one; all
+    others are final at once.
+    """
+    on = pixels.where(mask).select(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), *carry, *in_block(block))
+    fields = StructType([*(f for f in on.schema if f.name not in ("_i", "_j")), StructField("label", LongType())])
+    to = to_arrow_schema(fields)
+
+    def one(rows: pa.Table) -> pa.Table:
+        r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
+        order = np.lexsort((c, r))
+        first = order[labels_of(r, c)]
+        return pa.Table.from_arrays([pa.array(r[first] * (1 << 32) + c[first]) if f.name == "label" else rows[f.name].cast(f.type) for f in to], schema=to)
+
+    labelled = stored(on.groupBy(*keys, "_i", "_j").applyInArrow(one, fields))
+    across = None
+    for axis in ("r", "c"):
+        last = labelled.where(F.col(axis) % block == block - 1).select(*keys, *(F.col(x) + 1 if x == axis else x for x in ("r", "c")), F.col("label").alias("u")).toDF(*keys, "r", "c", "u")
+        first = labelled.where(F.col(axis) % block == 0).select(*keys, "r", "c", F.col("label").alias("v"))
+        met = last.join(first, [*keys, "r", "c"]).select(*keys, "u", "v")
+        across = met if across is None else across.union(met)
+    across = across.distinct()
+    edges = stored(across.union(across.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))))
+    names = stored(edges.select(*keys, F.col("u").alias("run"), F.col("u").alias("label")).distinct())
+    final = least_labels(names, edges, keys).select(*keys, F.col("run").alias("label"), F.col("label").alias("_least"))
+    return labelled.join(final, [*keys, "label"], "left").withColumn("label", F.coalesce("_least", "label")).select(*keys, "r", "c", *carry, "label")
 
 
 def findings(labelled: DataFrame, pixels: DataFrame | None, keys: list[str], min_pixels: int = 50, use_pixel_delta: bool = False) -> DataFrame:
@@ -191,9 +293,10 @@ def seasonal(pixels: DataFrame, keys: list[str], mask: str = "changed", valid: s
     return uniformity(pixels.groupBy(*keys).agg(*spread(mask, valid)))
 
 
-def assessed(pixels: DataFrame, keys: list[str], mask: str = "changed", valid: str = "valid") -> DataFrame:
-    """What ``pair_summary`` and ``seasonal`` say, from one aggregate of the pixels."""
-    return usability(uniformity(pixels.groupBy(*keys).agg(*validity(valid), *spread(mask, valid))))
+def assessed(pixels: DataFrame, keys: list[str], mask: str = "changed", valid: str = "valid", raw: str | None = None) -> DataFrame:
+    """What ``pair_summary`` and ``seasonal`` say, from one aggregate of the pixels; ``any_changed`` by the mask before its closing (``raw``)."""
+    changed = F.bool_or(F.coalesce(F.col(raw or mask), F.lit(False))).alias("any_changed")
+    return usability(uniformity(pixels.groupBy(*keys).agg(*validity(valid), *spread(mask, valid), changed)))
 
 
 def spread(mask: str, valid: str) -> list[Column]:
@@ -214,14 +317,24 @@ def uniformity(out: DataFrame) -> DataFrame:
 def outcomes(grids: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """One row a grid that was ``assessed``: the first reason to abstain along the stages, or the findings' number."""
     n = found.groupBy(*keys).agg(F.count("*").alias("n_findings"))
-    return verdicts(grids).join(n, keys, "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0)))
+    counted = F.when(F.col("status") == "abstained", F.lit(0)).otherwise(F.coalesce("n_findings", F.lit(0)))
+    return verdicts(grids).join(n, keys, "left").withColumn("n_findings", counted)
+
+
+def granted(found: DataFrame, told: DataFrame, keys: list[str]) -> DataFrame:
+    """The findings of the grids that don't abstain: an abstained run has none."""
+    return found.join(told.where("status <> 'abstained'").select(*keys), keys, "left_semi")
 
 
 def verdicts(grids: DataFrame) -> DataFrame:
-    """``status`` and ``reason`` of each grid that was ``assessed``."""
+    """``status`` and ``reason`` of each grid that was ``assessed``.
+
+    Whether anything changed is asked before the closing: a change that the closing clears, as
+    at the border, is no reason to abstain, though nothing may be found.
+    """
     reason = (
         F.when(~F.col("usable"), "insufficient valid pixels")
-        .when(F.coalesce("n_changed", F.lit(0)) == 0, "no significant change detected")
+        .when(~F.col("any_changed"), "no significant change detected")
         .when(F.coalesce("should_abstain", F.lit(False)), "seasonal pattern")
     )
     return grids.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), "review_recommended").otherwise("abstained"))

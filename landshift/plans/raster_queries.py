@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landshift.functions import geometry, indices
-from landshift.operators import chips, evidence, pixels, regions
+from landshift.operators import chips, pixels, regions
 from landshift.plans.registry import query, table
 
 PX = """
@@ -24,6 +23,17 @@ nd AS (SELECT *, (sclb NOT IN (0,1,3,7,8,9,10,11) AND scla NOT IN (0,1,3,7,8,9,1
 base AS (SELECT *, CASE WHEN valid THEN CAST(ndvi_a - ndvi_b AS FLOAT) END AS ndvi_diff,
   CASE WHEN valid THEN CAST(sqrt(CAST((b04a - b04b) * (b04a - b04b) + (b08a - b08b) * (b08a - b08b) AS DOUBLE)) AS FLOAT) END AS pixel_delta FROM nd)
 """
+#: The raster's clearing and clouds, and what they are where tiles take turns: a change of the whole view, one at the border only, clouds, no change.
+LOSS_SQL, CLOUD_SQL = "((o_orderkey % 2500) // 50 BETWEEN 14 AND 24 AND o_orderkey % 50 BETWEEN 14 AND 33 AND o_custkey % 4 <> 0) AS loss", "CASE WHEN u % 23 = 0 THEN 9 ELSE 4 END AS sclb"
+LOSS_CASES = "CASE (o_orderkey // 2500) % 6 WHEN 1 THEN true WHEN 2 THEN (o_orderkey % 2500) // 50 < 4 WHEN 4 THEN false ELSE " + LOSS_SQL.removesuffix(" AS loss") + " END AS loss"
+CLOUD_CASES = "CASE WHEN tile % 6 = 1 AND NOT (r BETWEEN 10 AND 39 AND c BETWEEN 10 AND 39) THEN 9 WHEN tile % 6 = 3 AND u % 5 <> 0 THEN 9 WHEN u % 23 = 0 THEN 9 ELSE 4 END AS sclb"
+
+
+def cased(sql: str) -> str:
+    """SQL over the raster where tiles take turns."""
+    return sql.replace(LOSS_SQL, LOSS_CASES).replace(CLOUD_SQL, CLOUD_CASES)
+
+
 MASK = PX + """, m0 AS (SELECT tile, r, c, valid, ndvi_diff, pixel_delta, CASE WHEN coalesce(ndvi_diff, 0) < CAST(-0.15 AS FLOAT) THEN 1 ELSE 0 END AS m FROM base)"""
 CLOSED = MASK + """, m1 AS (SELECT *, max(m) OVER (PARTITION BY tile, r ORDER BY c ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS d1 FROM m0),
 m2 AS (SELECT *, max(d1) OVER (PARTITION BY tile, c ORDER BY r ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS d2 FROM m1),
@@ -37,12 +47,6 @@ found AS (SELECT *, valid_pixels * 0.01e0 AS area_ha, least(abs(ndvi_delta_mean)
 SEASON = CLOSED + """, s0 AS (SELECT tile, CAST(count_if(e2 = 1 AND valid) AS BIGINT) AS n_changed, CAST(count_if(valid) AS BIGINT) AS n_valid, avg(CASE WHEN e2 = 1 AND valid THEN CAST(ndvi_diff AS DOUBLE) END) AS mean_, stddev_pop(CASE WHEN e2 = 1 AND valid THEN CAST(ndvi_diff AS DOUBLE) END) AS std_ FROM closed GROUP BY tile),
 season AS (SELECT tile, n_changed, n_valid, CASE WHEN n_changed >= 50 THEN CASE WHEN abs(mean_) <= 1e-6 THEN 0e0 ELSE std_ / abs(mean_) END END AS cv, CASE WHEN n_changed >= 50 THEN n_changed / CAST(n_valid AS DOUBLE) END AS coverage FROM s0)"""
 
-TOLD = FOUND + """, s AS (SELECT tile, CAST(count_if(e2 = 1 AND valid) AS BIGINT) AS n_changed, CAST(count_if(valid) AS BIGINT) AS n_valid, count(*) AS n_pixels, least(max(r) - min(r) + 1, max(c) - min(c) + 1) AS side,
-  stddev_pop(CASE WHEN e2 = 1 AND valid THEN CAST(ndvi_diff AS DOUBLE) END) / abs(avg(CASE WHEN e2 = 1 AND valid THEN CAST(ndvi_diff AS DOUBLE) END)) AS cv FROM closed GROUP BY tile),
-t AS (SELECT s.*, (SELECT count(*) FROM found f WHERE f.tile = s.tile) AS n_findings,
-  CASE WHEN side < 10 OR n_valid / CAST(n_pixels AS DOUBLE) < 0.3 THEN 'insufficient valid pixels' WHEN n_changed = 0 THEN 'no significant change detected'
-  WHEN n_changed >= 50 AND cv < 0.3 AND n_changed / CAST(n_valid AS DOUBLE) > 0.5 THEN 'seasonal pattern' END AS reason FROM s)"""
-
 
 #: Where the raster lies: metres of UTM zone 33 north.
 AFFINE, CRS = (10.0, 0.0, 500000.0, 0.0, -10.0, 4600000.0), "EPSG:32633"
@@ -64,17 +68,22 @@ def warped(table_: str, x: str, y: str, names: str, zone: int = 33) -> str:
 FROM (SELECT *, asin(sin(xi0) / {cosh('eta0')}) AS chi FROM (SELECT *, {xi0} AS xi0, {eta0} AS eta0 FROM (SELECT *, ({y}) / CAST({scale!r} AS DOUBLE) AS xi, (({x}) - 500000e0) / CAST({scale!r} AS DOUBLE) AS eta FROM {table_}))))"""
 
 
-def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pixel table, before and after side by side."""
+def raster(spark: SparkSession, sf_dir: str, cases: bool = False) -> DataFrame:
+    """The pixel table, before and after side by side; with ``cases`` tiles take turns as ``cased`` says."""
     u = F.col("u")
     px = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 2500").alias("tile"), F.expr("(o_orderkey % 2500) div 50").alias("r"), F.expr("o_orderkey % 50").alias("c"), F.col("o_custkey").alias("u"))
     loss = F.col("r").between(14, 24) & F.col("c").between(14, 33) & (u % 4 != 0)
+    cloud = F.when(u % 23 == 0, 9).otherwise(4)
+    if cases:
+        turn, inside = F.col("tile") % 6, F.col("r").between(10, 39) & F.col("c").between(10, 39)
+        loss = F.when(turn == 1, True).when(turn == 2, F.col("r") < 4).when(turn == 4, False).otherwise(loss)
+        cloud = F.when(((turn == 1) & ~inside) | ((turn == 3) & (u % 5 != 0)), 9).otherwise(cloud)
     return px.select(
         "tile", "r", "c", "u",
         (u % 400 + 3000).alias("b08b"), (u * 7 % 120 + 400).alias("b04b"), (u * 5 % 150 + 900).alias("b11b"), (u * 11 % 130 + 600).alias("b12b"),
         F.when(loss, u % 300 + 1500).otherwise(u % 400 + 3000).alias("b08a"), F.when(loss, u * 3 % 200 + 900).otherwise(u * 7 % 120 + 400).alias("b04a"),
         F.when(loss, u * 3 % 150 + 1500).otherwise(u * 5 % 150 + 900).alias("b11a"), F.when(loss, u * 9 % 130 + 1200).otherwise(u * 11 % 130 + 600).alias("b12a"),
-        F.when(u % 23 == 0, 9).otherwise(4).alias("sclb"), F.when(u % 29 == 0, 8).when(u % 31 == 0, 0).otherwise(5).alias("scla"),
+        cloud.alias("sclb"), F.when(u % 29 == 0, 8).when(u % 31 == 0, 0).otherwise(5).alias("scla"),
     )
 
 
@@ -97,15 +106,19 @@ def six(name: str):
     return F.round(F.col(name).cast("double"), 6).alias(name)
 
 
-def closed(spark: SparkSession, sf_dir: str, threshold: float = 0.15) -> DataFrame:
-    base = baselines(raster(spark, sf_dir))
-    base = base.withColumn("changed", indices.exceeds(F.col("ndvi_diff"), threshold, "negative"))
-    return regions.closing(base, ["tile"], "changed")
+def closed(spark: SparkSession, sf_dir: str, threshold: float = 0.15, cases: bool = False) -> DataFrame:
+    """The closed change mask, and ``raw``, the mask before its closing."""
+    base = baselines(raster(spark, sf_dir, cases)).select("tile", "r", "c", "valid", "ndvi_diff", "pixel_delta")
+    base = base.withColumn("changed", indices.exceeds(F.col("ndvi_diff"), threshold, "negative")).withColumn("raw", F.col("changed"))
+    return regions.closing_by_blocks(base, ["tile"], "changed")
+
+
+def labelled(px: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    return regions.components_by_blocks(px, ["tile"], "changed", carry)
 
 
 def all_findings(px: DataFrame) -> DataFrame:
-    labelled = regions.components(px, ["tile"], "changed", ("ndvi_diff", "pixel_delta"))
-    return regions.findings(labelled, None, ["tile"])
+    return regions.findings(labelled(px, ("ndvi_diff", "pixel_delta")), None, ["tile"])
 
 
 @query(PX + "SELECT tile, r, c, round(CAST(ndvi_a AS DOUBLE), 6) AS ndvi, round(CAST(ndvi_diff AS DOUBLE), 6) AS ndvi_diff FROM base")
@@ -206,14 +219,6 @@ def overlay_rgb(spark, sf_dir):
     return px.select("tile", "r", "c", indices.overlay(v, F.col("changed"), True).alias("red"), indices.overlay(v, F.col("changed"), False).alias("green"))
 
 
-@query()
-def change_images(spark, sf_dir):
-    px = pixels.percent_clip(baselines(raster(spark, sf_dir)), ["tile"], "b04a").withColumn("changed", indices.exceeds(F.col("ndvi_diff")))
-    v = F.col("b04a_8bit")
-    px = px.select("tile", "r", "c", indices.overlay(v, F.col("changed"), True).alias("red"), indices.overlay(v, F.col("changed"), False).alias("green"), indices.overlay(v, F.col("changed"), False).alias("blue"))
-    return evidence.images(px, ["tile"]).select("tile", "height", "width", F.octet_length("png").alias("bytes"), F.sha2("png", 256).alias("sha256"))
-
-
 @query(CLOSED + "SELECT tile, r, c, e2 = 1 AS changed FROM closed")
 def closing(spark, sf_dir):
     return closed(spark, sf_dir).select("tile", "r", "c", "changed")
@@ -221,7 +226,7 @@ def closing(spark, sf_dir):
 
 @query(LABELS + "SELECT tile, r, c, label FROM lab")
 def components(spark, sf_dir):
-    return regions.components(closed(spark, sf_dir), ["tile"], "changed")
+    return labelled(closed(spark, sf_dir))
 
 
 @query(FOUND + "SELECT tile, label, valid_pixels, round(ndvi_delta_mean, 6) AS ndvi_delta_mean, round(area_ha, 6) AS area_ha, round(score, 6) AS score FROM found")
@@ -240,29 +245,18 @@ def top_findings(spark, sf_dir):
     return regions.top(found, ["tile"]).select("tile", "finding_id", "label", "valid_pixels", six("score"), F.lit(0.0).alias("nbr_delta_mean"))
 
 
-@query()
-def change_findings(spark, sf_dir):
-    """The flagship: from pixels to ranked findings, as GeoJSON in longitudes and latitudes, and a row for each tile that has none."""
-    px = closed(spark, sf_dir)
-    ranked = regions.outlined(regions.top(all_findings(px), ["tile"]))
-    told = regions.verdicts(regions.assessed(px, ["tile"])).select("tile", "status", "reason")
-    ring = geometry.ring_to_wgs84(F.col("ring"), AFFINE, CRS)
-    ranked = ranked.withColumn("geometry", F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))))
-    return told.join(ranked, "tile", "left").select("tile", "status", "reason", "finding_id", "score", "area_ha", "ndvi_delta_mean", "valid_pixels", "geometry")
-
-
 @query(
     LABELS
     + """SELECT tile, label, CAST(min(c) AS DOUBLE) AS minx, CAST(min(r) AS DOUBLE) AS miny, CAST(max(c) AS DOUBLE) AS maxx, CAST(max(r) AS DOUBLE) AS maxy FROM lab GROUP BY tile, label"""
 )
 def hull(spark, sf_dir):
-    rings = regions.hulls(regions.components(closed(spark, sf_dir), ["tile"], "changed"), ["tile"])
+    rings = regions.hulls(labelled(closed(spark, sf_dir)), ["tile"])
     return rings.select("tile", "label", geometry.bbox(F.col("ring")).alias("b")).select("tile", "label", "b.*")
 
 
 @query()
 def hull_area(spark, sf_dir):
-    rings = regions.hulls(regions.components(closed(spark, sf_dir), ["tile"], "changed"), ["tile"])
+    rings = regions.hulls(labelled(closed(spark, sf_dir)), ["tile"])
     return rings.select("tile", "label", geometry.shoelace(F.col("ring")).alias("area"), (F.size("ring") - 1).alias("corners"))
 
 
@@ -274,7 +268,7 @@ FROM {warped('b', '500000 + 10e0 * x0', '4600000 - 10e0 * y0', 'tile, label')} p
 )
 def findings_wgs84(spark, sf_dir):
     """Two corners of each finding's box in longitudes and latitudes."""
-    rings = regions.hulls(regions.components(closed(spark, sf_dir), ["tile"], "changed"), ["tile"]).withColumn("b", geometry.bbox(F.col("ring")))
+    rings = regions.hulls(labelled(closed(spark, sf_dir)), ["tile"]).withColumn("b", geometry.bbox(F.col("ring")))
     corner = lambda x, y: F.array(F.col(f"b.{x}"), F.col(f"b.{y}"))
     at = geometry.ring_to_wgs84(F.array(corner("minx", "miny"), corner("maxx", "maxy")), AFFINE, CRS)
     places = {"west": at[0][0], "north": at[0][1], "east": at[1][0], "south": at[1][1]}
@@ -329,13 +323,6 @@ def seasonal_assessment(spark, sf_dir):
     return regions.seasonal(closed(spark, sf_dir), ["tile"]).select("tile", "n_changed", "n_valid", six("cv"), six("coverage"), "is_uniform", "should_abstain")
 
 
-@query(TOLD + " SELECT tile, reason, CASE WHEN reason IS NULL THEN 'review_recommended' ELSE 'abstained' END AS status, n_findings FROM t")
-def outcomes(spark, sf_dir):
-    px = closed(spark, sf_dir)
-    out = regions.outcomes(regions.assessed(px, ["tile"]), all_findings(px), ["tile"])
-    return out.select("tile", "reason", "status", "n_findings")
-
-
 @query(
     PX
     + """, g AS (SELECT tile, max(r) + 1 AS height, max(c) + 1 AS width FROM px GROUP BY tile)
@@ -423,35 +410,3 @@ def resample_bilinear(spark, sf_dir):
     px = raster(spark, sf_dir)
     target = px.select("tile", "r", "c", (F.col("r") * 0.5).alias("y"), (F.col("c") * 0.5).alias("x"))
     return pixels.bilinear(target, px, ["tile"], "b11a").select("tile", "r", "c", F.round(F.col("b11a").cast("double"), 3).alias("b11a"))
-
-
-@query(
-    FOUND
-    + """, k AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY score DESC, label) AS finding_id FROM found)
-SELECT tile, count(*) AS n_features, 'FeatureCollection' AS kind, min(finding_id) AS first_id FROM k WHERE finding_id <= 20 GROUP BY tile"""
-)
-def findings_geojson(spark, sf_dir):
-    ranked = regions.outlined(regions.top(all_findings(closed(spark, sf_dir)), ["tile"]))
-    out = evidence.feature_collections(ranked, ["tile"], ["score", "area_ha", "ndvi_delta_mean", "valid_pixels"])
-    path = lambda p: F.get_json_object("geojson", p)
-    return out.select("tile", "n_features", path("$.type").alias("kind"), path("$.features[0].id").cast("long").alias("first_id"))
-
-
-@query(
-    TOLD
-    + f""" SELECT tile, '{{"software":{{"spark":"{pyspark.__version__}"}},"n_findings":' || n_findings || ',"abstention":' || CASE WHEN reason IS NULL THEN 'null' ELSE '{{"reason":"' || reason || '"}}' END || '}}' AS provenance FROM t"""
-)
-def provenance(spark, sf_dir):
-    return evidence.provenance(outcomes(spark, sf_dir), ["tile"], {"spark": spark.version})
-
-
-@query(
-    FOUND
-    + """, k AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY score DESC, label) AS finding_id FROM found)
-SELECT t.tile, count(k.label) AS n_findings, coalesce(round(sum(CASE WHEN finding_id <= 20 THEN area_ha * 10000 END), 4), 0) AS changed_area_m2 FROM (SELECT DISTINCT tile FROM px) t LEFT JOIN k ON k.tile = t.tile AND finding_id <= 20 GROUP BY t.tile"""
-)
-def api_response(spark, sf_dir):
-    found = all_findings(closed(spark, sf_dir))
-    out = evidence.api_response(outcomes(spark, sf_dir), regions.top(found, ["tile"]), ["tile"])
-    total = F.aggregate("findings", F.lit(0.0), lambda s, x: s + x["changed_area_m2"])
-    return out.select("tile", F.size("findings").cast("long").alias("n_findings"), F.round(total, 4).alias("changed_area_m2"))

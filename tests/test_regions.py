@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from landshift.operators import pixels, regions
 
@@ -100,7 +101,7 @@ def test_assessed_says_what_its_parts_say(spark):
     df = frame(spark, np.random.default_rng(2).random((20, 20)) < 0.3)
     (one,) = regions.assessed(df, ["g"]).collect()
     (x,), (y,) = pixels.pair_summary(df, ["g"]).collect(), regions.seasonal(df, ["g"]).collect()
-    assert one.asDict() == x.asDict() | y.asDict()
+    assert one.asDict() == x.asDict() | y.asDict() | {"any_changed": True}
 
 
 def test_top_twenty(spark):
@@ -191,3 +192,56 @@ def test_runs_of_a_long_snake_have_one_label(spark):
     spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     labels = {r["label"] for r in regions.components_by_runs(frame(spark, mask), ["g"], "changed").select("label").distinct().collect()}
     assert len(labels) == 1
+
+
+@pytest.mark.parametrize(("shape", "size", "block"), [((40, 37), 25, 16), ((70, 55), 25, 32), ((30, 18), 5, 7), ((9, 9), 3, 512)])
+def test_closing_by_blocks_is_the_same(spark, shape, size, block):
+    mask = np.random.default_rng(size).random(shape) < 0.08
+    got = regions.closing_by_blocks(frame(spark, mask), ["g"], "changed", size, block)
+    assert got.count() == mask.size and got.columns == frame(spark, mask).columns
+    assert {(r["r"], r["c"]) for r in got.where("changed").collect()} == set(map(tuple, np.argwhere(closed_by_hand(mask, size)).tolist()))
+
+
+def test_closing_by_blocks_of_sparse_grids_off_the_origin(spark):
+    mask = np.random.default_rng(8).random((26, 31)) < 0.2
+    full = frame(spark, mask).withColumns({"r": F.col("r") - 9, "c": F.col("c") + 1000})
+    sparse = full.where("changed OR (r + c) % 3 = 0 OR r IN (-9, 16) OR c IN (1000, 1030)").withColumn("changed", F.when(F.col("changed"), True))
+    ends = lambda df: {(r["r"], r["c"]) for r in df.where("changed").collect()}
+    want = ends(regions.closing(sparse, ["g"], "changed", 5, dense=False))
+    assert ends(regions.closing_by_blocks(sparse, ["g"], "changed", 5, 8, dense=False)) == want and want
+
+
+@pytest.mark.parametrize(("density", "block"), [(0.0, 8), (0.45, 8), (0.6, 5), (1.0, 7), (0.6, 512)])
+def test_components_by_blocks_are_the_same(spark, density, block):
+    mask = np.random.default_rng(7).random((24, 31)) < density
+    want = {(r, c): v for (r, c), v in np.ndenumerate(flood(mask)) if v >= 0}
+    got = regions.components_by_blocks(frame(spark, mask), ["g"], "changed", ("ndvi_diff",), block)
+    assert {(r["r"], r["c"]): r["label"] for r in got.collect()} == want and got.columns == ["g", "r", "c", "ndvi_diff", "label"]
+
+
+def test_a_snake_through_many_blocks_has_one_label(spark):
+    mask = np.zeros((60, 7), bool)
+    mask[:, ::2] = True
+    for k, c in enumerate(range(1, 7, 2)):
+        mask[59 if k % 2 == 0 else 0, c] = True
+    assert regions.components_by_blocks(frame(spark, mask), ["g"], "changed", block=4).select("label").distinct().count() == 1
+
+
+def test_no_task_gets_more_than_a_block(spark):
+    """One grid over many blocks: the exchange before the Python step goes by grid and block."""
+    plan = regions.closing_by_blocks(frame(spark, np.zeros((40, 40), bool)), ["g"], "changed", 25, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(g" in plan and "_i" in plan and "_j" in plan and "Window" not in plan
+
+
+def test_abstained_grids_have_no_findings_and_border_changes_no_abstention(spark):
+    everywhere, border, none = np.zeros((50, 50), bool), np.zeros((50, 50), bool), np.zeros((50, 50), bool)
+    everywhere[5:45, 5:45] = True
+    border[:3] = True
+    valid = np.zeros((50, 50), bool)
+    valid[10:40, 10:40] = True
+    df = frame(spark, everywhere, valid=valid, g=1).union(frame(spark, border, g=2)).union(frame(spark, none, g=3)).withColumn("raw", F.col("changed"))
+    px = regions.closing_by_blocks(df, ["g"], "changed")
+    found = regions.findings(regions.components_by_blocks(px, ["g"], "changed", ("ndvi_diff",)), None, ["g"])
+    told = {r["g"]: (r["status"], r["reason"], r["n_findings"]) for r in regions.outcomes(regions.assessed(px, ["g"], raw="raw"), found, ["g"]).collect()}
+    assert told == {1: ("abstained", "seasonal pattern", 0), 2: ("review_recommended", None, 0), 3: ("abstained", "no significant change detected", 0)}
+    assert found.where("g = 1").count() == 1 and regions.granted(found, regions.verdicts(regions.assessed(px, ["g"], raw="raw")), ["g"]).count() == 0
