@@ -12,6 +12,7 @@ All arithmetic is on whole numbers.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -26,49 +27,50 @@ from landshift.llm.common import arrow, slices, stored
 #: Lower-cases A-Z and turns every other ASCII byte that is not a-z into a space.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: Counters, and leaves, that a task holds before it reads its tries out.
-COUNTERS, LEAVES = 300_000, 200_000
+COUNTERS, LEAVES = 800_000, 400_000
 #: Cells of a block of terms x sources x sources.
 CELLS = 1 << 21
 LEAF = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
 class Trie:
-    """A radix trie over bytes: a node is [label, children by first byte, leaf]; a leaf is [documents, {source: count}]."""
+    """A radix trie over bytes: a node is [label, children by first byte, leaf]; a leaf counts by source, and its documents under None."""
 
     def __init__(self):
         self.root, self.leaves = [b"", {}, None], 0
 
-    def leaf(self, term: bytes) -> list:
+    def leaf(self, term: bytes) -> dict:
         """The leaf of a term, made if it is new; an edge that the term leaves half-way is cut there."""
         node, at, end = self.root, 0, len(term)
         while at < end:
-            child = node[1].get(term[at])
+            children = node[1]
+            if children is None:
+                children = node[1] = {}
+            child = children.get(term[at])
             if child is None:
-                child = node[1][term[at]] = [term[at:], {}, None]
-                node, at = child, end
-                continue
+                node = children[term[at]] = [term[at:], None, None]
+                break
             label = child[0]
             if not term.startswith(label, at):
                 n, most = 1, min(len(label), end - at)
                 while n < most and label[n] == term[at + n]:
                     n += 1
-                middle = node[1][term[at]] = [label[:n], {label[n]: child}, None]
+                middle = children[term[at]] = [label[:n], {label[n]: child}, None]
                 child[0] = label[n:]
                 child, label = middle, middle[0]
             node, at = child, at + len(label)
         if node[2] is None:
-            node[2] = [0, {}]
+            node[2] = {None: 0}
             self.leaves += 1
         return node[2]
 
     def merge(self, other: Trie) -> None:
-        for term, (docs, counts) in other:
+        for term, counts in other:
             leaf = self.leaf(term)
-            leaf[0] += docs
             for source, n in counts.items():
-                leaf[1][source] = leaf[1].get(source, 0) + n
+                leaf[source] = leaf.get(source, 0) + n
 
-    def __iter__(self) -> Iterator[tuple[bytes, list]]:
+    def __iter__(self) -> Iterator[tuple[bytes, dict]]:
         """Terms and leaves in byte order."""
         stack = [(b"", self.root)]
         while stack:
@@ -76,7 +78,8 @@ class Trie:
             word = prefix + label
             if leaf is not None:
                 yield word, leaf
-            stack += [(word, children[b]) for b in sorted(children, reverse=True)]
+            if children:
+                stack += [(word, children[b]) for b in sorted(children, reverse=True)]
 
 
 class Counts:
@@ -100,25 +103,26 @@ class Counts:
 
     def settle(self) -> bool:
         """Moves the counters to the leaves of the tries; whether these are to be read out."""
-        leaves = {lang: {term: self.tries[lang].leaf(term) for term in docs} for lang, docs in self.docs.items()}
+        met: dict[str, dict[bytes, dict]] = {}
         for lang, docs in self.docs.items():
-            of = leaves[lang]
+            find, of = self.tries[lang].leaf, met.setdefault(lang, {})
             for term, n in docs.items():
-                of[term][0] += n
+                leaf = of[term] = find(term)
+                leaf[None] += n
         for (lang, source), terms in self.terms.items():
-            of = leaves[lang]
+            of = met[lang]
             for term, n in terms.items():
-                by = of[term][1]
-                by[source] = by.get(source, 0) + n
+                leaf = of[term]
+                leaf[source] = leaf.get(source, 0) + n
         self.clear()
         return sum(t.leaves for t in self.tries.values()) > LEAVES
 
     def read_out(self, to: pa.Schema) -> Iterator[pa.RecordBatch]:
         for lang in sorted(self.tries):
             terms, docs, sources, counts, ends = [], [], [], [], [0]
-            for term, (n, by) in self.tries[lang]:
+            for term, by in self.tries[lang]:
                 terms.append(term)
-                docs.append(n)
+                docs.append(by.pop(None))
                 sources += by
                 counts += by.values()
                 ends.append(len(counts))
@@ -137,14 +141,18 @@ def leaves(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counts()
-        for whole in batches:
-            for batch in slices(whole):
-                for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                    held.add(lang, source, text)
-                if held.full() and held.settle():
-                    yield from held.read_out(to)
-        held.settle()
-        yield from held.read_out(to)
+        gc.disable()  # tries have no cycles, and the collector would walk them again and again
+        try:
+            for whole in batches:
+                for batch in slices(whole):
+                    for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                        held.add(lang, source, text)
+                    if held.full() and held.settle():
+                        yield from held.read_out(to)
+            held.settle()
+            yield from held.read_out(to)
+        finally:
+            gc.enable()
 
     return named.mapInArrow(run, LEAF)
 
