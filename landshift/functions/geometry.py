@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 #: Kilometres of a degree, hectares of a square kilometre, the largest area in hectares, the most vertices.
 KM_PER_DEGREE, HA_PER_KM2, MAX_AREA_HA, MAX_VERTICES = 111.0, 100.0, 50_000.0, 50_000
@@ -73,24 +73,95 @@ def utm_to_wgs84(easting: Column, northing: Column, zone: int, north: bool = Tru
     return m.degrees(lon), m.degrees(lat)
 
 
+def wgs84_to_utm(lon: np.ndarray, lat: np.ndarray, zone: int, north: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Easting and northing by the Krueger series of the transverse Mercator projection (to n^3)."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    far, sine, e = np.radians(lon - (zone * 6 - 183)), np.sin(np.radians(lat)), 2 * math.sqrt(n) / (1 + n)
+    t = np.sinh(np.arctanh(sine) - e * np.arctanh(e * sine))
+    xi0, eta0 = np.arctan2(t, np.cos(far)), np.arctanh(np.sin(far) / np.sqrt(1 + t * t))
+    xi, eta = xi0, eta0
+    for j, v in enumerate(alpha, 1):
+        xi = xi + v * np.sin(2 * j * xi0) * np.cosh(2 * j * eta0)
+        eta = eta + v * np.cos(2 * j * xi0) * np.sinh(2 * j * eta0)
+    return 500000.0 + k0 * radius * eta, k0 * radius * xi + (0.0 if north else 1e7)
+
+
 #: Names of geographic coordinates that need no warp.
 GEOGRAPHIC = ("EPSG:4326", "OGC:CRS84", "CRS84")
 
 
+def utm_zone(crs: str | None) -> tuple[int, bool] | None:
+    """Zone and hemisphere of EPSG:326zz and EPSG:327zz; nothing for other systems."""
+    digits = (crs or "").removeprefix("EPSG:")
+    known = len(digits) == 5 and digits.isdigit() and digits[:3] in ("326", "327") and 1 <= int(digits[3:]) <= 60
+    return (int(digits[3:]), digits[:3] == "326") if known else None
+
+
+def reprojected(x: np.ndarray, y: np.ndarray, source: str, target: str) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in another system: UTM zones and geographic coordinates, any to any; NaN where a system is not known."""
+    if source == target or (source in GEOGRAPHIC and target in GEOGRAPHIC):
+        return x, y
+    at, to = utm_zone(source), utm_zone(target)
+    if (at is None and source not in GEOGRAPHIC) or (to is None and target not in GEOGRAPHIC):
+        return np.full(len(x), np.nan), np.full(len(x), np.nan)
+    if at:
+        # The zone is added afterwards: the series takes a constant for it.
+        x, y = utm_to_wgs84(x, y - (0.0 if at[1] else 1e7), 0, m=np)
+        x = x + 6 * at[0]
+    return wgs84_to_utm(x, y, *to) if to else (x, y)
+
+
+@F.pandas_udf(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
+def warp(x: pd.Series, y: pd.Series, source: pd.Series, target: pd.Series) -> pd.DataFrame:
+    """Positions in another system, by ``reprojected``; null where a system is not known.  As columns, the series would be repeated at each use."""
+    out = pd.DataFrame({"x": np.full(len(x), np.nan), "y": np.full(len(x), np.nan)})
+    pairs = pd.DataFrame({"s": source.fillna("").to_numpy(), "t": target.fillna("").to_numpy()})
+    for (s, t), rows in pairs.groupby(["s", "t"]).indices.items():
+        a, b = reprojected(x.to_numpy(float)[rows], y.to_numpy(float)[rows], s, t)
+        out.iloc[rows, 0], out.iloc[rows, 1] = a, b
+    return out.astype(object).where(out.notna(), None)
+
+
 def ring_to_wgs84(ring: Column, affine: tuple[float, ...] | None, crs: str | None) -> Column:
-    """A ring of (column, row) corners in longitudes and latitudes; as it is without affine or crs, unwarped in geographic ones."""
+    """A ring of (column, row) corners in longitudes and latitudes; as it is without affine or crs, unwarped in geographic ones, an error for systems other than UTM."""
     if not affine or not crs:
         return ring
+    zone = utm_zone(crs)
+    if crs not in GEOGRAPHIC and zone is None:
+        raise ValueError(f"neither a UTM zone nor geographic coordinates: {crs}")
 
     def place(p: Column) -> Column:
         x, y = to_world(p[0], p[1], affine)
-        return F.array(x, y) if crs in GEOGRAPHIC else F.array(*utm_to_wgs84(x, y, int(crs[-2:]), crs.startswith("EPSG:326")))
+        return F.array(x, y) if crs in GEOGRAPHIC else F.array(*utm_to_wgs84(x, y, *zone))
 
     return F.transform(ring, place)
 
 
 def crosses(p: np.ndarray, q: np.ndarray) -> bool:
     """Whether two closed rings share a point: an edge pair meets, or one ring holds the other."""
+    return edges_meet(p, q) or holds(p, q[0]) or holds(q, p[0])
+
+
+def edges_meet(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether an edge of one ring and an edge of the other share a point; long rings go edge by edge in blocks."""
+    lo, hi = np.maximum(p.min(0), q.min(0)), np.minimum(p.max(0), q.max(0))
+    if (lo > hi).any():
+        return False
+    a0, a1, b0, b1 = *ends_near(p, lo, hi), *ends_near(q, lo, hi)
+    step = max(1, 2_000_000 // max(len(b0), 1))
+    return any(pairs_meet(a0[k : k + step], a1[k : k + step], b0, b1) for k in range(0, len(a0), step))
+
+
+def ends_near(r: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the edges that reach into a box."""
+    on = ((np.minimum(r[:-1], r[1:]) <= hi) & (np.maximum(r[:-1], r[1:]) >= lo)).all(1)
+    return r[:-1][on], r[1:][on]
+
+
+def pairs_meet(p0: np.ndarray, p1: np.ndarray, q0: np.ndarray, q1: np.ndarray) -> bool:
 
     def side(a, b, c):
         return np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
@@ -98,10 +169,10 @@ def crosses(p: np.ndarray, q: np.ndarray) -> bool:
     def within(a, b, c):
         return (np.minimum(a, b) <= c).all(-1) & (c <= np.maximum(a, b)).all(-1)
 
-    a, b, c, d = p[:-1, None], p[1:, None], q[None, :-1], q[None, 1:]
+    a, b, c, d = p0[:, None], p1[:, None], q0[None], q1[None]
     s, t, u, v = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
     meet = ((s * t < 0) & (u * v < 0)) | ((s == 0) & within(a, b, c)) | ((t == 0) & within(a, b, d)) | ((u == 0) & within(c, d, a)) | ((v == 0) & within(c, d, b))
-    return bool(meet.any()) or holds(p, q[0]) or holds(q, p[0])
+    return bool(meet.any())
 
 
 def holds(ring: np.ndarray, point: np.ndarray) -> bool:
@@ -127,21 +198,162 @@ def intersects(p: pd.Series, q: pd.Series) -> pd.Series:
     return pd.Series([a is not None and b is not None and crosses(a, b) for a, b in rings], dtype=bool)
 
 
+def crossing(p: np.ndarray, q: np.ndarray, follows: np.ndarray) -> bool:
+    """Whether edges p[k]-q[k] meet that do not follow one another in their ring (``follows[k]`` comes after k).
+
+    A line sweeps over the edges and keeps those that it cuts in order; only neighbours in that
+    order are tested, so n edges need about n log n steps.  The plane is sheared a little first,
+    so that no edge lies along the line and only shared corners come at one time.
+    """
+    shear = (math.sqrt(5) - 1) / 50
+    a, b = p[:, 0] + shear * p[:, 1], q[:, 0] + shear * q[:, 1]
+    swap = a > b
+    x0, x1 = np.where(swap, b, a), np.where(swap, a, b)
+    y0, y1 = np.where(swap, q[:, 1], p[:, 1]), np.where(swap, p[:, 1], q[:, 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.where(x1 > x0, (y1 - y0) / (x1 - x0), 0.0)
+    n = len(p)
+    at, leaves, edge = np.concatenate([x0, x1]), np.repeat([0, 1], n), np.tile(np.arange(n), 2)
+    order = np.lexsort((slope[edge], leaves, at))
+    times, leaves, edge = at[order].tolist(), leaves[order].tolist(), edge[order].tolist()
+    x0, y0, y1, slope, after = x0.tolist(), y0.tolist(), y1.tolist(), slope.tolist(), follows.tolist()
+    ends = [(tuple(u), tuple(v)) for u, v in zip(p.tolist(), q.tolist(), strict=True)]
+    line: list[int] = []
+
+    def meet(i: int, j: int) -> bool:
+        if after[i] == j or after[j] == i:
+            return False
+        (ax, ay), (bx, by) = ends[i]
+        (cx, cy), (dx, dy) = ends[j]
+        if max(ax, bx) < min(cx, dx) or max(cx, dx) < min(ax, bx) or max(ay, by) < min(cy, dy) or max(cy, dy) < min(ay, by):
+            return False
+        c, d = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax), (bx - ax) * (dy - ay) - (by - ay) * (dx - ax)
+        u, v = (dx - cx) * (ay - cy) - (dy - cy) * (ax - cx), (dx - cx) * (by - cy) - (dy - cy) * (bx - cx)
+        return (c == 0 or d == 0 or (c < 0) != (d < 0)) and (u == 0 or v == 0 or (u < 0) != (v < 0))
+
+    def place(x: float, y: float, s: float) -> int:
+        """The first edge of the line that lies above (y, s) at x."""
+        lo, hi = 0, len(line)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            k = line[mid]
+            there = y0[k] + (x - x0[k]) * slope[k]
+            if there < y or (there == y and slope[k] <= s):
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo
+
+    for x, leaving, k in zip(times, leaves, edge, strict=True):
+        if not leaving:
+            i = place(x, y0[k], slope[k])
+            if (i and meet(line[i - 1], k)) or (i < len(line) and meet(k, line[i])):
+                return True
+            line.insert(i, k)
+            continue
+        i = place(x, y1[k], slope[k]) - 1
+        near = next((j for d in range(64) for j in (i - d, i + d) if 0 <= j < len(line) and line[j] == k), None)
+        i = line.index(k) if near is None else near
+        del line[i]
+        if 0 < i < len(line) and meet(line[i - 1], line[i]):
+            return True
+    return False
+
+
+def closed_simply(rings: list[np.ndarray | None]) -> bool:
+    """Rings that are closed, have an area, don't fold back, and meet neither themselves nor one another."""
+    ends, firsts, own, base = [], [], [], 0
+    for r in rings:
+        if r is None or (r[0] != r[-1]).any() or abs(float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum())) == 0:
+            return False
+        step = np.roll(r[:-1], -1, axis=0) - r[:-1]
+        step = step[(step != 0).any(1)]
+        r = np.concatenate([r[:1], r[0] + np.cumsum(step, axis=0)]) if len(step) < len(r) - 1 else r  # repeated corners are one
+        after = np.roll(step, -1, axis=0)
+        if ((step[:, 0] * after[:, 1] == step[:, 1] * after[:, 0]) & ((step * after).sum(1) < 0)).any():
+            return False
+        n = len(r) - 1
+        firsts.append(r[:-1])
+        ends.append(r[1:])
+        own.append(base + (np.arange(n) + 1) % n)
+        base += n
+    return bool(rings) and not crossing(np.concatenate(firsts), np.concatenate(ends), np.concatenate(own))
+
+
 @F.pandas_udf(BooleanType())
 def is_simple(ring: pd.Series) -> pd.Series:
     """Closed, with an area, and without edges that meet other than at their shared ends."""
+    return pd.Series([closed_simply([ring_array(r)]) for r in ring], dtype=bool)
 
-    def one(r) -> bool:
-        p = ring_array(r)
-        if p is None or (p[0] != p[-1]).any() or abs(float((p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1]).sum())) == 0:
-            return False
-        n = len(p) - 1
-        side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-        for i in range(n):
-            for j in range(i + 2, n - (i == 0)):
-                a, b, c, d = p[i], p[i + 1], p[j], p[j + 1]
-                if side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0:
-                    return False
-        return True
-
-    return pd.Series([one(r) for r in ring], dtype=bool)
+
+# Areas: polygons with holes, [[outer ring, hole, ...], ...], as GeoJSON's MultiPolygon has them.
+
+#: The type of an area's column.
+AREA = "array<array<array<array<double>>>>"
+
+
+def area_from(kind: Column, coordinates: Column) -> Column:
+    """The area of a Polygon's or MultiPolygon's coordinates as JSON text; null for other types and texts that don't parse."""
+    one = F.from_json(coordinates, "array<array<array<double>>>")
+    return F.when((kind == "Polygon") & (F.size(one) > 0), F.array(one)).when(kind == "MultiPolygon", F.from_json(coordinates, AREA))
+
+
+def points(area: Column) -> Column:
+    """All corners of an area, holes included; ``bbox``, ``area_ha`` and ``coordinates_valid`` take them."""
+    return F.flatten(F.flatten(area))
+
+
+def packed(area: Column) -> tuple[Column, Column, Column]:
+    """An area for a Python function, as flat lists: numbers, corners of each ring, rings of each polygon.  Nested lists that are empty in a whole batch break Arrow's conversion."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rings = F.flatten(area)
+    flat = F.flatten(F.transform(points(area), lambda p: F.slice(p, 1, 2)))
+    return F.coalesce(flat, none("double")), F.coalesce(F.transform(rings, lambda r: F.size(r)), none("int")), F.coalesce(F.transform(area, lambda p: F.size(p)), none("int"))
+
+
+def polygon_arrays(numbers, corners, rings) -> list[list[np.ndarray]] | None:
+    """The rings of each polygon of a ``packed`` area; None if there is none, or one of them is no ring."""
+    numbers, corners = np.asarray(numbers, float), np.asarray(corners, int)
+    if not len(rings) or not len(corners) or corners.min() < 0 or 2 * corners.sum() != len(numbers):
+        return None
+    each = iter(map(ring_array, np.split(numbers.reshape(-1, 2), np.cumsum(corners)[:-1])))
+    out = [[next(each) for _ in range(n)] for n in rings]
+    return out if all(polygon and all(r is not None for r in polygon) for polygon in out) else None
+
+
+def inside(polygon: list[np.ndarray], point: np.ndarray) -> bool:
+    """Even-odd over all rings: in the outer one and in no hole."""
+    return sum(holds(r, point) for r in polygon) % 2 == 1
+
+
+def share(p: list[np.ndarray], q: list[np.ndarray]) -> bool:
+    """Whether two polygons with holes share a point: edges meet, or a corner of one lies in the other."""
+    return any(edges_meet(a, b) for a in p for b in q) or inside(p, q[0][0]) or inside(q, p[0][0])
+
+
+@F.pandas_udf(BooleanType())
+def _areas_intersect(p: pd.Series, pc: pd.Series, pr: pd.Series, q: pd.Series, qc: pd.Series, qr: pd.Series) -> pd.Series:
+    out = []
+    for row in zip(p, pc, pr, q, qc, qr, strict=True):
+        a, b = polygon_arrays(*row[:3]), polygon_arrays(*row[3:])
+        out.append(a is not None and b is not None and any(share(x, y) for x in a for y in b))
+    return pd.Series(out, dtype=bool)
+
+
+def areas_intersect(p: Column, q: Column) -> Column:
+    """Exact test of two areas; an area in the other's hole does not meet it, bad geometry meets nothing."""
+    return _areas_intersect(*packed(p), *packed(q))
+
+
+@F.pandas_udf(BooleanType())
+def _area_valid(p: pd.Series, pc: pd.Series, pr: pd.Series) -> pd.Series:
+    def one(*a) -> bool:
+        polygons = polygon_arrays(*a)
+        return polygons is not None and all(closed_simply(x) and all(holds(x[0], h[0]) and not any(holds(g, h[0]) for g in x[1:] if g is not h) for h in x[1:]) for x in polygons)
+
+    return pd.Series([one(*a) for a in zip(p, pc, pr, strict=True)], dtype=bool)
+
+
+def area_valid(area: Column) -> Column:
+    """Every polygon's rings are simple and don't meet, and its holes lie within the outer ring and not within each other."""
+    return _area_valid(*packed(area))

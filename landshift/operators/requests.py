@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landshift.functions import geometry
+
 #: Tasks that are supported, geometry types that are allowed, defaults of a request.
 TASKS, GEOMETRIES = ("vegetation_disturbance",), ("Polygon", "MultiPolygon")
 CLOUD, MIN_VALID = 0.15, 0.30
-REQUEST = "geometry struct<type: string>, before struct<`from`: string, `to`: string>, after struct<`from`: string, `to`: string>, task string, max_cloud_fraction double, use_ai boolean"
+REQUEST = "geometry struct<type: string, coordinates: string>, before struct<`from`: string, `to`: string>, after struct<`from`: string, `to`: string>, task string, max_cloud_fraction double, use_ai boolean"
 
 
 def parsed(raw: DataFrame, column: str = "body") -> DataFrame:
-    """The rows with the request's fields, defaults filled in, and ``error`` (null: valid)."""
+    """The rows with the request's fields, its ``area`` (polygons with holes), defaults filled in, and ``error`` (null: valid)."""
     q = F.from_json(F.col(column), REQUEST)
     day = lambda c: F.try_to_date(c, "yyyy-MM-dd")
     out = raw.withColumn("_q", q).withColumns(
         {
-            "geometry_type": F.col("_q.geometry.type"),
+            "geometry_type": F.col("_q.geometry.type"), "area": geometry.area_from(F.col("_q.geometry.type"), F.col("_q.geometry.coordinates")),
             "before_from": day(F.col("_q.before.from")), "before_to": day(F.col("_q.before.to")), "after_from": day(F.col("_q.after.from")), "after_to": day(F.col("_q.after.to")),
             "task": F.coalesce("_q.task", F.lit(TASKS[0])), "max_cloud_fraction": F.coalesce("_q.max_cloud_fraction", F.lit(CLOUD)), "use_ai": F.coalesce("_q.use_ai", F.lit(False)),
             "min_valid_pixels": F.lit(MIN_VALID),
@@ -40,18 +42,45 @@ def error() -> Column:
     )
 
 
-def windows(requests: DataFrame, key: str) -> DataFrame:
-    """Two rows a request: its ``window`` with first and last day."""
+def windows(requests: DataFrame, key: str, *more: str) -> DataFrame:
+    """Two rows a request: its ``window`` with first and last day (and the columns named)."""
     both = [F.struct(F.lit(w).alias("window"), F.col(f"{w}_from").alias("first"), F.col(f"{w}_to").alias("last")) for w in ("before", "after")]
-    return requests.select(key, F.explode(F.array(*both)).alias("w")).select(key, "w.*")
+    return requests.select(key, *more, F.explode(F.array(*both)).alias("w")).select(key, *more, "w.*")
+
+
+def celled(df: DataFrame, area: str, box: str, cell: float) -> DataFrame:
+    """A row for each grid cell (``_x``, ``_y``) that the box of an area's corners touches."""
+    df = df.withColumn(box, geometry.bbox(geometry.points(F.col(area))))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(box)[lo] / cell), F.floor(F.col(box)[hi] / cell)))
+    return df.where(F.col(box)["minx"].isNotNull()).withColumn("_x", span("minx", "maxx")).withColumn("_y", span("miny", "maxy"))
+
 
+def scenes_of(requests: DataFrame, scenes: DataFrame, key: str, limit: int = 50, cell: float = 1.0, days: int = 16, crowd: int = 50_000) -> DataFrame:
+    """The ``limit`` newest scenes that meet the area of each request in each of its windows; any number of requests is one plan.
 
-def scenes_of(requests: DataFrame, scenes: DataFrame, key: str, limit: int = 50) -> DataFrame:
-    """The ``limit`` newest scenes of each window of each request: an equi-join on days, so any number of requests is one plan."""
-    days = windows(requests, key).withColumn("day", F.explode(F.sequence("first", "last"))).drop("first", "last")
-    met = scenes.withColumn("day", F.to_date("ts")).join(days, "day").drop("day")
+    ``requests`` has ``area`` and the windows' days, ``scenes`` ts, scene_id and ``footprint``
+    (an area).  Both meet in an equi-join on a grid cell and a period of ``days`` days; a cell and
+    period with more than ``crowd`` scenes is dealt to several salts, to each of which the
+    requests are sent.  A pair counts in the first cell that both boxes share.  The first places
+    are taken within each task before anything is exchanged, so no step holds all scenes of a
+    request.
+    """
+    period = lambda d: F.floor(F.unix_date(d) / days).cast("long")
+    day = F.to_date("ts")
+    there = celled(scenes.where("ts IS NOT NULL"), "footprint", "_s", cell).withColumn("_p", period(day))
+    asked = celled(windows(requests.where(F.col("area").isNotNull()), key, "area"), "area", "_a", cell)
+    asked = asked.where("first <= last").withColumn("_p", F.explode(F.sequence(period(F.col("first")), period(F.col("last")))))
+    at = ["_x", "_y", "_p"]
+    crowds = there.groupBy(*at).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select(*at, F.ceil(F.col("_n") / crowd).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    there = there.join(crowds, at, "left").withColumn("_salt", F.pmod(F.xxhash64("scene_id"), salts)).drop("_salts")
+    asked = asked.join(crowds, at, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    met = there.join(asked, [*at, "_salt"])
+    first = (F.col("_x") == F.floor(F.greatest("_s.minx", "_a.minx") / cell)) & (F.col("_y") == F.floor(F.greatest("_s.miny", "_a.miny") / cell))
+    boxes = (F.col("_s.minx") <= F.col("_a.maxx")) & (F.col("_a.minx") <= F.col("_s.maxx")) & (F.col("_s.miny") <= F.col("_a.maxy")) & (F.col("_a.miny") <= F.col("_s.maxy"))
+    met = met.where(day.between(F.col("first"), F.col("last")) & first & boxes).where(geometry.areas_intersect(F.col("footprint"), F.col("area")))
     newest = Window.partitionBy(key, "window").orderBy(F.desc("ts"), "scene_id")
-    return met.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= limit)
+    return met.drop(*at, "_salt", "_s", "_a", "area", "first", "last").withColumn("place", F.row_number().over(newest)).where(F.col("place") <= limit)
 
 
 def quality(scenes: DataFrame, probed: DataFrame, key: str) -> DataFrame:

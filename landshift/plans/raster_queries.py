@@ -68,6 +68,22 @@ def warped(table_: str, x: str, y: str, names: str, zone: int = 33) -> str:
 FROM (SELECT *, asin(sin(xi0) / {cosh('eta0')}) AS chi FROM (SELECT *, {xi0} AS xi0, {eta0} AS eta0 FROM (SELECT *, ({y}) / CAST({scale!r} AS DOUBLE) AS xi, (({x}) - 500000e0) / CAST({scale!r} AS DOUBLE) AS eta FROM {table_}))))"""
 
 
+def forward(table_: str, lon: str, lat: str, names: str, zone: int) -> str:
+    """SQL that gives the rows of a table their easting ``e`` and northing ``n`` in a UTM zone by the series of the projection."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    n = f / (2 - f)
+    scale, e = k0 * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64), 2 * n**0.5 / (1 + n)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    cosh, sinh = (lambda v, s=s: f"((exp({v}) {s} exp(-({v}))) / 2)" for s in "+-")
+    atanh = lambda v: f"(0.5e0 * ln((1 + ({v})) / (1 - ({v}))))"
+    number = lambda v: f"CAST({v!r} AS DOUBLE)"
+    north = "xi" + "".join(f" + sin(xi * {2 * j}) * {cosh(f'eta * {2 * j}')} * {number(v)}" for j, v in enumerate(alpha, 1))
+    east = "eta" + "".join(f" + cos(xi * {2 * j}) * {sinh(f'eta * {2 * j}')} * {number(v)}" for j, v in enumerate(alpha, 1))
+    return f"""(SELECT {names}, 500000 + {number(scale)} * ({east}) AS e, {number(scale)} * ({north}) AS n
+FROM (SELECT *, atan2(t, cos(far)) AS xi, {atanh('sin(far) / sqrt(1 + t * t)')} AS eta FROM (SELECT *, {sinh('q')} AS t FROM (SELECT *, {atanh('sine')} - {number(e)} * {atanh(f'{number(e)} * sine')} AS q
+FROM (SELECT *, radians(({lon}) - {zone * 6 - 183}) AS far, sin(radians({lat})) AS sine FROM {table_})))))"""
+
+
 def raster(spark: SparkSession, sf_dir: str, cases: bool = False) -> DataFrame:
     """The pixel table, before and after side by side; with ``cases`` tiles take turns as ``cased`` says."""
     u = F.col("u")
