@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
@@ -331,18 +333,99 @@ def share(p: list[np.ndarray], q: list[np.ndarray]) -> bool:
     return any(edges_meet(a, b) for a in p for b in q) or inside(p, q[0][0]) or inside(q, p[0][0])
 
 
-@F.pandas_udf(BooleanType())
-def _areas_intersect(p: pd.Series, pc: pd.Series, pr: pd.Series, q: pd.Series, qc: pd.Series, qr: pd.Series) -> pd.Series:
-    out = []
-    for row in zip(p, pc, pr, q, qc, qr, strict=True):
-        a, b = polygon_arrays(*row[:3]), polygon_arrays(*row[3:])
-        out.append(a is not None and b is not None and any(share(x, y) for x in a for y in b))
-    return pd.Series(out, dtype=bool)
+class Edges:
+    """The edges of many packed areas, in the order of their rows, with the row and the polygon of each."""
+
+    def __init__(self, numbers: pa.ListArray, corners: pa.ListArray, rings: pa.ListArray):
+        n = len(numbers)
+        lengths = lambda x: x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lambda x, kind: x.flatten().to_numpy(zero_copy_only=False).astype(kind)
+        in_numbers, in_corners, in_rings = lengths(numbers), lengths(corners), lengths(rings)
+        values, size, per = flat(numbers, float), flat(corners, np.int64), flat(rings, np.int64)
+        row = lambda k: np.repeat(np.arange(n), k)
+        summed = lambda at, weight: np.bincount(at, weight, n).astype(np.int64)
+        self.ok = (in_rings > 0) & (in_corners > 0) & (2 * summed(row(in_corners), size) == in_numbers) & (summed(row(in_rings), per) == in_corners)
+        self.ok &= (summed(row(in_corners), size < 4) == 0) & (summed(row(in_rings), per < 1) == 0) & (summed(row(in_numbers), ~np.isfinite(values)) == 0)
+        if not self.ok.all():
+            values, size, per = values[self.ok[row(in_numbers)]], size[self.ok[row(in_corners)]], per[self.ok[row(in_rings)]]
+        points = values.reshape(-1, 2)
+        self.polygon_row = np.repeat(np.flatnonzero(self.ok), in_rings[self.ok])
+        ring_polygon = np.repeat(np.arange(len(per)), per)
+        first = np.ones(len(points), bool)
+        first[np.cumsum(size) - 1] = False  # the last corner of a ring begins no edge
+        at = np.flatnonzero(first)
+        self.a, self.b = points[at], points[at + 1]
+        self.polygon = np.repeat(ring_polygon, size - 1)
+        self.row = self.polygon_row[self.polygon]
+        starts = np.searchsorted(self.polygon, np.arange(len(per)))
+        self.corner = self.a[starts] if len(per) else np.empty((0, 2))  # one of each polygon's outer ring
+        self.low, self.high = np.full((n, 2), np.inf), np.full((n, 2), -np.inf)
+        np.minimum.at(self.low, self.row, np.minimum(self.a, self.b))
+        np.maximum.at(self.high, self.row, np.maximum(self.a, self.b))
+
+    def near(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The edges that reach into the box of their row."""
+        return np.flatnonzero(((np.minimum(self.a, self.b) <= high[self.row]) & (np.maximum(self.a, self.b) >= low[self.row])).all(1))
+
+
+def paired(left: np.ndarray, right: np.ndarray, step: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of two sorted lists of rows that have a row in common, all with all, in blocks of about ``step`` pairs."""
+    begin, end = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
+    n, at = end - begin, 0
+    total = np.concatenate([[0], np.cumsum(n)])
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + step, "right")) - 1)
+        i = np.repeat(np.arange(at, to), n[at:to])
+        yield i, begin[i] + np.arange(len(i)) - np.repeat(total[at:to] - total[at], n[at:to])
+        at = to
+
+
+def meeting(p: Edges, q: Edges) -> np.ndarray:
+    """Of each row whether its two areas share a point."""
+    out = np.zeros(len(p.ok), bool)
+    low, high = np.maximum(p.low, q.low), np.minimum(p.high, q.high)
+    live = p.ok & q.ok & (low <= high).all(1)
+    e, f = p.near(low, high), q.near(low, high)
+    e, f = e[live[p.row[e]]], f[live[q.row[f]]]
+    for i, j in paired(p.row[e], q.row[f]):
+        i, j = e[i], f[j]
+        near = (np.minimum(p.a[i], p.b[i]) <= np.maximum(q.a[j], q.b[j])).all(1) & (np.minimum(q.a[j], q.b[j]) <= np.maximum(p.a[i], p.b[i])).all(1)
+        i, j = i[near], j[near]
+        side = lambda a, b, c: np.sign((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0]))
+        met = (side(p.a[i], p.b[i], q.a[j]) * side(p.a[i], p.b[i], q.b[j]) <= 0) & (side(q.a[j], q.b[j], p.a[i]) * side(q.a[j], q.b[j], p.b[i]) <= 0)
+        out[p.row[i[met]]] = True
+    for x, y in ((p, q), (q, p)):  # a corner of one within the other
+        corner = np.flatnonzero((live & ~out)[y.polygon_row])
+        for i, j in paired(y.polygon_row[corner], x.row):
+            point = y.corner[corner[i]]
+            a, b = x.a[j], x.b[j]
+            spans = (a[:, 1] > point[:, 1]) != (b[:, 1] > point[:, 1])
+            i, j, point, a, b = i[spans], j[spans], point[spans], a[spans], b[spans]
+            right = point[:, 0] < a[:, 0] + (point[:, 1] - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0])
+            cell, crossings = np.unique(np.stack([corner[i], x.polygon[j]], 1)[right], axis=0, return_counts=True)
+            inside_ = cell[crossings % 2 == 1]
+            out[y.polygon_row[inside_[:, 0]]] = True
+    return out
+
+
+@F.arrow_udf(BooleanType())
+def packed_intersect(p: pa.Array, pc: pa.Array, pr: pa.Array, q: pa.Array, qc: pa.Array, qr: pa.Array) -> pa.Array:
+    """``areas_intersect`` of two ``packed`` areas."""
+    return pa.array(meeting(Edges(p, pc, pr), Edges(q, qc, qr)))
 
 
 def areas_intersect(p: Column, q: Column) -> Column:
     """Exact test of two areas; an area in the other's hole does not meet it, bad geometry meets nothing."""
-    return _areas_intersect(*packed(p), *packed(q))
+    return packed_intersect(*packed(p), *packed(q))
+
+
+def is_box(area: Column) -> Column:
+    """Whether an area is one ring of five corners along the sides of its box, so that boxes alone tell what it meets."""
+    ring = area[0][0]
+    aligned = [(ring[k][0] == ring[k + 1][0]) != (ring[k][1] == ring[k + 1][1]) for k in range(4)]
+    shape = (F.size(area) == 1) & (F.size(area[0]) == 1) & (F.size(ring) == 5)
+    turns = (ring[0] == ring[4]) & (ring[0][0] != ring[2][0]) & (ring[0][1] != ring[2][1])
+    return F.coalesce(F.when(shape, aligned[0] & aligned[1] & aligned[2] & aligned[3] & turns), F.lit(False))
 
 
 @F.pandas_udf(BooleanType())

@@ -13,13 +13,18 @@ CLOUD, MIN_VALID = 0.15, 0.30
 REQUEST = "geometry struct<type: string, coordinates: string>, before struct<`from`: string, `to`: string>, after struct<`from`: string, `to`: string>, task string, max_cloud_fraction double, use_ai boolean"
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """The column made in a step of its own: a costly expression is not repeated wherever the column is used."""
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def parsed(raw: DataFrame, column: str = "body") -> DataFrame:
     """The rows with the request's fields, its ``area`` (polygons with holes), defaults filled in, and ``error`` (null: valid)."""
-    q = F.from_json(F.col(column), REQUEST)
+    q = once(raw, "_q", F.from_json(F.col(column), REQUEST))
     day = lambda c: F.try_to_date(c, "yyyy-MM-dd")
-    out = raw.withColumn("_q", q).withColumns(
+    out = once(q, "area", geometry.area_from(F.col("_q.geometry.type"), F.col("_q.geometry.coordinates"))).withColumns(
         {
-            "geometry_type": F.col("_q.geometry.type"), "area": geometry.area_from(F.col("_q.geometry.type"), F.col("_q.geometry.coordinates")),
+            "geometry_type": F.col("_q.geometry.type"),
             "before_from": day(F.col("_q.before.from")), "before_to": day(F.col("_q.before.to")), "after_from": day(F.col("_q.after.from")), "after_to": day(F.col("_q.after.to")),
             "task": F.coalesce("_q.task", F.lit(TASKS[0])), "max_cloud_fraction": F.coalesce("_q.max_cloud_fraction", F.lit(CLOUD)), "use_ai": F.coalesce("_q.use_ai", F.lit(False)),
             "min_valid_pixels": F.lit(MIN_VALID),
@@ -42,6 +47,10 @@ def error() -> Column:
     )
 
 
+#: Columns of a request's windows.
+WINDOWS = ("before_from", "before_to", "after_from", "after_to")
+
+
 def windows(requests: DataFrame, key: str, *more: str) -> DataFrame:
     """Two rows a request: its ``window`` with first and last day (and the columns named)."""
     both = [F.struct(F.lit(w).alias("window"), F.col(f"{w}_from").alias("first"), F.col(f"{w}_to").alias("last")) for w in ("before", "after")]
@@ -50,7 +59,7 @@ def windows(requests: DataFrame, key: str, *more: str) -> DataFrame:
 
 def celled(df: DataFrame, area: str, box: str, cell: float) -> DataFrame:
     """A row for each grid cell (``_x``, ``_y``) that the box of an area's corners touches."""
-    df = df.withColumn(box, geometry.bbox(geometry.points(F.col(area))))
+    df = once(df, box, geometry.bbox(geometry.points(F.col(area))))
     span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(box)[lo] / cell), F.floor(F.col(box)[hi] / cell)))
     return df.where(F.col(box)["minx"].isNotNull()).withColumn("_x", span("minx", "maxx")).withColumn("_y", span("miny", "maxy"))
 
@@ -63,12 +72,14 @@ def scenes_of(requests: DataFrame, scenes: DataFrame, key: str, limit: int = 50,
     period with more than ``crowd`` scenes is dealt to several salts, to each of which the
     requests are sent.  A pair counts in the first cell that both boxes share.  The first places
     are taken within each task before anything is exchanged, so no step holds all scenes of a
-    request.
+    request.  The footprint does not come along.
     """
     period = lambda d: F.floor(F.unix_date(d) / days).cast("long")
     day = F.to_date("ts")
-    there = celled(scenes.where("ts IS NOT NULL"), "footprint", "_s", cell).withColumn("_p", period(day))
-    asked = celled(windows(requests.where(F.col("area").isNotNull()), key, "area"), "area", "_a", cell)
+    flat = lambda area: F.struct(*(x.alias(n) for x, n in zip(geometry.packed(F.col(area)), ("n", "c", "r"), strict=True)), geometry.is_box(F.col(area)).alias("box"))
+    there = celled(once(scenes.where("ts IS NOT NULL"), "_f", flat("footprint")), "footprint", "_s", cell).drop("footprint").withColumn("_p", period(day))
+    asked = once(requests.where(F.col("area").isNotNull()).select(key, *WINDOWS, "area"), "_g", flat("area"))
+    asked = celled(windows(asked, key, "area", "_g"), "area", "_a", cell).drop("area")
     asked = asked.where("first <= last").withColumn("_p", F.explode(F.sequence(period(F.col("first")), period(F.col("last")))))
     at = ["_x", "_y", "_p"]
     crowds = there.groupBy(*at).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select(*at, F.ceil(F.col("_n") / crowd).cast("int").alias("_salts"))
@@ -78,9 +89,13 @@ def scenes_of(requests: DataFrame, scenes: DataFrame, key: str, limit: int = 50,
     met = there.join(asked, [*at, "_salt"])
     first = (F.col("_x") == F.floor(F.greatest("_s.minx", "_a.minx") / cell)) & (F.col("_y") == F.floor(F.greatest("_s.miny", "_a.miny") / cell))
     boxes = (F.col("_s.minx") <= F.col("_a.maxx")) & (F.col("_a.minx") <= F.col("_s.maxx")) & (F.col("_s.miny") <= F.col("_a.maxy")) & (F.col("_a.miny") <= F.col("_s.maxy"))
-    met = met.where(day.between(F.col("first"), F.col("last")) & first & boxes).where(geometry.areas_intersect(F.col("footprint"), F.col("area")))
+    met = met.where(day.between(F.col("first"), F.col("last")) & first & boxes)
+    # What two boxes tell needs no exact test, and sends nothing to it.
+    plain = F.col("_f.box") & F.col("_g.box")
+    sides = [F.when(~plain, F.col(f"{t}.{x}")).otherwise(F.array().cast(f"array<{k}>")) for t in ("_f", "_g") for x, k in (("n", "double"), ("c", "int"), ("r", "int"))]
+    met = met.where(plain | geometry.packed_intersect(*sides))
     newest = Window.partitionBy(key, "window").orderBy(F.desc("ts"), "scene_id")
-    return met.drop(*at, "_salt", "_s", "_a", "area", "first", "last").withColumn("place", F.row_number().over(newest)).where(F.col("place") <= limit)
+    return met.drop(*at, "_salt", "_s", "_a", "_f", "_g", "first", "last").withColumn("place", F.row_number().over(newest)).where(F.col("place") <= limit)
 
 
 def quality(scenes: DataFrame, probed: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from landshift.functions import geometry, indices
 from landshift.operators import grids, requests
+from landshift.operators.storage import stored
 from landshift.plans.raster_queries import PX, forward, raster, warped
 from landshift.plans.registry import query, table
 from landshift.plans.scene_queries import SC, boxes, catalog
@@ -217,7 +218,7 @@ def prepared_pair(spark, sf_dir):
     x = F.when(kind == 0, t * 598 + 1000490.0).when(kind == 1, t * 600 + 500003.0).otherwise(t * 600 + 500000.0)
     y = F.when(kind == 0, t * 42 + 4616910.0).when(kind == 1, F.lit(4599507.0)).otherwise(F.lit(4599500.0))
     after = box(F.when(kind == 0, "EPSG:32632").otherwise("EPSG:32633"), x, y, x + 500.0, y + 500.0)
-    both = grids.common_grid(px.select("tile").distinct().select("tile", before.alias("before"), after.alias("after")))
+    both = stored(grids.common_grid(stored(px.select("tile").distinct().select("tile", before.alias("before"), after.alias("after")))))
     side = lambda band, scl: px.select("tile", "r", "c", F.col(band).alias("b04"), indices.clear_ground(F.col(scl)).alias("valid"))
     out = grids.prepared(both, side("b04b", "sclb"), side("b04a", "scla"), "tile", ["b04"])
     tenth = lambda c: F.round(F.col(c).cast("double"), 1).alias(c)

@@ -5,6 +5,7 @@ from datetime import date, datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,33 @@ def arrays(area):
     return [[np.array(r) for r in polygon] for polygon in area]
 
 
+def test_many_areas_at_once_are_as_one_by_one():
+    rng = np.random.default_rng(12)
+
+    def some():
+        out = []
+        for _ in range(int(rng.integers(1, 3))):
+            x, y, side = (float(v) for v in rng.random(3) * [10, 10, 5] + [0, 0, 0.2])
+            rings = [square(x, y, side)]
+            if rng.random() < 0.4:
+                rings.append(square(x + side / 4, y + side / 4, side / 2))
+            out.append(rings)
+        return out
+
+    lists = lambda rows, kind: pa.array(rows, pa.list_(kind))
+    pack = lambda areas: [lists([[v for polygon in a for r in polygon for p in r for v in p] for a in areas], pa.float64()), lists([[len(r) for polygon in a for r in polygon] for a in areas], pa.int32()), lists([[len(polygon) for polygon in a] for a in areas], pa.int32())]
+    left, right = [some() for _ in range(600)] + [[], [[square(0.0, 0.0, 9.0)]]], [some() for _ in range(600)] + [HOLED, []]
+    got = geometry.meeting(geometry.Edges(*pack(left)), geometry.Edges(*pack(right)))
+    want = [bool(a) and bool(b) and any(geometry.share(x, y) for x in arrays(a) for y in arrays(b)) for a, b in zip(left, right, strict=True)]
+    assert got.tolist() == want and 50 < sum(want) < 550
+
+
+def test_boxes_are_known(spark):
+    cases = [([[square(0.0, 0.0, 1.0)]], True), (HOLED, False), ([[square(0.0, 0.0, 1.0)], [square(3.0, 0.0, 1.0)]], False), ([[[[0.0, 0.0], [1.0, 0.1], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]]]], False), ([[square(0.0, 0.0, 0.0)]], False), ([[[[0.0, 0.0], [0.0, 1.0], [0.0, 2.0], [0.0, 1.0], [0.0, 0.0]]]], False), (None, False)]
+    df = spark.createDataFrame([(a,) for a, _ in cases], f"a {geometry.AREA}")
+    assert [r[0] for r in df.select(geometry.is_box(F.col("a"))).collect()] == [x for _, x in cases]
+
+
 def search_by_hand(asked, scenes, limit):
     out = set()
     for key, area, spans in asked:
