@@ -66,9 +66,49 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, l
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
+#: crc32 of a decimal number: the table of its 256 steps, then a byte at a time.
+CRC = """steps AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 1, 1, 1, 1, 1, 1, 1, 1], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS step)"""
+CRC_OF = "xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, step[CAST((xor(a, b) & 255) + 1 AS BIGINT)])), 4294967295)"
+
+OP12 = rf"""
+WITH {CRC},
+own AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT own.*, CAST({CRC_OF} % 4 AS BIGINT) AS h FROM own, steps),
+c AS (SELECT h.conv_id, list_concat(CASE WHEN h.h > 0 THEN coalesce(b.t, [])[1:h.h] ELSE [] END, h.t[h.h + 1:]) AS t FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d, len(t) AS n, CASE WHEN d > 0 THEN t[1:d] ELSE [] END AS node, CASE WHEN d > 1 THEN t[1:d - 1] ELSE [] END AS above,
+  CASE WHEN d > 0 THEN len(regexp_extract_all(t[d].text, '[^ \t\n\x0B\f\r]+')) ELSE 0 END AS words FROM (SELECT *, unnest(range(len(t) + 1)) AS d FROM c)),
+nodes AS (SELECT node, any_value(above) AS above, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY node, d),
+kids AS (SELECT above, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY above, d),
+full_ AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.above = nodes.node AND kids.d = nodes.d),
+sub AS (SELECT a.node, a.d, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.words) AS saved_tokens
+  FROM (SELECT node, d, CASE WHEN k > 0 THEN node[1:k] ELSE [] END AS top, k FROM (SELECT node, d, unnest(range(d + 1)) AS k FROM nodes)) u JOIN full_ f ON f.node = u.node AND f.d = u.d JOIN nodes a ON a.node = u.top AND a.d = u.k GROUP BY a.node, a.d)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_ f JOIN sub ON sub.node = f.node AND sub.d = f.d LEFT JOIN nodes up ON f.d > 0 AND up.node = f.above AND up.d = f.d - 1
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS k FROM documents),
+u AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM u GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS c FROM u SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+cells AS (SELECT g.lang, g.source, kept.term, coalesce(c, 0) AS c FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
+p AS (SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 2)) // (sum(c) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM cells JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 2)) // (sum(c) OVER (PARTITION BY lang) + 2 * v) AS q FROM (SELECT lang, term, sum(c) AS c FROM cells GROUP BY lang, term) JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = a.lang AND y.source = b.source AND y.term = x.term GROUP BY a.lang, a.source, b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+both_ AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+r AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM both_)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": OP2,
     "op5_substring_dedup": OP5,
     "op8_near_dedup": OP8,
     "op9_license_scans": OP9,
+    "op12_prefix_trie": OP12,
+    "op13_divergence": OP13,
 }

@@ -9,7 +9,7 @@ from landshift.llm import oracles, queries
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_query_against_sql(spark, sf_dir, name):
     duck = duckdb.connect()
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "labels", "conversations"):
         duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     got, want = queries.QUERIES[name](spark, sf_dir), duck.sql(oracles.ORACLES[name])
     columns = sorted(got.columns)
