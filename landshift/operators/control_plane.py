@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: The states that the tables' checks allow.
 RUN_STATES = ("pending", "running", "completed", "abstained", "failed")
-REVIEW_STATES = ("pending", "approved", "rejected")
+REVIEW_STATES = ("pending", "approved", "rejected", "uncertain")
 
 SCHEMAS = {
     "portfolios": "id string, name string, task string, before_from string, before_to string, after_from string, after_to string, max_cloud_fraction double, created_at string",
@@ -23,11 +23,58 @@ SCHEMAS = {
 
 
 def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """Rows that break a check, with its name: what CHECK, UNIQUE and FOREIGN KEY would have refused."""
+    """Rows that break a check of the row itself, with its name: what CHECK and NOT NULL would have refused.  ``audited`` has UNIQUE and FOREIGN KEY too."""
     broken = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())
     return df.withColumn("violated", F.explode(broken))
 
 
+#: What the six tables demand: columns that may not be null, columns that are one row's alone, parents, and the states allowed.
+NOT_NULL = {
+    "portfolios": ("id", "name", "created_at"), "portfolio_polygons": ("id", "portfolio_id", "geometry", "created_at"), "runs": ("id", "status", "created_at"),
+    "reviews": ("id", "run_id", "finding_idx", "state", "created_at"), "api_keys": ("key_hash", "user_name", "created_at"), "audit_log": ("id", "action", "status", "created_at"),
+}
+UNIQUE = {"portfolios": (("id",),), "portfolio_polygons": (("id",),), "runs": (("id",),), "reviews": (("id",), ("run_id", "finding_idx")), "api_keys": (("key_hash",),), "audit_log": (("id",),)}
+PARENTS = {"portfolio_polygons": {"portfolio_id": "portfolios"}, "runs": {"portfolio_id": "portfolios", "polygon_id": "portfolio_polygons"}, "reviews": {"run_id": "runs", "portfolio_id": "portfolios"}}
+STATES = {"runs": ("status", RUN_STATES), "reviews": ("state", REVIEW_STATES)}
+
+
+def audited(tables: dict[str, DataFrame]) -> DataFrame:
+    """What the tables' constraints would have refused: ``table``, ``rule``, ``key`` and the number ``n`` of rows that break it.
+
+    A key is that of the row (NOT NULL, CHECK), the value that several rows have (UNIQUE, counted
+    without the first of them), or the parent that is missing (REFERENCES); nulls are no value
+    and need no parent.  Rows are counted by key before anything is exchanged, so a value that
+    many rows share is one row, and parents are met by the distinct values asked for.  Columns
+    that a table lacks are not looked at.
+    """
+    out = None
+
+    def told(name: str, rule: str, rows: DataFrame, key: Column, n: Column) -> None:
+        nonlocal out
+        one = rows.select(F.lit(name).alias("table"), F.lit(rule).alias("rule"), key.cast("string").alias("key"), n.cast("long").alias("n"))
+        out = one if out is None else out.unionByName(one)
+
+    for name, df in tables.items():
+        have = set(df.columns)
+        key = UNIQUE[name][0][0]
+        for c in NOT_NULL[name]:
+            if c in have:
+                told(name, f"{c} not null", df.where(F.col(c).isNull()).groupBy(key).agg(F.count("*").alias("n")), F.col(key), F.col("n"))
+        if name in STATES and STATES[name][0] in have:
+            c, allowed = STATES[name]
+            told(name, f"{c} check", df.where(~F.col(c).isin(*allowed)).groupBy(key).agg(F.count("*").alias("n")), F.col(key), F.col("n"))
+        for cols in UNIQUE[name]:
+            if have.issuperset(cols):
+                many = df.dropna(subset=list(cols)).groupBy(*cols).agg(F.count("*").alias("n")).where("n > 1")
+                told(name, f"{', '.join(cols)} unique", many, F.concat_ws("/", *cols), F.col("n") - 1)
+        for c, parent in PARENTS.get(name, {}).items():
+            if c in have and parent in tables:
+                asked = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
+                ids = tables[parent].select(F.col("id").alias(c)).distinct()
+                told(name, f"{c} references {parent}", asked.join(ids, c, "left_anti"), F.col(c), F.col("n"))
+    return out
+
+
 def upserted(rows: DataFrame, key: list[str], sequence: list[str]) -> DataFrame:
     """Of the rows with one key the last written."""
     w = Window.partitionBy(*key).orderBy(*[F.desc(s) for s in sequence])

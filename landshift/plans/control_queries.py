@@ -187,6 +187,56 @@ def constraint_audit(spark, sf_dir):
     return cp.violations(runs(spark, sf_dir), checks).select("run_id", "violated")
 
 
+FAULTY = """WITH po AS (SELECT CASE WHEN n_nationkey % 12 <> 11 THEN n_nationkey END AS id, CASE WHEN n_nationkey % 5 <> 4 THEN n_name END AS name FROM nation),
+pp AS (SELECT c_custkey // (1 + CAST(c_custkey % 100 = 7 AS INTEGER)) AS id, CASE WHEN c_custkey % 40 <> 3 THEN c_nationkey END AS portfolio_id FROM customer),
+ru AS (SELECT o_orderkey AS id, o_custkey + o_orderkey % 50 AS polygon_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'walking' ELSE 'completed' END AS status FROM orders),
+rv AS (SELECT l_orderkey + l_linenumber // 7 * 100000000 AS run_id, CASE WHEN l_linenumber <> 5 THEN l_linenumber END AS finding_idx, CASE l_returnflag WHEN 'R' THEN 'uncertain' WHEN 'A' THEN 'approved' ELSE 'lost' END AS state FROM lineitem),
+ak AS (SELECT sha256(CAST(c_custkey % 900 AS VARCHAR)) AS key_hash, c_name AS user_name FROM customer),
+al AS (SELECT event_id AS id, CASE WHEN event_type <> 'error' THEN event_type END AS action FROM events)
+"""
+
+
+def faulty(spark, sf_dir):
+    """The six tables, written by nobody who looked at their constraints."""
+    k, c, o, e = F.col("n_nationkey"), F.col("c_custkey"), F.col("o_orderkey"), F.col("event_id")
+    line, state = F.col("l_linenumber"), F.col("l_returnflag")
+    t = lambda name: table(spark, sf_dir, name)
+    return {
+        "portfolios": t("nation").select(F.when(k % 12 != 11, k).alias("id"), F.when(k % 5 != 4, F.col("n_name")).alias("name")),
+        "portfolio_polygons": t("customer").select(F.when(c % 100 == 7, F.expr("c_custkey div 2")).otherwise(c).alias("id"), F.when(c % 40 != 3, F.col("c_nationkey")).alias("portfolio_id")),
+        "runs": t("orders").select(o.alias("id"), (F.col("o_custkey") + o % 50).alias("polygon_id"), F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "walking").otherwise("completed").alias("status")),
+        "reviews": t("lineitem").select((F.col("l_orderkey") + F.when(line == 7, 100000000).otherwise(0)).alias("run_id"), F.when(line != 5, line).alias("finding_idx"), F.when(state == "R", "uncertain").when(state == "A", "approved").otherwise("lost").alias("state")).withColumn("id", F.col("run_id")),
+        "api_keys": t("customer").select(F.sha2((c % 900).cast("string"), 256).alias("key_hash"), F.col("c_name").alias("user_name")),
+        "audit_log": t("events").select(e.alias("id"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("action")),
+    }
+
+
+def _broken() -> str:
+    """The SQL of every rule over the faulty tables."""
+    named = {"portfolios": "po", "portfolio_polygons": "pp", "runs": "ru", "reviews": "(SELECT *, run_id AS id FROM rv)", "api_keys": "ak", "audit_log": "al"}
+    have = {"portfolios": ("id", "name"), "portfolio_polygons": ("id", "portfolio_id"), "runs": ("id", "polygon_id", "status"), "reviews": ("id", "run_id", "finding_idx", "state"), "api_keys": ("key_hash", "user_name"), "audit_log": ("id", "action")}
+    rule = lambda name, text, key, rest, n="count(*)": f"SELECT '{name}' AS \"table\", '{text}' AS rule, {key} AS key, {n} AS n FROM {named[name]} {rest}"
+    out = []
+    for name, cols in have.items():
+        key = cp.UNIQUE[name][0][0]
+        out += [rule(name, f"{c} not null", f"CAST({key} AS VARCHAR)", f"WHERE {c} IS NULL GROUP BY {key}") for c in cp.NOT_NULL[name] if c in cols]
+        if name in cp.STATES:
+            c, allowed = cp.STATES[name]
+            out.append(rule(name, f"{c} check", f"CAST({key} AS VARCHAR)", f"WHERE {c} NOT IN {allowed} GROUP BY {key}"))
+        for u in cp.UNIQUE[name]:
+            out.append(rule(name, f"{', '.join(u)} unique", " || '/' || ".join(f"CAST({c} AS VARCHAR)" for c in u), f"WHERE {' AND '.join(f'{c} IS NOT NULL' for c in u)} GROUP BY {', '.join(u)} HAVING count(*) > 1", "count(*) - 1"))
+        for c, parent in cp.PARENTS.get(name, {}).items():
+            if c in cols:
+                out.append(rule(name, f"{c} references {parent}", f"CAST({c} AS VARCHAR)", f"WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT id FROM {named[parent]} WHERE id IS NOT NULL) GROUP BY {c}"))
+    return " UNION ALL ".join(out)
+
+
+@query(FAULTY + _broken())
+def integrity_audit(spark, sf_dir):
+    """Every constraint of the six tables, NOT NULL, CHECK, UNIQUE and REFERENCES, against tables that break them."""
+    return cp.audited(faulty(spark, sf_dir))
+
+
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n_changes FROM events GROUP BY user_id")
 def run_state_latest(spark, sf_dir):
     return cp.latest_state(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"])

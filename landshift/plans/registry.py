@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from landshift.plans import control_queries, outcome_queries, raster_queries, request_queries, scene_queries  # noqa: E402, F401
+from landshift.plans import control_queries, outcome_queries, raster_queries, request_queries, scene_queries, source_queries  # noqa: E402, F401

@@ -120,7 +120,7 @@ def findings_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
     A feature's row has ``run_id``, ``idx`` (its place in the file) and the ``feature``, whose
     properties get the run's id when it is written out.  A file that is no JSON, or no
-    FeatureCollection, is passed over and listed.
+    FeatureCollection, is passed over and listed; one of no bytes at all Spark does not show.
     """
     files = read_files(spark, path, "findings.geojson").select("run_id", F.decode("content", "utf-8").alias("text"))
     body = F.from_json("text", f"struct<type: string, features: array<{FEATURE}>>", {"mode": "PERMISSIVE"})
