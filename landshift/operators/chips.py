@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from landshift.functions.indices import l2, reflected
 
@@ -95,3 +98,70 @@ def branch_summary(scored: DataFrame, keys: list[str], version: str) -> DataFram
     """One row a grid: chips, mean and largest score over its pixels, and the model that gave them."""
     mean = F.sum(F.col("distance_norm") * F.col("covered")) / F.sum("covered")
     return scored.groupBy(*keys).agg(F.count("*").alias("chip_count"), mean.alias("change_score_mean"), F.max("distance_norm").alias("change_score_max")).withColumn("adapter_version", F.lit(version))
+
+
+class PatchStats:
+    """A stand-in for a learned encoder of patches: mean and deviation of each band in each patch.
+
+    The protocol is ``features(chip: (bands, rows, columns)) -> (patches, numbers)``, the patches
+    row by row; ``version``, ``bands`` and ``patch``, its pixels each way, say what it takes.
+    """
+
+    version, bands, patch = "patch-stats-1", ("b04", "b08"), 8
+
+    def features(self, chip: np.ndarray) -> np.ndarray:
+        n, h, w = chip.shape
+        p = self.patch
+        blocks = chip.reshape(n, h // p, p, w // p, p).transpose(1, 3, 0, 2, 4).reshape(-1, n, p * p)
+        return np.concatenate([blocks.mean(axis=2), blocks.std(axis=2)], axis=1)
+
+
+def patch_tensors(cells: DataFrame, keys: list[str], model: Callable[[], PatchStats], before: list[str], after: list[str], size: int) -> DataFrame:
+    """Each chip's features of both dates, a binary of (patches x numbers) doubles each, with ``n_patches``, and the ``distances`` of its patches.
+
+    ``cells`` are those of ``padded_chips``; a chip is one group of size x size cells.  The model is built once a group.
+    """
+    at = [*keys, "top", "left"]
+    fields = StructType([*(cells.schema[k] for k in at), StructField("n_patches", IntegerType()), StructField("before", BinaryType()), StructField("after", BinaryType()), StructField("distances", ArrayType(DoubleType()))])
+    to = to_arrow_schema(fields)
+
+    def one(rows: pa.Table) -> pa.Table:
+        m = model()
+        order = np.lexsort((rows["j"].to_numpy(), rows["i"].to_numpy()))
+        stack = lambda names: np.stack([rows[b].cast(pa.float64()).to_numpy()[order].reshape(size, size) for b in names])
+        a, b = np.asarray(m.features(stack(before)), float), np.asarray(m.features(stack(after)), float)
+        cols = {k: [rows[k][0].as_py()] for k in at} | {"n_patches": [len(a)], "before": [a.tobytes()], "after": [b.tobytes()], "distances": [np.sqrt(((b - a) ** 2).sum(axis=1)).tolist()]}
+        return pa.Table.from_arrays([pa.array(cols[f.name], f.type) for f in to], schema=to)
+
+    return cells.groupBy(*at).applyInArrow(one, fields)
+
+
+def patch_map(tensors: DataFrame, grids: DataFrame, keys: list[str], patch: int, size: int) -> DataFrame:
+    """The patches of all chips on their grid: ``pr``, ``pc``, ``distance`` and ``covered``, the pixels of the grid that a patch stands for; patches beyond the grid go.  ``stitched`` gives the pixels."""
+    per = size // patch
+    each = tensors.select(*keys, "top", "left", F.posexplode("distances").alias("_k", "distance"))
+    each = each.select(*keys, F.expr(f"top div {patch} + _k div {per}").alias("pr"), F.expr(f"left div {patch} + _k % {per}").alias("pc"), "distance").join(grids, keys)
+    inside = lambda n, at: F.greatest(F.lit(0), F.least(F.lit(patch), F.col(n) - F.col(at) * patch))
+    return each.withColumn("covered", (inside("height", "pr") * inside("width", "pc")).cast("long")).where("covered > 0").drop("height", "width")
+
+
+def ai_outcomes(pairs: DataFrame, pixels: DataFrame, grids: DataFrame, keys: list[str], model: Callable[[], PatchStats], before: list[str], after: list[str], size: int) -> DataFrame:
+    """The branch of a learned encoder, whole: a row a pair with its chips and scores, or ``abstain`` and the reason.
+
+    ``pairs`` has the bands' names of both dates (``before_bands``, ``after_bands``).  Pairs that
+    lack a band of the model are told so and take no further part: their pixels are cut to no
+    chips.  The others' patches are compared, laid on their grid, brought to 0..1 there, and
+    summed over its pixels; a grid without rows or columns has nothing to say.
+    """
+    m = model()
+    asked = bands_of(pairs, m.bands)
+    able = asked.where(F.size("missing") == 0).select(*keys)
+    cells = padded_chips(pixels.join(able, keys, "left_semi"), grids.join(able, keys, "left_semi"), keys, size)
+    tensors = patch_tensors(cells.select(*keys, "top", "left", "i", "j", *before, *after), keys, model, before, after, size)
+    scored = min_max(patch_map(tensors, grids, keys, m.patch, size), keys, "distance")
+    mean = F.sum(F.col("distance_norm") * F.col("covered")) / F.sum("covered")
+    told = scored.groupBy(*keys).agg(mean.alias("change_score_mean"), F.max("distance_norm").alias("change_score_max"))
+    chips = chip_grid(grids.join(able, keys, "left_semi"), size).groupBy(*keys).agg(F.count("*").alias("chip_count"))
+    reason = F.when(F.size("missing") > 0, F.concat(F.lit("missing bands: "), F.concat_ws(", ", "missing"))).when(F.col("change_score_max").isNull(), "no pixels")
+    out = asked.join(told, keys, "left").join(chips, keys, "left").withColumn("abstain_reason", reason)
+    return out.select(*keys, F.when(reason.isNull(), F.lit(m.version)).alias("adapter_version"), "chip_count", "change_score_mean", "change_score_max", F.col("abstain_reason").isNotNull().alias("abstain"), "abstain_reason")

@@ -316,6 +316,26 @@ def ai_branch(spark, sf_dir):
     return out.withColumns({c: F.round(c, 5) for c in ("change_score_mean", "change_score_max")})
 
 
+@query(
+    PX
+    + """, g AS (SELECT tile, max(r) + 1 AS h, max(c) + 1 AS w FROM px GROUP BY tile), ok AS (SELECT * FROM g WHERE tile % 4 <> 3),
+cells AS (SELECT tile, h, w, pr, pc, pr * 8 + i AS y, pc * 8 + j AS x FROM ok, (SELECT unnest(range(0, 20)) AS pr), (SELECT unnest(range(0, 20)) AS pc), (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 8)) AS j) WHERE pr * 8 < h AND pc * 8 < w),
+pt AS (SELECT x.tile, pr, pc, least(8, h - pr * 8) * least(8, w - pc * 8) AS covered, sqrt((avg(b04a) - avg(b04b)) ** 2 + (avg(b08a) - avg(b08b)) ** 2 + (stddev_pop(b04a) - stddev_pop(b04b)) ** 2 + (stddev_pop(b08a) - stddev_pop(b08b)) ** 2) AS d
+ FROM cells x JOIN px p ON p.tile = x.tile AND p.r = h - 1 - abs(h - 1 - y % (2 * h - 2)) AND p.c = w - 1 - abs(w - 1 - x % (2 * w - 2)) GROUP BY x.tile, h, w, pr, pc),
+s AS (SELECT tile, min(d) AS lo, max(d) AS hi FROM pt GROUP BY tile), n AS (SELECT tile, covered, CASE WHEN hi - lo >= 1e-8 THEN (d - lo) / (hi - lo) ELSE 0e0 END AS score FROM pt JOIN s USING (tile))
+SELECT g.tile, any_value(CASE WHEN g.tile % 4 <> 3 THEN 'patch-stats-1' END) AS adapter_version, any_value(CASE WHEN g.tile % 4 <> 3 THEN CAST(ceil(g.h / 32.0) * ceil(g.w / 32.0) AS BIGINT) END) AS chip_count, round(sum(score * covered) / sum(covered), 5) AS change_score_mean, round(max(score), 5) AS change_score_max,
+ g.tile % 4 = 3 AS abstain, CASE WHEN g.tile % 4 = 3 THEN 'missing bands: b08' END AS abstain_reason FROM g LEFT JOIN n ON n.tile = g.tile GROUP BY g.tile"""
+)
+def ai_patches(spark, sf_dir):
+    """The whole branch: chips of 32 pixels, patches of 8, and the outcome of tiles whose second date lacks a band."""
+    px = raster(spark, sf_dir).select("tile", "r", "c", "b04b", "b08b", "b04a", "b08a")
+    sizes = grids(spark, sf_dir)
+    names = F.array(F.lit("b04"), F.lit("b08"))
+    pairs = sizes.select("tile", names.alias("before_bands"), F.when(F.col("tile") % 4 == 3, F.array(F.lit("b04"))).otherwise(names).alias("after_bands"))
+    out = chips.ai_outcomes(pairs, px, sizes, ["tile"], chips.PatchStats, ["b04b", "b08b"], ["b04a", "b08a"], 32)
+    return out.withColumns({c: F.round(c, 5) for c in ("change_score_mean", "change_score_max")})
+
+
 @query(
     """WITH b AS (SELECT p_partkey AS id, list_filter(['B02', 'B04', 'B08', 'B11', 'SCL'], lambda x, i: (p_partkey + i) % 4 <> 0) AS before_, list_filter(['B02', 'B04', 'B08', 'B11', 'SCL'], lambda x, i: (p_size + i) % 6 <> 0) AS after_ FROM part),
 c AS (SELECT id, list_sort(list_intersect(before_, after_)) AS common FROM b)

@@ -288,3 +288,27 @@ def test_warps_of_rings(spark):
     assert at(affine, "CRS84") == [[500000.0, 4600000.0], [500100.0, 4600000.0]]
     (x0, y0), (x1, _) = at(affine, "EPSG:32633")
     assert x0 == pytest.approx(15.0) and y0 == pytest.approx(41.5518, abs=1e-3) and x1 - x0 == pytest.approx(0.0012, abs=1e-4)
+
+
+def test_patches_are_stitched_and_missing_bands_told(spark):
+    rng = np.random.default_rng(4)
+    h, w = 21, 18
+    grid = rng.integers(0, 1000, (4, h, w)).astype(float)
+    rows = [(t, r, c, *(float(v) for v in grid[:, r, c])) for t in (1, 2) for r in range(h) for c in range(w)]
+    px = spark.createDataFrame(rows, "g int, r long, c long, b04b double, b08b double, b04a double, b08a double")
+    sizes = spark.createDataFrame([(1, h, w), (2, h, w), (3, 0, 0)], "g int, height int, width int")
+    pairs = spark.createDataFrame([(1, ["b04", "b08"], ["b08", "b04"]), (2, ["b04", "b08"], ["b02"]), (3, ["b04", "b08"], ["b04", "b08"])], "g int, before_bands array<string>, after_bands array<string>")
+    got = {r["g"]: r for r in chips.ai_outcomes(pairs, px, sizes, ["g"], chips.PatchStats, ["b04b", "b08b"], ["b04a", "b08a"], 16).collect()}
+    padded = np.pad(grid, ((0, 0), (0, 32 - h), (0, 32 - w)), mode="reflect")
+    m, distance = chips.PatchStats(), np.zeros((h, w))
+    for top in (0, 16):
+        for left in (0, 16):
+            cut = padded[:, top : top + 16, left : left + 16]
+            far = np.sqrt(((m.features(cut[2:]) - m.features(cut[:2])) ** 2).sum(1)).reshape(2, 2).repeat(8, 0).repeat(8, 1)
+            distance[top : top + 16, left : left + 16] = far[: h - top, : w - left]
+    norm = (distance - distance.min()) / (distance.max() - distance.min())
+    assert got[1]["chip_count"] == 4 and got[1]["change_score_mean"] == pytest.approx(norm.mean()) and got[1]["change_score_max"] == 1.0 and not got[1]["abstain"] and got[1]["adapter_version"] == "patch-stats-1"
+    assert got[2]["abstain"] and got[2]["abstain_reason"] == "missing bands: b04, b08" and got[2]["adapter_version"] is None and got[2]["chip_count"] is None
+    assert got[3]["abstain"] and got[3]["abstain_reason"] == "no pixels"
+    one = chips.patch_tensors(chips.padded_chips(px.where("g = 1"), sizes.where("g = 1"), ["g"], 16), ["g"], chips.PatchStats, ["b04b", "b08b"], ["b04a", "b08a"], 16).first()
+    assert one["n_patches"] == 4 and len(one["before"]) == 4 * 4 * 8 and len(one["distances"]) == 4
