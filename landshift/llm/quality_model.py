@@ -143,7 +143,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
         margin += 1.0 * step
         if len(rules) > max_rules or (len(rules) == before and before):
             break
-    named = sorted(rules)[:max_rules]
+    named = sorted(rules)  # all of them: the last tree may pass max_rules by its own few
     if not named:
         return RuleModel(intercept, ())
     z = np.stack([holds(r, x) for r in named], axis=1).astype(np.float64)
