@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Burst and refill a second of the general and of the run budget; seconds until an idle key is forgotten.
@@ -81,6 +82,98 @@ def rate_limited_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(one, DECISIONS, "g double, gt double, r double, rt double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+class OrderedBuckets(StatefulProcessor):
+    """Two buckets a key; events wait until the watermark has passed them, so late ones take their turn by time.
+
+    One timer a key stands at its earliest waiting event, or, where none waits, where the key has
+    been idle for IDLE_S and its state ends.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buckets = handle.getValueState("buckets", "g double, gt double, r double, rt double")
+        self.waiting = handle.getListState("waiting", "seq long, ts double, is_run boolean")
+
+    def alarm(self, at: float) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(math.ceil(at * 1000))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = list(self.waiting.get())
+        for pdf in rows:
+            held += [(int(a), float(b), bool(c)) for a, b, c in pdf[["seq", "ts", "is_run"]].itertuples(index=False)]
+        self.waiting.put(held)
+        # A timer in the past of the watermark would fire at once: late rows are answered in this batch's timers.
+        self.alarm(max(min(x[1] for x in held), timerValues.getCurrentWatermarkInMs() / 1000))
+        yield pd.DataFrame({"key": pd.Series([], dtype=str), "seq": pd.Series([], dtype="int64"), "ts": pd.Series([], dtype=float), "is_run": pd.Series([], dtype=bool), "allowed": pd.Series([], dtype=bool), "retry_after": pd.Series([], dtype="Int64")})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() / 1000
+        held = list(self.waiting.get())
+        due, later = [x for x in held if x[1] <= until], [x for x in held if x[1] > until]
+        old = self.buckets.get() if self.buckets.exists() else (None,) * 4
+        general, runs = Bucket(*GENERAL, *old[:2]), Bucket(*RUNS, *old[2:])
+        if due:
+            done = fold(pd.DataFrame(due, columns=["seq", "ts", "is_run"]), general, runs)
+            self.buckets.update((general.tokens, general.at, runs.tokens, runs.at))
+            done.insert(0, "key", key[0])
+            yield done.astype({"retry_after": "Int64"})
+        if later:
+            self.waiting.put(later)
+            self.alarm(min(x[1] for x in later))
+        else:
+            self.waiting.clear()
+            if general.at is not None and general.at + IDLE_S > until:
+                self.alarm(general.at + IDLE_S)
+            else:
+                self.buckets.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limited_in_order(events: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """The decisions of ``rate_limited`` over a stream whose events come out of order by no more than ``delay``.
+
+    Needs the RocksDB state store (``stream_settings``).
+    """
+    timed = events.withColumn("at", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long"))).withWatermark("at", delay)
+    return timed.groupBy("key").transformWithStateInPandas(OrderedBuckets(), DECISIONS, "append", "eventTime")
+
+
+def stream_settings(spark) -> None:
+    """Keyed state with timers needs a store that can hold it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class CompletionEdges(StatefulProcessor):
+    """The last status of each run; a poll that finds it completed for the first time since it was not is passed on."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "status string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        polls = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        before = [self.last.get()[0] if self.last.exists() else "", *polls["status"].tolist()[:-1]]
+        edge = [s == "completed" and b != "completed" for s, b in zip(polls["status"], before, strict=True)]
+        self.last.update((polls["status"].iloc[-1],))
+        yield polls.loc[edge, ["seq", "ts"]].assign(run_id=key[0])[["run_id", "seq", "ts"]]
+
+    def close(self) -> None:
+        pass
+
+
+def completion_stream(polls: DataFrame) -> DataFrame:
+    """Polls (run_id, seq, ts, status) at which a run is seen completed and was not at the poll before: when its findings are to be read again."""
+    return polls.groupBy("run_id").transformWithStateInPandas(CompletionEdges(), "run_id string, seq long, ts double", "append", "none")
+
+
+def watch(polls: DataFrame, then: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 seconds"):
+    """Runs ``then`` on the completion edges of each round of polls, a round ``every`` five seconds."""
+    return completion_stream(polls).writeStream.foreachBatch(then).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()
+
+
 def audit_rows(events: DataFrame) -> DataFrame:
     """One row of the audit log for each request; the user is never known."""
     return events.select(F.col("event_id").alias("id"), F.lit(None).cast("string").alias("user_name"), F.col("event_type").alias("action"), "ts")
