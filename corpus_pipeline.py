@@ -66,7 +66,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of the text, their number, and the text decoded from them, for every row; a null text is empty."""
-    return bpe.decode(bpe.encode(docs)).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.round_trip(docs).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

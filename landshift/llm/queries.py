@@ -41,7 +41,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
+    both = bpe.round_trip(read(spark, sf_dir, "documents"))
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

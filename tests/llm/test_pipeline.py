@@ -79,7 +79,7 @@ def test_stages_with_clashing_names_and_no_rows(spark):
 
 def test_queries_are_whole(spark, sf_dir):
     n = read(spark, sf_dir, "documents").count()
-    assert set(queries.QUERIES) == {q for q in queries.QUERIES if q.startswith("op")} and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) == {q for q in queries.QUERIES if q.startswith("op")} and len(queries.QUERIES) == 13
     assert queries.op5_substring_dedup(spark, sf_dir).where("doc_id IS NOT NULL").count() == n
     empty = hashlib.sha256(b"").hexdigest()
     assert {r["kept_sha256"] for r in queries.op5_substring_dedup(spark, sf_dir).where("n_words = 0").collect()} <= {empty}
