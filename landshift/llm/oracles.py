@@ -21,9 +21,12 @@ OP2 = f"""
 WITH d AS (SELECT doc_id, {PLAIN} AS w FROM documents), i AS (SELECT item_id, {PLAIN} AS w FROM benchmark),
 ds AS (SELECT doc_id, k - 1 AS pos, array_to_string(w[k:k+4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)),
 sh AS (SELECT DISTINCT item_id, array_to_string(w[k:k+4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM i WHERE len(w) >= 5)),
-n AS (SELECT item_id, count(*) AS size FROM sh GROUP BY item_id)
+n AS (SELECT item_id, count(*) AS size FROM sh GROUP BY item_id),
+short AS (SELECT DISTINCT item_id, len(w) AS n, array_to_string(w, ' ') AS s FROM i WHERE len(w) BETWEEN 1 AND 4),
+runs AS (SELECT doc_id, n, k - 1 AS pos, array_to_string(w[k:k+n-1], ' ') AS s FROM (SELECT d.*, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM short) WHERE len(w) >= n))
 SELECT doc_id, item_id, count(DISTINCT s) / CAST(any_value(size) AS DOUBLE) AS containment, min(pos) AS first_word
 FROM ds JOIN sh USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(DISTINCT s) >= 0.8 * any_value(size) - 1e-9
+UNION ALL SELECT doc_id, item_id, 1e0 AS containment, min(pos) AS first_word FROM runs JOIN short USING (n, s) GROUP BY doc_id, item_id
 """
 
 OP5 = f"""
