@@ -1,7 +1,9 @@
 """LM scoring by cross-entropy difference.
 
 Two bigram models, of target texts and of the whole corpus (the background), share one
-vocabulary, the words of the corpus and an end of text, and are smoothed alike,
+vocabulary, the words of the corpus and an end of text, and are smoothed alike.  A word is a
+run of letters and digits with A-Z lower-cased, a run of ASCII marks, or a line feed, so that
+menus, symbols and line ends count as what they are and not only what stands between them:
 
     p(w) = (c(w) + a) / (N + a V),    p(w | v) = (c(v w) + KAPPA p(w)) / (c(v) + KAPPA),
 
@@ -27,6 +29,7 @@ one; other columns of the table are not looked at.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +38,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landshift.llm.common import PLAIN_WORDS, arrow, lists, slices, stored, texts
+from landshift.llm.common import LOWER_AZ, arrow, lists, slices, stored, texts
 from landshift.llm.near_dedup import PRIME_MIX, mixed, word_hashes
 
+#: Words, in a text of lower case: letters and digits, marks, line feeds.
+TOKENS = re.compile(rb"[0-9a-z\x80-\xff]+|[!-/:-@\[-`{-~]+|\n")
 #: Counts that smoothing adds to all words together, at most one to each.
 WORDS = 1 << 18
 KAPPA = 50.0
@@ -52,7 +57,7 @@ SCORES = "doc_id long, n_words long, target_loss double, background_loss double,
 
 def keys(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the words and the end (odd), and of the pairs of each and what stands before it (even)."""
-    h = word_hashes(text.translate(PLAIN_WORDS).split())
+    h = word_hashes(TOKENS.findall(text.translate(LOWER_AZ)))
     if not len(h):
         return h, h
     h = np.append(h, END)

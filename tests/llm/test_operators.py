@@ -164,6 +164,16 @@ def test_lm_scores_follow_the_formula(spark, documents, odd):
     assert lm_scoring.score(documents([(1, None), (2, " ")]), ids).where("score = 0").count() == 2
 
 
+def test_lm_scores_see_marks_and_lines(spark, documents):
+    """Menus and symbols between the same words are told apart from prose, by each other alone."""
+    prose = [(k, f"we went to the river, and word{k} came.\nIt was late.") for k in range(40)]
+    menus = [(100 + k, f"we | went | to ### the ### river | and | word{k} | came") for k in range(40)]
+    got = {r["doc_id"]: r for r in lm_scoring.score(documents(prose + menus), documents(prose[::2]).select("doc_id")).collect()}
+    held = [got[k]["score"] for k, _ in prose[1::2]]
+    assert min(held) > max(got[k]["score"] for k, _ in menus)
+    assert got[1]["n_words"] == 15 and got[100]["n_words"] == 15
+
+
 def test_lm_counts_are_exact_beyond_any_fixed_size(spark, documents, monkeypatch):
     rng = np.random.default_rng(21)
     lexicon = [f"x{k}" for k in range(40_000)]
@@ -195,6 +205,8 @@ def test_op3_scores_target_and_held_out_texts_alike(spark):
     held = [scored[i] for i in good if zlib.crc32(str(i).encode()) % 5 == 0]
     trained = [scored[i] for i in good if zlib.crc32(str(i).encode()) % 5]
     assert abs(np.median(held) - np.median(trained)) < 0.15
+    bad = [scored[r["doc_id"]] for r in read(spark, sf, "labels").where("quality = 0").collect()]
+    assert np.mean([[g > b for b in bad] for g in held]) > 0.8  # held-out good rows against bad ones, which no target text holds
 
 
 # BPE and token files
