@@ -48,6 +48,8 @@ WORDS = 1 << 18
 KAPPA = 50.0
 #: Bytes of text that are counted and scored at one time, and that a bucket's keys come from.
 GROUP, BUCKET = 8_000_000, 16_000_000
+#: Bytes of a text that are cut to words, and places that are scored, at one time.
+PIECE, STRETCH = 1 << 18, 1 << 18
 START, END = np.uint64(1), np.uint64(0xE4D05A2B91C36F77)
 GROUPS = "group long, doc_ids array<long>, sizes array<long>, body binary"
 KEYS = "bucket int, group long, keys binary, background binary, target binary"
@@ -57,10 +59,15 @@ SCORES = "doc_id long, n_words long, target_loss double, background_loss double,
 
 def keys(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the words and the end (odd), and of the pairs of each and what stands before it (even)."""
-    h = word_hashes(TOKENS.findall(text.translate(LOWER_AZ)))
-    if not len(h):
-        return h, h
-    h = np.append(h, END)
+    low, at, found = text.translate(LOWER_AZ), 0, []
+    while at < len(low):
+        end = low.find(b" ", at + PIECE)  # no word holds a space
+        end = len(low) if end < 0 else end
+        found.append(word_hashes(TOKENS.findall(low, at, end)))
+        at = end
+    h = np.concatenate([*found, np.array([END])])
+    if len(h) == 1:
+        return h[:0], h[:0]
     return h | np.uint64(1), mixed(np.append(START, h[:-1]) * PRIME_MIX + h) & ~np.uint64(1)
 
 
@@ -135,8 +142,14 @@ def group_keys(body: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def own_counts(doc: np.ndarray, place: np.ndarray, kinds: int) -> np.ndarray:
     """For each occurrence, how often its key stands in its document."""
-    _, back, n = np.unique(doc * np.int64(max(1, kinds)) + place, return_inverse=True, return_counts=True)
-    return n[back]
+    _, back, n = np.unique(doc.astype(np.int64) * max(1, kinds) + place, return_inverse=True, return_counts=True)
+    return n.astype(np.int32)[back]
+
+
+def placed(keys_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and where each key stands among them."""
+    key, place = np.unique(keys_, return_inverse=True)
+    return key, place.astype(np.int32)  # a task's keys are far fewer than 2**31
 
 
 def counted(groups: DataFrame, places: DataFrame, bits: int) -> DataFrame:
@@ -147,7 +160,9 @@ def counted(groups: DataFrame, places: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 words, pairs, lengths = group_keys(batch.column("body")[k].as_py(), np.array(batch.column("sizes")[k].as_py(), np.int64))
-                key, place, n = np.unique(np.append(words, pairs), return_inverse=True, return_counts=True)
+                key, place = placed(np.append(words, pairs))
+                del words, pairs
+                n = np.bincount(place, minlength=len(key))
                 chosen = np.zeros(len(lengths), bool)
                 chosen[batch.column("places")[k].as_py() or []] = True
                 target = np.bincount(place[np.tile(np.repeat(chosen, lengths), 2)], minlength=len(key))
@@ -156,7 +171,7 @@ def counted(groups: DataFrame, places: DataFrame, bits: int) -> DataFrame:
 
     def answer(batches):
         def close():
-            key, place = np.unique(np.concatenate(ks), return_inverse=True)
+            key, place = placed(np.concatenate(ks))
             totals = [np.bincount(place, np.concatenate(ns), len(key)).astype(np.int64) for ns in (bs, ts)]
             word, at = (key & np.uint64(1)).astype(bool), 0
             for g, k in zip(gs, ks, strict=True):
@@ -175,8 +190,8 @@ def counted(groups: DataFrame, places: DataFrame, bits: int) -> DataFrame:
                     bucket, gs, ks, bs, ts = b, [], [], [], []
                 gs.append(batch.column("group")[k].as_py())
                 ks.append(opened_keys(batch.column("keys")[k].as_py()))
-                bs.append(opened(batch.column("background")[k].as_py()))
-                ts.append(opened(batch.column("target")[k].as_py()))
+                bs.append(opened(batch.column("background")[k].as_py()).astype(np.uint32))  # of one group
+                ts.append(opened(batch.column("target")[k].as_py()).astype(np.uint32))
         if gs:
             yield from close()
 
@@ -206,22 +221,28 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
             if not len(words):
                 none = np.zeros(len(lengths))
                 return pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(lengths, pa.int64()), *(pa.array(none) for _ in range(3))], schema=result)
-            key, place = np.unique(np.append(words, pairs), return_inverse=True)
-            n, doc = len(words), np.repeat(np.arange(len(lengths)), lengths)
+            n, doc = len(words), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            key, place = placed(np.append(words, pairs))
+            del words, pairs
             start = np.diff(doc, prepend=-1) > 0
             own = own_counts(doc, place[:n], len(key)), own_counts(doc, place[n:], len(key))
             end = np.searchsorted(key, END)
             means = []
             for m in (0, 1):
                 count = np.concatenate([f[m] for f in answers]).astype(np.float64)
-                mine = 1.0 if m == 0 else chosen[doc].astype(np.float64)
-                word = count[place[:n]] - mine * own[0]
-                before = np.append(0.0, word[:-1])
-                before[start] = (count[end] - mine)[start] if m else count[end] - 1.0
-                pair = count[place[n:]] - mine * own[1]
-                p = (word + share) / (totals[m] - mine * lengths[doc] + share * kinds)
-                each = -np.log((pair + KAPPA * p) / (before + KAPPA))
-                means.append(np.bincount(doc, each, minlength=len(lengths)) / np.maximum(1, lengths))
+                total = np.zeros(len(lengths))
+                for i in range(0, n, STRETCH):
+                    at = slice(i, i + STRETCH)
+                    d = doc[at]
+                    mine = 1.0 if m == 0 else chosen[d].astype(np.float64)
+                    word = count[place[:n][at]] - mine * own[0][at]
+                    # what stands before the first place of a stretch is of the same document, or not looked at
+                    before = np.append(count[place[i - 1]] - (m == 0 or chosen[d[0]]) * own[0][i - 1] if i else 0.0, word[:-1])
+                    before = np.where(start[at], count[end] - mine, before)
+                    pair = count[place[n:][at]] - mine * own[1][at]
+                    p = (word + share) / (totals[m] - mine * lengths[d] + share * kinds)
+                    total += np.bincount(d, -np.log((pair + KAPPA * p) / (before + KAPPA)), minlength=len(lengths))
+                means.append(total / np.maximum(1, lengths))
             b, t = means
             return pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(np.maximum(0, lengths - 1), pa.int64()), pa.array(t), pa.array(b), pa.array(b - t)], schema=result)
 

@@ -181,6 +181,8 @@ def test_lm_counts_are_exact_beyond_any_fixed_size(spark, documents, monkeypatch
     texts_ += [(100, "often seen " * 300), (101, "x1 x2 never often"), (102, None), (None, "x3 x4")]
     monkeypatch.setattr(lm_scoring, "GROUP", 300_000)
     monkeypatch.setattr(lm_scoring, "BUCKET", 500_000)
+    monkeypatch.setattr(lm_scoring, "PIECE", 1000)
+    monkeypatch.setattr(lm_scoring, "STRETCH", 777)
     docs = documents(texts_)
     assert lm_scoring.bucket_bits(docs) > 2
     got = {r["doc_id"]: (r["n_words"], r["target_loss"], r["background_loss"]) for r in lm_scoring.score(docs, docs.where("doc_id < 8 OR doc_id > 100")).collect()}
