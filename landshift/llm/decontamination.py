@@ -16,7 +16,9 @@ BLOCK_CHARS characters, one pass over the documents a block.
 
 Defined cases: words are runs of letters and digits with A-Z lower-cased; an item without
 words is not searched for; null and empty documents hold nothing; of items with the same id
-each is searched for; repeated rows each give their pairs.
+each is searched for; repeated rows each give their pairs; a text of any length is searched
+whole; a share of just ``containment`` is a find; without documents or items there are no pairs;
+other columns of either table, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -20,6 +20,8 @@ grows with the corpus, so that each holds the keys of about BUCKET bytes of text
 adds up the counts and gives each group the totals of its keys back; there the losses of
 each document are added up.  No key is gathered in more than one row a group.
 
+``n_words`` counts the words so defined, without the end.
+
 Defined cases: a null or empty text has no words, losses of 0 and a score of 0, and counts
 nowhere; repeated rows count and are scored each; rows without doc_id are scored and belong
 to no target; every row of a target's doc_id is a target text; a text of any length is in

@@ -4,7 +4,10 @@ Every line is judged on its own by punctuation, navigation and boilerplate rules
 that fail are removed, and a document that loses too much of its text is rejected.
 
 Defined cases: a null text has no words and fails the base test; a line without a word is
-neither kept nor lost; repeated rows are judged alike, each for itself.
+neither kept nor lost; a text or line of any length is judged whole; a line or text that just
+reaches a rule's share fails it, a document that loses just ``max_loss`` stays; repeated rows are
+judged alike, each for itself; an empty table gives an empty one; other columns of the table,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -74,6 +74,10 @@ def test_repeated_words_long_and_tied(size):
     assert quality_rules.repeated_words(w, size) == len({k + j for k, g in enumerate(grams) if count[g] > 1 for j in range(size)})
 
 
+def test_line_cleaning_of_an_empty_table(spark, documents):
+    assert quality_rules.line_cleaning(documents(EMPTY)).count() == 0
+
+
 # decontamination
 
 
