@@ -15,24 +15,30 @@ of the table are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from landshift.llm.bpe import PIECES, default_vocabulary
-from landshift.llm.common import arrow, slices, texts
+from landshift.llm.bpe import default_vocabulary
+from landshift.llm.common import SLICE_BYTES, arrow, slices, texts
 
 BLOCK = 65_536
 #: Ids at which a chunk is closed, after the document at hand.
 CHUNK = 4 * BLOCK
-#: Words, and pieces of words, whose ids a worker keeps.
-CACHE = 600_000
+#: Pieces of words that a worker meets before it forgets those not met since as many before.
+CACHE = 300_000
+#: Bytes of text whose words are looked up at one time.
+SLICE = 2 * SLICE_BYTES
+#: ``bpe.PLAIN`` and ``bpe.PIECES`` as Arrow's expressions write them: in these letters case and classes are settled.
+PLAIN = r"^[\x00-\x7F\x{C0}-\x{12F}\x{131}-\x{17F}]*$"
+LETTERS = r"^\p{L}+$"
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 CHUNKS = "part int, chunk int, n_ids long, doc_ids array<long>, doc_sizes array<long>, block_sizes array<int>, plane_bytes array<int>, payload binary"
 
 
@@ -60,12 +66,47 @@ def unpack(sizes: list[int], lengths: list[int], payload: bytes) -> np.ndarray:
     return np.concatenate(blocks) if blocks else np.empty(0, "<u4")
 
 
+def objects(values: pa.Array) -> list:
+    """``values.to_pylist()``, several times as fast."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def laid_out(ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``ids[begin : begin + size]`` one after another, and where each of them ends there."""
+    ends = np.cumsum(sizes)
+    places = np.repeat(begins - ends + sizes, sizes)
+    places += np.arange(len(places))
+    return ids[places], ends
+
+
+class Recent(dict):
+    """A dict that forgets what was not asked for lately; ``before`` is what it held at its last turn."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict = {}
+
+    def each(self, keys: list, learn: Callable[[list], None]) -> list:
+        """The values of the keys; ``learn`` adds those not met before."""
+        if len(self) > CACHE:
+            self.before = dict(self)
+            self.clear()
+        new = []
+        for k in [k for k in keys if k not in self]:
+            if k in self.before:
+                self[k] = self.before[k]
+            else:
+                new.append(k)
+        learn(new)
+        return [*map(self.__getitem__, keys)]
+
+
 class LibraryWords:
     """The tokenizers library's ids, word by word: no pattern or merge of the file crosses white space.
 
-    New ASCII words are cut to pieces, and the pieces not met before go to the library in
-    long texts; there each piece ends with the one token that carries the end of a word.  All
-    other words go to the library as they are.
+    Words of ASCII and accented Latin are cut to pieces, a slice of the table at a time, and
+    the pieces not met before go to the library in long texts; there each piece ends with the
+    one token that carries the end of a word.  All other words go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -80,37 +121,65 @@ class LibraryWords:
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+        #: ids as 32-bit integers by piece, or by word that is not cut
+        self.pieces = Recent()
+        #: those of the words given to ``learn``
         self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        cut, whole = {}, []
-        for w in words.difference(self.known):
-            if b"<|" in w or not w.isascii():  # special tokens stay whole
-                whole.append(w)
-            else:
-                low = w.decode("ascii").lower()
-                cut[w] = (low,) if low.isalpha() else PIECES.findall(low)
-        for at in range(0, len(whole), 2000):
-            some = whole[at : at + 2000]
-            for w, found in zip(some, self.library.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(found.ids, "<u4").tobytes()
-        new = list({p for ps in cut.values() for p in ps}.difference(self.pieces))
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Puts the words' ids into ``known``."""
+        words = list(words)
+        ids, begins, sizes = self.spell(pa.array(words, pa.binary()).cast(pa.string()))
+        self.known |= {w: ids[b : b + n].tobytes() for w, b, n in zip(words, begins, sizes, strict=True)}
+
+    def spell(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct words in some order, and where those of each word begin and how many they are."""
+        plain = pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring(words, "<|"))  # special tokens stay whole
+        low = pc.utf8_lower(words)
+        one = pc.and_(plain, pc.match_substring_regex(low, LETTERS))
+        more = pc.and_not(plain, one)
+        cut = pc.ascii_split_whitespace(pa.concat_arrays([low.filter(one), pc.replace_substring_regex(low.filter(more), PIECE, r"\0 ")]))
+        named, whole = cut.flatten().dictionary_encode(), objects(words.filter(pc.invert(plain)))
+        each = self.pieces.each(objects(named.dictionary), self.learn_pieces)
+        at = np.append(named.indices.to_numpy(), np.arange(len(each), len(each) + len(whole)))
+        each += self.pieces.each(whole, self.learn_whole)
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        ids, ends = laid_out(np.frombuffer(b"".join(each), "<u4"), (np.cumsum(sizes) - sizes)[at], sizes[at])
+        counts = np.append(cut.value_lengths().to_numpy(), np.ones(len(whole), np.int64))  # of pieces, one at least
+        stops = ends[np.cumsum(counts) - 1]
+        order = np.concatenate([np.flatnonzero(kind.to_numpy(zero_copy_only=False)) for kind in (one, more, pc.invert(plain))])
+        begins, sizes = np.empty((2, len(words)), np.int64)
+        sizes[order] = np.diff(stops, prepend=0)
+        begins[order] = stops - sizes[order]
+        return ids, begins, sizes
+
+    def learn_whole(self, words: list[str]) -> None:
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            for w, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.pieces[w] = np.array(found.ids, "<u4").tobytes()
+
+    def learn_pieces(self, pieces: list[str]) -> None:
+        self.pieces[""] = b""
+        pieces = [p for p in pieces if p]
+        for at in range(0, len(pieces), 2000):
+            some = pieces[at : at + 2000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             raw, begin = ids.tobytes(), 0
             for p, stop in zip(some, (4 * stops).tolist(), strict=True):
                 self.pieces[p] = raw[begin:stop]
                 begin = stop
-        get = self.pieces.__getitem__
-        for w, ps in cut.items():
-            self.known[w] = b"".join(map(get, ps))
+
+    def encode(self, values: pa.Array, end_id: int) -> list[np.ndarray]:
+        """The ids of each text (null: none) and the end id.  Arrow tells the words apart, so that only distinct pieces become Python objects."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(values, ""))
+        named = cut.flatten().dictionary_encode()
+        ids, begins, sizes = self.spell(named.dictionary)
+        stops = np.cumsum(cut.value_lengths().to_numpy())
+        at = np.insert(named.indices.to_numpy(), stops, len(sizes))
+        ids, ends = laid_out(np.append(ids, np.uint32(end_id)), np.append(begins, len(ids))[at], np.append(sizes, 1)[at])
+        return np.split(ids, ends[stops + np.arange(len(stops))][:-1])
 
 
 @lru_cache(2)
@@ -125,7 +194,7 @@ def write(docs: DataFrame, to: str, vocabulary: str | None = None, end_id: int =
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, words, end = TaskContext.get().partitionId(), loaded(path), np.array([end_id], "<u4").tobytes()
+        part, words = TaskContext.get().partitionId(), loaded(path)
         chunk, held, ids, names = 0, 0, [], []
 
         def close() -> pa.RecordBatch:
@@ -134,12 +203,8 @@ def write(docs: DataFrame, to: str, vocabulary: str | None = None, end_id: int =
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for whole in batches:
-            for batch in slices(whole):
-                each = [(x or b"").split() for x in batch.column("text").cast(pa.binary()).to_pylist()]
-                words.learn(set(chain.from_iterable(each)))
-                get = words.known.__getitem__
-                for doc, found in zip(batch.column("doc_id").to_pylist(), each, strict=True):
-                    one = np.frombuffer(b"".join([*map(get, found), end]), "<u4")
+            for batch in slices(whole, most=SLICE):
+                for doc, one in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text"), end_id), strict=True):
                     names.append(doc)
                     ids.append(one)
                     held += len(one)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,6 +288,39 @@ def test_token_files_round_trip(odd, spark, monkeypatch):
         at += len(ids)
 
 
+def test_token_files_give_the_library_each_piece_once():
+    """Accented words are cut to pieces like ASCII ones, so no piece is encoded again for its marks or its capitals."""
+    files, given = token_files.LibraryWords(bpe.default_vocabulary()), []
+    inner, t = files.library, library()
+
+    class Spy:
+        def encode(self, text, **more):
+            given.append(text)
+            return inner.encode(text, **more)
+
+        def encode_batch_fast(self, some, **more):
+            given.extend(some)
+            return inner.encode_batch_fast(some, **more)
+
+    files.library = Spy()
+    words = ["über", "Über,", "ÜBER.", "über9", "it's", "IT'S,", "straße", "Straße,"]
+    files.learn({w.encode() for w in words[:4]})
+    files.learn({w.encode() for w in words})
+    assert all(np.frombuffer(files.known[w.encode()], "<u4").tolist() == t.encode(w, add_special_tokens=False).ids for w in words)
+    assert sorted(" ".join(given).split()) == sorted(["über", ",", ".", "9", "it", "'s", "straße"])
+
+
+def test_token_files_forget_and_learn_again(monkeypatch):
+    t, texts_ = library(), [*(text for _, text in ODD), "", None, " \x0b\x1c a\x85b\u00a0c ", "<|endoftext|> x<|startoftext|>Ü", "İ ſ'ſ 'S", PROSE, PROSE[::-1], PROSE]
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts_]
+    for most in (token_files.CACHE, 3):
+        monkeypatch.setattr(token_files, "CACHE", most)
+        files = token_files.LibraryWords(bpe.default_vocabulary())
+        assert [x.tolist() for x in files.encode(pa.array(texts_, pa.string()), 2)] == want
+        for x, ids in zip(texts_, want, strict=True):
+            assert [y.tolist() for y in files.encode(pa.array([x], pa.string()), 2)] == [ids]
+
+
 def test_token_files_of_nothing(documents, spark):
     path = scratch(spark)
     token_files.write(documents(EMPTY), path)
