@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from landshift.functions.indices import l2, reflected
+from landshift.functions.indices import l2
 
 
 def chip_grid(grids: DataFrame, size: int) -> DataFrame:
@@ -22,11 +22,25 @@ def chip_grid(grids: DataFrame, size: int) -> DataFrame:
     return grids.withColumn("_i", F.explode(steps("height"))).withColumn("_j", F.explode(steps("width"))).withColumns({"top": F.col("_i") * size, "left": F.col("_j") * size}).drop("_i", "_j")
 
 
+def places(at: str, n: str, size: int) -> Column:
+    """Where a row (or column) of a grid of ``n`` comes to lie in chips of ``size`` each way: itself, and as often as the edge mirrors it."""
+    last, turn = F.ceil(F.col(n) / size).cast("long") * size - 1, (F.col(n) * 2 - 2).cast("long")
+    every = lambda first, step: F.when(first <= last, F.sequence(first, last, step)).otherwise(F.array().cast("array<long>"))
+    mirrored = F.when((F.col(at) == 0) | (F.col(at) == F.col(n) - 1), F.array().cast("array<long>")).otherwise(every(turn - F.col(at), turn))
+    return F.when(F.col(n) == 1, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.concat(every(F.col(at), turn), mirrored))
+
+
 def padded_chips(pixels: DataFrame, grids: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Every cell of every chip with its pixel; cells beyond the grid mirror it at the bottom and right."""
-    cells = chip_grid(grids, size).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    cells = cells.withColumns({"r": reflected(F.col("top") + F.col("i"), F.col("height")).cast("long"), "c": reflected(F.col("left") + F.col("j"), F.col("width")).cast("long")})
-    return cells.join(pixels, [*keys, "r", "c"])
+    """Every cell of every chip with its pixel; cells beyond the grid mirror it at the bottom and right.
+
+    Each pixel names the cells that take it, so only pixels and grids meet in a join.  Cells made
+    from the grids would look as small as the grids do to Spark, which then sends them all to every task.
+    """
+    cells = pixels.withColumns({c: F.col(c).cast("long") for c in ("r", "c")}).join(grids, keys).where("r >= 0 AND r < height AND c >= 0 AND c < width")
+    cells = cells.withColumn("_y", F.explode(places("r", "height", size))).withColumn("_x", F.explode(places("c", "width", size)))
+    cells = cells.withColumns({"top": F.expr(f"int(_y div {size} * {size})"), "left": F.expr(f"int(_x div {size} * {size})"), "i": F.expr(f"int(_y % {size})"), "j": F.expr(f"int(_x % {size})")})
+    own = [c for c in grids.columns if c not in keys]
+    return cells.select(*keys, "r", "c", *own, "top", "left", "i", "j", *(c for c in pixels.columns if c not in (*keys, "r", "c")))
 
 
 def stitched(patches: DataFrame, grids: DataFrame, keys: list[str], patch: int) -> DataFrame:
