@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landshift.functions.geometry import bbox, intersects
+from landshift.functions.geometry import bbox, intersects, is_box
+from landshift.operators.requests import once, salted
 
 
 def mgrs_tile(scene_id: Column) -> Column:
@@ -50,22 +51,38 @@ def common_tiles(scenes: DataFrame) -> DataFrame:
     return both.withColumn("tile_rank", F.row_number().over(Window.orderBy("cloud_sum", "tile")))  # one row a tile of the catalog's grid
 
 
-def over_areas(scenes: DataFrame, areas: DataFrame, cell: float = 1.0) -> DataFrame:
-    """Scenes and areas whose rings intersect: an equi-join on grid cells of the boxes, then boxes, then the exact test.
+def plain(ring: Column, box: Column) -> Column:
+    """Whether a ring is its box: five finite corners along the box's sides."""
+    finite = (box["minx"] > float("-inf")) & (box["miny"] > float("-inf")) & (box["maxx"] < float("inf")) & (box["maxy"] < float("inf"))
+    return F.coalesce(is_box(F.array(F.array(ring))) & finite & F.forall(ring, lambda p: F.size(p) == 2), F.lit(False))
 
-    A pair is kept in the first cell that both boxes share, so no pair comes twice and no distinct is needed.
+
+def over_areas(scenes: DataFrame, areas: DataFrame, cell: float = 1.0, crowd: int = 2000) -> DataFrame:
+    """Scenes and areas whose rings intersect: an equi-join on grid cells of the boxes, then boxes, then the exact test where a ring is not its own box.
+
+    A pair is kept in the first cell that both boxes share, so no pair comes twice and no distinct
+    is needed.  A cell with more than ``crowd`` scenes is dealt to several salts.  Pairs may be far
+    more than rows, so cells are dealt to all partitions, however small they are.
     """
+    parts = int(scenes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = ["_x", "_y"]
 
     def celled(df: DataFrame, ring: str, p: str) -> DataFrame:
-        df = df.withColumn(p, bbox(F.col(ring)))
+        df = once(df, p, bbox(F.col(ring))).where(F.col(p)["minx"].isNotNull())
         xs = F.sequence(F.floor(F.col(p)["minx"] / cell), F.floor(F.col(p)["maxx"] / cell))
         ys = F.sequence(F.floor(F.col(p)["miny"] / cell), F.floor(F.col(p)["maxy"] / cell))
+        df = once(df, f"{p}p", plain(F.col(ring), F.col(p)))
         return df.withColumn("_x", F.explode(xs)).withColumn("_y", F.explode(ys))
 
-    both = celled(scenes, "footprint", "_s").join(celled(areas, "ring", "_a"), ["_x", "_y"])
-    first = (F.col("_x") == F.floor(F.greatest("_s.minx", "_a.minx") / cell)) & (F.col("_y") == F.floor(F.greatest("_s.miny", "_a.miny") / cell))
-    boxes = (F.col("_s.minx") <= F.col("_a.maxx")) & (F.col("_a.minx") <= F.col("_s.maxx")) & (F.col("_s.miny") <= F.col("_a.maxy")) & (F.col("_a.miny") <= F.col("_s.maxy"))
-    return both.where(first & boxes).where(intersects("footprint", "ring")).drop("_x", "_y", "_s", "_a")
+    def met(s: DataFrame, a: DataFrame, *more: str) -> DataFrame:
+        first = (F.col("_x") == F.floor(F.greatest("_s.minx", "_a.minx") / cell)) & (F.col("_y") == F.floor(F.greatest("_s.miny", "_a.miny") / cell))
+        boxes = (F.col("_s.minx") <= F.col("_a.maxx")) & (F.col("_a.minx") <= F.col("_s.maxx")) & (F.col("_s.miny") <= F.col("_a.maxy")) & (F.col("_a.miny") <= F.col("_s.maxy"))
+        return s.join(a, [*at, *more]).where(first & boxes).drop(*at, *more, "_s", "_a", "_sp", "_ap")
+
+    s, a = celled(scenes, "footprint", "_s"), celled(areas, "ring", "_a")
+    dealt = (x.repartition(parts, *at, "_salt") for x in salted(s.where("_sp"), a.where("_ap"), at, crowd, *scenes.columns))
+    exact = met(s.where("NOT _sp"), a).unionByName(met(s.where("_sp"), a.where("NOT _ap"))).where(intersects("footprint", "ring"))
+    return met(*dealt, "_salt").unionByName(exact)
 
 
 def needs_composite(valid_fraction: Column, n_scenes: Column, force: bool = False) -> Column:
