@@ -70,12 +70,12 @@ def asked_bodies(spark, sf_dir):
 
 def footprints(spark, sf_dir):
     """Scenes with their footprint: a box of about a degree, or a larger one with a hole."""
-    u = F.col("user_id")
+    u = F.col("_user")
     w, s, wide = u * 37 % 40 - F.lit(20.5), u * 53 % 30 - F.lit(15.5), u % 6 == 0
     side = F.when(wide, 4.0).otherwise(1.1)
     rings = F.when(wide, F.array(box_ring(w, s, w + side, s + side), box_ring(w + 0.5, s + 0.5, w + 3.5, s + 3.5))).otherwise(F.array(box_ring(w, s, w + side, s + side)))
-    shapes = table(spark, sf_dir, "events").select("event_id", F.array(rings).alias("footprint"))
-    return catalog(spark, sf_dir).join(shapes, "event_id")
+    shapes = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("_user"))
+    return catalog(spark, sf_dir).join(shapes, "event_id").withColumn("footprint", F.array(rings)).drop("_user")
 
 
 @query(ASKED + BOXES + "SELECT * FROM m WHERE place <= 50")
