@@ -77,7 +77,8 @@ def over_areas(scenes: DataFrame, areas: DataFrame, cell: float = 1.0, crowd: in
     def met(s: DataFrame, a: DataFrame, *more: str) -> DataFrame:
         first = (F.col("_x") == F.floor(F.greatest("_s.minx", "_a.minx") / cell)) & (F.col("_y") == F.floor(F.greatest("_s.miny", "_a.miny") / cell))
         boxes = (F.col("_s.minx") <= F.col("_a.maxx")) & (F.col("_a.minx") <= F.col("_s.maxx")) & (F.col("_s.miny") <= F.col("_a.maxy")) & (F.col("_a.miny") <= F.col("_s.maxy"))
-        return s.join(a, [*at, *more]).where(first & boxes).drop(*at, *more, "_s", "_a", "_sp", "_ap")
+        # Cells look as few as the rings that they are made from: without the hint Spark may broadcast them.
+        return s.join(a.hint("merge"), [*at, *more]).where(first & boxes).drop(*at, *more, "_s", "_a", "_sp", "_ap")
 
     s, a = celled(scenes, "footprint", "_s"), celled(areas, "ring", "_a")
     dealt = (x.repartition(parts, *at, "_salt") for x in salted(s.where("_sp"), a.where("_ap"), at, crowd, *scenes.columns))
